@@ -155,19 +155,18 @@ def with_lag(
     bkeys = [*keys, "__b"]
     by = W.partitionBy(*bkeys).orderBy(*order)
     inner = df.withColumn("__b", bucket).withColumn("__rn", F.row_number().over(by))
-    inner = inner.withColumn("__ord", F.struct(*order))
     for name, col in lagged.items():
         inner = inner.withColumn(f"__g_{name}", F.lag(col).over(by))
     ends = inner.groupBy(*bkeys).agg(
-        F.max_by(F.struct(*[F.col(c).alias(f"__e_{name}") for name, c in lagged.items()]), "__rn").alias("__end")
+        F.max_by(F.struct(*[F.col(c).alias(f"__e_{name}") for name, c in lagged.items()]), "__rn").alias("__lag_end")
     )
     prev = ends.select(
-        *bkeys, F.lag("__end").over(W.partitionBy(*keys).orderBy("__b")).alias("__prev")
+        *bkeys, F.lag("__lag_end").over(W.partitionBy(*keys).orderBy("__b")).alias("__lag_prev")
     )
     out = join_null_safe(inner, prev, bkeys)
     for name in lagged:
         out = out.withColumn(
             name,
-            F.when(F.col("__rn") == 1, F.col(f"__prev.__e_{name}")).otherwise(F.col(f"__g_{name}")),
+            F.when(F.col("__rn") == 1, F.col(f"__lag_prev.__e_{name}")).otherwise(F.col(f"__g_{name}")),
         )
-    return out.drop("__b", "__rn", "__ord", "__prev", *[f"__g_{name}" for name in lagged])
+    return out.drop("__b", "__rn", "__lag_prev", *[f"__g_{name}" for name in lagged])

@@ -1,6 +1,6 @@
 """All queries by name."""
 
-from wattloom.plans import series_queries  # noqa: F401
+from wattloom.plans import learning_queries, series_queries  # noqa: F401
 from wattloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
