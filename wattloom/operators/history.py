@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattloom.fixed_values import LR_STEPS
 from wattloom.functions.scalars import halving_rate
-from wattloom.operators.ordered import int_bucket, with_halo, with_lag, with_prefix
+from wattloom.operators.ordered import int_bucket, with_halo, with_running
 
 
 def weighted_metrics(metrics: DataFrame, by: Sequence[str] = ("round", "metric")) -> DataFrame:
@@ -33,9 +33,10 @@ def best_rounds(
 ) -> DataFrame:
     """Rounds whose value beats every earlier one."""
     signed = aggregated.withColumn("__v", F.col(value) if lower_is_better else -F.col(value))
-    run = with_prefix(signed, keys, [F.col(step)], int_bucket(step, span), {"__best": ("min", "__v")})
-    prev = with_lag(run, keys, [F.col(step)], int_bucket(step, span), {"__prev": "__best"})
-    return prev.where(F.col("__prev").isNull() | (F.col("__v") < F.col("__prev"))).drop("__v", "__best", "__prev")
+    run = with_running(
+        signed, keys, [F.col(step)], int_bucket(step, span), {"__best": ("min", "__v", "before")}
+    )
+    return run.where(F.col("__best").isNull() | (F.col("__v") < F.col("__best"))).drop("__v", "__best")
 
 
 def overhead(server: DataFrame, clients: DataFrame) -> DataFrame:
@@ -62,18 +63,21 @@ def early_stop(
     to it, with ``equal_improves``). Only epochs up to the first stop are kept.
     """
     order, bucket = [F.col(epoch)], int_bucket(epoch, span)
-    run = with_prefix(history, keys, order, bucket, {"best": ("min", loss)})
-    run = with_lag(run, keys, order, bucket, {"__prev": "best"})
-    limit = F.col("__prev") - F.lit(min_delta)
+    run = with_running(
+        history, keys, order, bucket, {"best": ("min", loss), "__before": ("min", loss, "before")}
+    )
+    limit = F.col("__before") - F.lit(min_delta)
     better = F.col(loss) <= limit if equal_improves else F.col(loss) < limit
-    run = run.withColumn("improved", F.col("__prev").isNull() | better)
+    run = run.withColumn("improved", F.col("__before").isNull() | better)
     run = run.withColumn("__at", F.when(F.col("improved"), F.col(epoch)))
-    run = with_prefix(run, keys, order, bucket, {"__last": ("max", "__at")})
+    run = with_running(run, keys, order, bucket, {"__last": ("max", "__at")})
     run = run.withColumn("wait", F.col(epoch) - F.col("__last"))
+    # the first stop is the only one that counts, so later epochs go
     run = run.withColumn("__stop", F.when(F.col("wait") >= patience, F.col(epoch)))
-    run = with_prefix(run, keys, order, bucket, {"__first": ("min", "__stop")})
-    kept = run.where(F.col("__first").isNull() | (F.col(epoch) <= F.col("__first")))
-    return kept.withColumn("stops", F.col("wait") >= patience).drop("__prev", "__at", "__last", "__stop", "__first")
+    run = with_running(run, keys, order, bucket, {"__first": ("min", "__stop", "before")})
+    return run.where(F.col("__first").isNull()).withColumn("stops", F.col("wait") >= patience).drop(
+        "__before", "__at", "__last", "__stop", "__first"
+    )
 
 
 def learning_rate(epoch: Column, start: float, schedule: str = "halve") -> Column:
@@ -89,7 +93,7 @@ def learning_rate(epoch: Column, start: float, schedule: str = "halve") -> Colum
 def effective_rate(epochs: DataFrame, keys: Sequence[str], epoch: str, start: float) -> DataFrame:
     """The step table carried forward: each entry holds until the next."""
     marked = epochs.withColumn("__e", F.when(F.col(epoch).isin(list(LR_STEPS)), F.col(epoch)))
-    run = with_prefix(marked, keys, [F.col(epoch)], int_bucket(epoch, 4096), {"__last": ("max", "__e")})
+    run = with_running(marked, keys, [F.col(epoch)], int_bucket(epoch, 4096), {"__last": ("max", "__e")})
     return run.withColumn(
         "lr", F.coalesce(learning_rate(F.col("__last"), start, "steps"), F.lit(start))
     ).drop("__e", "__last")

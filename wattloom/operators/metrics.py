@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.scalars import dynamic_loss, safe_divide, unscale
 from wattloom.operators.clean import KEYS
-from wattloom.operators.ordered import with_prefix
+from wattloom.operators.ordered import grouped_percentile, with_running
 from wattloom.params import DEFAULT, Params
 
 
@@ -80,7 +80,7 @@ def auroc(scored: DataFrame, slices: int = 256) -> DataFrame:
         sliced = Bucketizer(splits=cuts, inputCol="y_prob", outputCol="__slice").transform(per)
     else:
         sliced = per.withColumn("__slice", F.lit(0.0))
-    cum = with_prefix(sliced, [], [F.col("y_prob")], F.col("__slice").cast("long"), {"neg_upto": ("sum", "neg")})
+    cum = with_running(sliced, [], [F.col("y_prob")], F.col("__slice").cast("long"), {"neg_upto": ("sum", "neg")})
     won = F.col("pos").cast("double") * (F.col("neg_upto") - F.col("neg") + 0.5 * F.col("neg"))
     totals = cum.agg(F.sum(won).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return totals.select(
@@ -191,5 +191,7 @@ def building_metrics(points: DataFrame, keys: Sequence[str] = KEYS, eps: float =
 
 
 def region_medians(per_building: DataFrame, region: str = "grp") -> DataFrame:
+    """Median over the buildings of a region, five error measures."""
     cols = ("nrmse", "mae", "mae_norm", "mse", "mse_norm")
-    return per_building.groupBy(region).agg(*[F.percentile(c, 0.5).alias(c) for c in cols])
+    long = grouped_percentile(per_building, [region], cols, {"median": 0.5})
+    return long.groupBy(region).agg(*[F.max(F.when(F.col("metric") == c, F.col("median"))).alias(c) for c in cols])

@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LAST_BUCKET = 2**62
+# More order-axis buckets for values whose range is unknown; see value_bucket.
+VALUE_BUCKETS_PER_UNIT = 64
 
 
 def time_bucket(ts: str | Column, span_seconds: int) -> Column:
@@ -30,6 +32,12 @@ def int_bucket(value: str | Column, span: int) -> Column:
     return F.coalesce(F.floor(col / F.lit(span)).cast("long"), F.lit(LAST_BUCKET))
 
 
+def value_bucket(value: str | Column) -> Column:
+    """Order-preserving bucket of any number, finer around zero and about 1.6 % wide elsewhere."""
+    col = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.floor(F.asinh(col) * VALUE_BUCKETS_PER_UNIT).cast("long"), F.lit(LAST_BUCKET))
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join that matches null keys, keeping the left copy of the key columns."""
     renamed = right.select(
@@ -106,17 +114,23 @@ def with_halo(df: DataFrame, t: str, block: int, before: int = 0, after: int = 0
     return df.withColumn("__blk", F.explode(places)).withColumn("__own", F.col("__blk") == own)
 
 
-def with_prefix(
+def with_running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     bucket: Column,
-    running: dict[str, tuple[str, str]],
+    running: dict[str, tuple] | None = None,
+    lagged: dict[str, str] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Inclusive running aggregates along the order axis.
+    """Running aggregates, previous-row values and key totals, all in one pass.
 
-    ``running`` maps the output name to ``(function, column)`` with sum, min or max.
+    ``running`` maps an output name to ``(function, column)`` with sum, min or max, the current row
+    included, or to ``(function, column, "before")``, the current row left out. ``lagged`` maps an
+    output name to the column whose previous value it takes. ``totals`` maps an output name to a
+    column summed over the whole key.
     """
+    running, lagged, totals = running or {}, lagged or {}, totals or {}
     keys = list(keys)
     bkeys = [*keys, "__b"]
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -125,48 +139,63 @@ def with_prefix(
         "min": lambda a, b: F.least(a, b),
         "max": lambda a, b: F.greatest(a, b),
     }
-    local = W.partitionBy(*bkeys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    inner = df.withColumn("__b", bucket)
-    for name, (kind, col) in running.items():
-        inner = inner.withColumn(f"__l_{name}", fn[kind](col).over(local))
-    per_bucket = inner.groupBy(*bkeys).agg(
-        *[fn[kind](col).alias(f"__a_{name}") for name, (kind, col) in running.items()]
-    )
-    before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *bkeys, *[fn[kind](f"__a_{name}").over(before).alias(f"__p_{name}") for name, (kind, _) in running.items()]
-    )
-    out = join_null_safe(inner, offsets, bkeys)
-    for name, (kind, _) in running.items():
-        out = out.withColumn(name, merge[kind](F.col(f"__p_{name}"), F.col(f"__l_{name}")))
-    drop = ["__b"] + [f"__{x}_{name}" for name in running for x in "lp"]
-    return out.drop(*drop)
+    by = W.partitionBy(*bkeys).orderBy(*order)
+    upto, before = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(W.unboundedPreceding, -1)
+    local: dict[str, Column] = {"__rn": F.row_number().over(by)} if lagged else {}
+    for name, (kind, col, *excl) in running.items():
+        local[f"__l_{name}"] = fn[kind](col).over(before if excl else upto)
+    for name, col in lagged.items():
+        local[f"__g_{name}"] = F.lag(col).over(by)
+    inner = df.withColumn("__b", bucket).withColumns(local)
+    aggs = [fn[kind](col).alias(f"__a_{name}") for name, (kind, col, *_) in running.items()]
+    aggs += [F.sum(col).alias(f"__s_{name}") for name, col in totals.items()]
+    if lagged:
+        ends = F.struct(*[F.col(c).alias(f"__e_{name}") for name, c in lagged.items()])
+        aggs.append(F.max_by(ends, "__rn").alias("__lag_end"))
+    per_bucket = inner.groupBy(*bkeys).agg(*aggs)
+    over_buckets = W.partitionBy(*keys).orderBy("__b")
+    earlier = over_buckets.rowsBetween(W.unboundedPreceding, -1)
+    offsets = [fn[kind](f"__a_{name}").over(earlier).alias(f"__p_{name}") for name, (kind, *_) in running.items()]
+    offsets += [F.sum(f"__s_{name}").over(W.partitionBy(*keys)).alias(name) for name in totals]
+    if lagged:
+        offsets.append(F.lag("__lag_end").over(over_buckets).alias("__lag_prev"))
+    out = join_null_safe(inner, per_bucket.select(*bkeys, *offsets), bkeys)
+    result: dict[str, Column] = {}
+    for name, (kind, *_) in running.items():
+        result[name] = merge[kind](F.col(f"__p_{name}"), F.col(f"__l_{name}"))
+    for name in lagged:
+        first = F.col("__rn") == 1
+        result[name] = F.when(first, F.col(f"__lag_prev.__e_{name}")).otherwise(F.col(f"__g_{name}"))
+    helpers = [f"__{x}_{name}" for name in running for x in "lp"] + [f"__g_{name}" for name in lagged]
+    return out.withColumns(result).drop("__b", "__rn", "__lag_prev", *helpers)
 
 
-def with_lag(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    bucket: Column,
-    lagged: dict[str, str],
-) -> DataFrame:
+def with_lag(df, keys, order, bucket, lagged: dict[str, str]) -> DataFrame:
     """Previous row's columns along the order axis; ``lagged`` maps output name to source."""
+    return with_running(df, keys, order, bucket, lagged=lagged)
+
+
+def grouped_percentile(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles of each column per key: (keys, metric, one column per prob).
+
+    Equal values collapse first, then a two-level running count finds the ranks, so neither a hot
+    key nor a wide value set gathers in one task. Nulls and NaN are left out.
+    """
     keys = list(keys)
-    bkeys = [*keys, "__b"]
-    by = W.partitionBy(*bkeys).orderBy(*order)
-    inner = df.withColumn("__b", bucket).withColumn("__rn", F.row_number().over(by))
-    for name, col in lagged.items():
-        inner = inner.withColumn(f"__g_{name}", F.lag(col).over(by))
-    ends = inner.groupBy(*bkeys).agg(
-        F.max_by(F.struct(*[F.col(c).alias(f"__e_{name}") for name, c in lagged.items()]), "__rn").alias("__lag_end")
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.metric", "c.v")
+    counted = (
+        long.where(F.col("v").isNotNull() & ~F.isnan("v"))
+        .groupBy(*keys, "metric", "v").agg(F.count(F.lit(1)).alias("__c"))
     )
-    prev = ends.select(
-        *bkeys, F.lag("__lag_end").over(W.partitionBy(*keys).orderBy("__b")).alias("__lag_prev")
+    cum = with_running(
+        counted, [*keys, "metric"], [F.col("v")], value_bucket("v"), {"__upto": ("sum", "__c")}, totals={"__n": "__c"}
     )
-    out = join_null_safe(inner, prev, bkeys)
-    for name in lagged:
-        out = out.withColumn(
-            name,
-            F.when(F.col("__rn") == 1, F.col(f"__lag_prev.__e_{name}")).otherwise(F.col(f"__g_{name}")),
-        )
-    return out.drop("__b", "__rn", "__lag_prev", *[f"__g_{name}" for name in lagged])
+    picks = []
+    for name, q in probs.items():
+        pos = (F.col("__n") - 1) * F.lit(float(q))
+        low = F.min(F.when(F.col("__upto") > F.floor(pos), F.col("v")))
+        high = F.min(F.when(F.col("__upto") > F.ceil(pos), F.col("v")))
+        frac = F.max(pos - F.floor(pos))
+        picks.append((low + (high - low) * frac).alias(name))
+    return cum.groupBy(*keys, "metric").agg(*picks)
