@@ -53,6 +53,40 @@ def labeler(window: int, q_low: float, q_high: float, decimals: int = 9):
     return label
 
 
+def block_labeler(window: int, stride: int, level: int, q_low: float, q_high: float, decimals: int = 9):
+    """Series pieces -> struct(votes, cover) per position, over all windows inside each piece.
+
+    Pieces start at a window start. All windows of an Arrow batch go through one matrix product;
+    votes and cover are counted by position, so no window is ever a row.
+    """
+    smoother = smoothing_matrix(window, level).T.copy()
+
+    @F.arrow_udf("struct<votes:array<int>,cover:array<int>>")
+    def fuse(x: pa.Array) -> pa.Array:
+        flat = x.flatten().to_numpy(zero_copy_only=False)
+        lengths = np.diff(x.offsets.to_numpy())
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, dtype=np.int64)
+        counts = np.where(lengths >= window, (lengths - window) // stride + 1, 0)
+        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = (np.repeat(first, counts) + inner * stride)[:, None] + np.arange(window)[None, :]
+        votes = np.zeros(len(flat), dtype=np.int32)
+        cover = np.zeros(len(flat), dtype=np.int32)
+        if len(place):
+            m = flat[place]
+            resid = np.round(m - m @ smoother, decimals)
+            lo, hi = np.quantile(resid, [q_low, q_high], axis=1)
+            marks = (resid < lo[:, None]) | (resid > hi[:, None])
+            votes = np.bincount(place[marks], minlength=len(flat)).astype(np.int32)
+            cover = np.bincount(place.ravel(), minlength=len(flat)).astype(np.int32)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(offsets, pa.array(votes)), pa.ListArray.from_arrays(offsets, pa.array(cover))],
+            names=["votes", "cover"],
+        )
+
+    return fuse
+
+
 def standardizer(window: int, eps: float = 1e-8):
     """a -> struct(z, mean, std): z-score with the population deviation."""
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.functions.arrays import labeler
+from wattloom.functions.arrays import block_labeler, labeler
 from wattloom.operators.clean import KEYS
+from wattloom.operators.ordered import with_halo
 from wattloom.operators.windows import decompose, make_windows
 from wattloom.params import DEFAULT, Params
 
@@ -79,6 +80,30 @@ def fuse(labeled: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) ->
     return whole.withColumn("anomaly", rule(F.col("votes"), F.col("cover"), p.merge_rule))
 
 
+def label_fused(series: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Series straight to fused labels: the same rows as ``fuse(label_series(series))``.
+
+    A block also sees the rows before it that windows covering its own rows start at, so all votes
+    for a row are counted where the row lies: one shuffle in all, and no window leaves its task.
+    """
+    reach = p.window - p.stride
+    before = -(-reach // p.stride) * p.stride
+    placed = with_halo(series.select(*keys, "t", "energy"), "t", p.block, before=before, after=reach)
+    pieces = placed.groupBy(*keys, "__blk").agg(F.array_sort(F.collect_list(F.struct("t", "energy"))).alias("__rows"))
+    run = block_labeler(p.window, p.stride, p.wavelet_level, p.q_low, p.q_high)
+    counted = pieces.withColumn("__v", run(F.col("__rows.energy")))
+    points = counted.select(
+        *keys, "__blk", F.explode(F.arrays_zip("__rows", F.col("__v.votes").alias("votes"), F.col("__v.cover").alias("cover"))).alias("r")
+    ).select(
+        *keys, "__blk", F.col("r.__rows.t").alias("t"), F.col("r.__rows.energy").alias("energy"),
+        F.col("r.votes").cast("long").alias("votes"), F.col("r.cover").cast("long").alias("cover"),
+    )
+    own = F.floor(F.col("t") / p.block) == F.col("__blk")
+    return points.where(own & (F.col("cover") > 0)).drop("__blk").withColumn(
+        "anomaly", rule(F.col("votes"), F.col("cover"), p.merge_rule)
+    )
+
+
 def reproject(fused: DataFrame, lengths: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
     """Fused labels cut back into windows as ``labels_fused``; windows line up with the originals."""
     series = fused.join(lengths.select(*keys, "n"), list(keys))

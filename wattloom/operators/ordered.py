@@ -35,19 +35,22 @@ def int_bucket(value: str | Column, span: int) -> Column:
 def value_bucket(value: str | Column) -> Column:
     """Order-preserving bucket of any number, finer around zero and about 1.6 % wide elsewhere."""
     col = F.col(value) if isinstance(value, str) else value
-    return F.coalesce(F.floor(F.asinh(col) * VALUE_BUCKETS_PER_UNIT).cast("long"), F.lit(LAST_BUCKET))
+    scaled = F.signum(col) * F.log1p(F.abs(col)) * VALUE_BUCKETS_PER_UNIT
+    return F.coalesce(F.floor(scaled).cast("long"), F.lit(LAST_BUCKET))
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join that matches null keys, keeping the left copy of the key columns."""
-    renamed = right.select(
-        *[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in right.columns if c not in on]
-    )
-    cond = None
-    for c in on:
-        term = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-        cond = term if cond is None else cond & term
-    return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in on])
+def _keyed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Key columns and bucket packed into one struct ``__k``.
+
+    A struct is never null itself and compares its fields null-safely, so the window, the bucket
+    summary and the join back share one hash partitioning even if keys hold nulls.
+    """
+    packed = F.struct(*keys, bucket.alias("__b")).alias("__k")
+    return df.select(packed, *[c for c in df.columns if c not in keys])
+
+
+def _key_fields(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"__k.{c}") for c in keys]
 
 
 def with_index(
@@ -60,37 +63,38 @@ def with_index(
     """Add ``t`` (0-based position in the key) and ``n`` (rows in the key).
 
     With ``valid``, rows before the first and after the last valid row are dropped first, and a
-    key without any valid row disappears.
+    key without any valid row disappears. ``order`` must not use key columns.
     """
     keys = list(keys)
-    valid = F.lit(True) if valid is None else valid
-    bkeys = [*keys, "__b"]
-    inner = df.withColumn("__b", bucket).withColumn(
-        "__rn", F.row_number().over(W.partitionBy(*bkeys).orderBy(*order)).cast("long") - 1
-    )
-    inner = inner.withColumn("__ok", valid)
-    per_bucket = inner.groupBy(*bkeys).agg(
-        F.count(F.lit(1)).alias("__cnt"),
-        F.min(F.when(F.col("__ok"), F.col("__rn"))).alias("__lo"),
-        F.max(F.when(F.col("__ok"), F.col("__rn"))).alias("__hi"),
-    )
-    before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
+    rows = _keyed(df, keys, bucket)
+    inner = rows.withColumn("__rn", F.row_number().over(W.partitionBy("__k").orderBy(*order)).cast("long") - 1)
+    if valid is None:
+        # plain counts, combined before their shuffle
+        per_bucket = rows.groupBy("__k").agg(F.count(F.lit(1)).alias("__cnt")).withColumns(
+            {"__lo": F.lit(0).cast("long"), "__hi": F.col("__cnt") - 1}
+        )
+    else:
+        per_bucket = inner.withColumn("__ok", valid).groupBy("__k").agg(
+            F.count(F.lit(1)).alias("__cnt"),
+            F.min(F.when(F.col("__ok"), F.col("__rn"))).alias("__lo"),
+            F.max(F.when(F.col("__ok"), F.col("__rn"))).alias("__hi"),
+        )
+    whole = W.partitionBy(*_key_fields(keys))
+    before = whole.orderBy(F.col("__k.__b")).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_bucket.withColumn(
         "__off", F.coalesce(F.sum("__cnt").over(before), F.lit(0))
     ).select(
-        *bkeys,
+        "__k",
         "__off",
         F.min(F.col("__off") + F.col("__lo")).over(whole).alias("__first"),
         F.max(F.col("__off") + F.col("__hi")).over(whole).alias("__last"),
     )
-    joined = join_null_safe(inner, offsets, bkeys)
     pos = F.col("__off") + F.col("__rn")
-    return (
-        joined.where(pos.between(F.col("__first"), F.col("__last")))
-        .withColumn("t", pos - F.col("__first"))
-        .withColumn("n", F.col("__last") - F.col("__first") + 1)
-        .drop("__b", "__rn", "__ok", "__off", "__first", "__last")
+    rest = [c for c in df.columns if c not in keys]
+    return inner.join(offsets, "__k").where(pos.between(F.col("__first"), F.col("__last"))).select(
+        *_key_fields(keys), *rest,
+        (pos - F.col("__first")).alias("t"),
+        (F.col("__last") - F.col("__first") + 1).alias("n"),
     )
 
 
@@ -132,45 +136,50 @@ def with_running(
     """
     running, lagged, totals = running or {}, lagged or {}, totals or {}
     keys = list(keys)
-    bkeys = [*keys, "__b"]
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
     merge = {
         "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
         "min": lambda a, b: F.least(a, b),
         "max": lambda a, b: F.greatest(a, b),
     }
-    by = W.partitionBy(*bkeys).orderBy(*order)
+    by = W.partitionBy("__k").orderBy(*order)
     upto, before = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(W.unboundedPreceding, -1)
     local: dict[str, Column] = {"__rn": F.row_number().over(by)} if lagged else {}
     for name, (kind, col, *excl) in running.items():
         local[f"__l_{name}"] = fn[kind](col).over(before if excl else upto)
     for name, col in lagged.items():
         local[f"__g_{name}"] = F.lag(col).over(by)
-    inner = df.withColumn("__b", bucket).withColumns(local)
+    rows = _keyed(df, keys, bucket)
+    inner = rows.withColumns(local)
     aggs = [fn[kind](col).alias(f"__a_{name}") for name, (kind, col, *_) in running.items()]
     aggs += [F.sum(col).alias(f"__s_{name}") for name, col in totals.items()]
     if lagged:
         ends = F.struct(*[F.col(c).alias(f"__e_{name}") for name, c in lagged.items()])
-        aggs.append(F.max_by(ends, "__rn").alias("__lag_end"))
-    per_bucket = inner.groupBy(*bkeys).agg(*aggs)
-    over_buckets = W.partitionBy(*keys).orderBy("__b")
+        aggs.append(F.max_by(ends, F.struct(*order)).alias("__lag_end"))
+    # summaries come from the unordered rows, combined before their shuffle; nothing is sorted twice
+    per_bucket = rows.groupBy("__k").agg(*aggs)
+    whole = W.partitionBy(*_key_fields(keys))
+    over_buckets = whole.orderBy(F.col("__k.__b"))
     earlier = over_buckets.rowsBetween(W.unboundedPreceding, -1)
     offsets = [fn[kind](f"__a_{name}").over(earlier).alias(f"__p_{name}") for name, (kind, *_) in running.items()]
-    offsets += [F.sum(f"__s_{name}").over(W.partitionBy(*keys)).alias(name) for name in totals]
+    offsets += [F.sum(f"__s_{name}").over(whole).alias(name) for name in totals]
     if lagged:
         offsets.append(F.lag("__lag_end").over(over_buckets).alias("__lag_prev"))
-    out = join_null_safe(inner, per_bucket.select(*bkeys, *offsets), bkeys)
-    result: dict[str, Column] = {}
+    out = inner.join(per_bucket.select("__k", *offsets), "__k")
+    result: list[Column] = []
     for name, (kind, *_) in running.items():
-        result[name] = merge[kind](F.col(f"__p_{name}"), F.col(f"__l_{name}"))
+        result.append(merge[kind](F.col(f"__p_{name}"), F.col(f"__l_{name}")).alias(name))
     for name in lagged:
         first = F.col("__rn") == 1
-        result[name] = F.when(first, F.col(f"__lag_prev.__e_{name}")).otherwise(F.col(f"__g_{name}"))
-    helpers = [f"__{x}_{name}" for name in running for x in "lp"] + [f"__g_{name}" for name in lagged]
-    return out.withColumns(result).drop("__b", "__rn", "__lag_prev", *helpers)
+        result.append(
+            F.when(first, F.col(f"__lag_prev.__e_{name}")).otherwise(F.col(f"__g_{name}")).alias(name)
+        )
+    return out.select(*_key_fields(keys), *[c for c in df.columns if c not in keys], *result, *totals)
 
 
-def with_lag(df, keys, order, bucket, lagged: dict[str, str]) -> DataFrame:
+def with_lag(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, lagged: dict[str, str]
+) -> DataFrame:
     """Previous row's columns along the order axis; ``lagged`` maps output name to source."""
     return with_running(df, keys, order, bucket, lagged=lagged)
 

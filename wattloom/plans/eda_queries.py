@@ -20,10 +20,6 @@ H = T.HOURLY_SQL
 SPAN = 4096 * 3600
 
 
-def ts_cast(c: str) -> str:
-    return f"{c}::TIMESTAMP"
-
-
 # ---- profiles -------------------------------------------------------------------------------
 
 

@@ -20,8 +20,7 @@ from wattloom.session import scratch_path
 from wattloom.sources import readers as R
 from wattloom.sources import sinks as K
 
-TOTALS = "count(*) AS row_count, count(energy) AS filled, {sum} AS energy"
-TOTALS_SQL = TOTALS.format(sum=r("sum(energy)", 4))
+TOTALS_SQL = f"count(*) AS row_count, count(energy) AS filled, {r('sum(energy)', 4)} AS energy"
 
 
 def no_file():
@@ -261,12 +260,14 @@ def src_multi(spark, sf_dir):
     return totals(R.combine(synthetic=T.daily(spark, sf_dir), real=T.hourly(spark, sf_dir)), "source", "grp")
 
 
-INVENTORY = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+INVENTORY = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 def inventory(spark, sf_dir):
-    files = R.list_files(spark, sf_dir).withColumn("file", R.file_stem(F.col("path")))
-    return R.footers(files.where(F.col("file").isin(*INVENTORY))).withColumn("file", R.file_stem(F.col("path")))
+    return R.footers(R.list_files(spark, sf_dir)).withColumn("file", R.file_stem(F.col("path")))
 
 
 COLUMNS_SQL = """(SELECT table_name, count(*) AS n, string_agg(column_name, ' | ' ORDER BY column_index) AS names
@@ -313,7 +314,7 @@ def sink_windows(spark, sf_dir):
 @query("sink_labeled", f"WITH {FUSED_SQL} SELECT grp, building, count(*) AS steps, sum(anomaly)::BIGINT AS anomalies, sum(energy)::DOUBLE AS energy FROM fused GROUP BY 1, 2")
 def sink_labeled(spark, sf_dir):
     path = scratch_path(spark, "labeled")
-    fused = L.fuse(L.label_series(supplier_series(spark, sf_dir), P), P)
+    fused = L.label_fused(supplier_series(spark, sf_dir), P)
     K.write_labeled(fused.select("grp", "building", "t", "energy", "anomaly"), path)
     return spark.read.parquet(path).groupBy("grp", "building").agg(
         F.count(F.lit(1)).alias("steps"), F.sum("anomaly").alias("anomalies"), F.sum("energy").alias("energy")

@@ -11,7 +11,7 @@ from wattloom.operators import splitting as S
 from wattloom.operators import windows as WN
 from wattloom.plans import tables as T
 from wattloom.plans.registry import query
-from wattloom.plans.sqltext import fused_sql, labels_sql, r, trend_sql, windows_sql
+from wattloom.plans.sqltext import OFF_HALF, fused_sql, labels_sql, r, trend_sql, windows_sql
 
 P = T.SUPPLIER
 PW = T.SUPPLIER_WIDE
@@ -19,7 +19,7 @@ PN = T.NATION
 
 
 def rd(c, digits: int = 6):
-    return F.round(c, digits) + F.lit(0.0)
+    return F.round(c + F.lit(float(f"{OFF_HALF * 10.0**-digits:.3e}")), digits) + F.lit(0.0)
 
 
 def supplier_series(spark, sf_dir, p=P):
@@ -353,9 +353,6 @@ def win_frames(spark, sf_dir):
     return WN.frames(supplier_series(spark, sf_dir), 24, 4, P)
 
 
-WHOLE_TAPS_LEVEL = 3
-
-
 @query("dec_wavelet_series")
 def dec_wavelet_series(spark, sf_dir):
     """No SQL twin: the matrix depends on each series' length; tested against brute force."""
@@ -413,6 +410,14 @@ def lab_band(spark, sf_dir):
 
 @query("lab_fuse", f"WITH {FUSED_SQL} SELECT grp, building, t, votes, cover, anomaly FROM fused")
 def lab_fuse(spark, sf_dir):
+    return L.label_fused(supplier_series(spark, sf_dir), P).select(
+        "grp", "building", "t", "votes", "cover", "anomaly"
+    )
+
+
+@query("lab_fuse_windows", f"WITH {FUSED_SQL} SELECT grp, building, t, votes, cover, anomaly FROM fused")
+def lab_fuse_windows(spark, sf_dir):
+    """The same fusion from a table of labelled windows."""
     return L.fuse(L.label_series(supplier_series(spark, sf_dir), P), P).select(
         "grp", "building", "t", "votes", "cover", "anomaly"
     )
@@ -427,7 +432,7 @@ def lab_fuse_majority(spark, sf_dir):
 
 @query("lab_series", f"WITH {FUSED_SQL} SELECT grp, building, t, energy::DOUBLE AS energy, anomaly FROM fused")
 def lab_series(spark, sf_dir):
-    return L.fuse(L.label_series(supplier_series(spark, sf_dir), P), P).select(
+    return L.label_fused(supplier_series(spark, sf_dir), P).select(
         "grp", "building", "t", "energy", "anomaly"
     )
 
@@ -441,7 +446,7 @@ GROUP BY 1, 2, 3""",
 )
 def lab_reproject(spark, sf_dir):
     series = supplier_series(spark, sf_dir)
-    fused = L.fuse(L.label_series(series, P), P)
+    fused = L.label_fused(series, P)
     lengths = fused.groupBy("grp", "building").agg((F.max("t") + 1).alias("n"))
     out = L.reproject(fused, lengths, P)
     marks = F.transform("labels_fused", lambda v: v.cast("double"))
@@ -458,7 +463,7 @@ FROM series s LEFT JOIN fused f ON s.grp = f.grp AND s.building = f.building AND
 )
 def lab_joinback(spark, sf_dir):
     series = supplier_series(spark, sf_dir)
-    return L.join_back(series, L.fuse(L.label_series(series, P), P)).select(
+    return L.join_back(series, L.label_fused(series, P)).select(
         "grp", "building", "ts", "t", "energy", "anomaly"
     )
 
@@ -474,7 +479,7 @@ per AS (SELECT grp, building, count(*) AS steps, sum(anomaly)::BIGINT AS anomali
        {r('anomalies::DOUBLE / steps')} AS series_rate, {r('window_anomalies::DOUBLE / window_steps')} AS window_rate FROM per""",
 )
 def lab_rate(spark, sf_dir):
-    out = L.rates(L.fuse(L.label_series(supplier_series(spark, sf_dir), P), P))
+    out = L.rates(L.label_fused(supplier_series(spark, sf_dir), P))
     return out.select(
         "grp", "building", "steps", "anomalies",
         rd(F.col("series_rate")).alias("series_rate"), rd(F.col("window_rate")).alias("window_rate"),
@@ -488,7 +493,7 @@ def lab_rate(spark, sf_dir):
        {r('avg(anomalies::DOUBLE / steps)')} AS mean_building_rate FROM per GROUP BY 1""",
 )
 def lab_rate_group(spark, sf_dir):
-    out = L.group_rates(L.rates(L.fuse(L.label_series(supplier_series(spark, sf_dir), P), P)))
+    out = L.group_rates(L.rates(L.label_fused(supplier_series(spark, sf_dir), P)))
     cols = ("series_rate", "window_rate", "mean_building_rate")
     return out.select("grp", "buildings", *[rd(F.col(c)).alias(c) for c in cols])
 
@@ -504,7 +509,7 @@ series AS (SELECT grp, building, ts, energy, t - floor(n * 0.5::DOUBLE)::BIGINT
 def lab_runtime(spark, sf_dir):
     """The test half labelled by the same functions that label the training half."""
     test = S.temporal(supplier_series(spark, sf_dir), RUNTIME_P).where("split = 'test'")
-    return L.fuse(L.label_series(test, P), P).select("grp", "building", "t", "energy", "anomaly")
+    return L.label_fused(test, P).select("grp", "building", "t", "energy", "anomaly")
 
 
 @query(
@@ -514,5 +519,5 @@ def lab_runtime(spark, sf_dir):
 def flow_labeled_wide(spark, sf_dir):
     """The whole path at the default window: clean, cut, decompose, label, fuse, rate."""
     series = supplier_series(spark, sf_dir, PW)
-    out = L.rates(L.fuse(L.label_series(series, PW), PW))
+    out = L.rates(L.label_fused(series, PW))
     return out.select("grp", "building", "steps", "anomalies", rd(F.col("series_rate")).alias("series_rate"))

@@ -7,8 +7,12 @@ from wattloom.functions.wavelet import TAPS, max_level
 from wattloom.params import Params
 
 
+# Exact halves would round either way with the last bit of a sum; both sides shift off them equally.
+OFF_HALF = 1.37e-3
+
+
 def r(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round({expr} + {OFF_HALF * 10.0**-digits:.3e}, {digits}) + 0.0)"
 
 
 def windows_sql(p: Params, source: str = "series", value: str = "energy") -> str:

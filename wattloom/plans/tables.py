@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from wattloom.params import Params
 
 # Series by supplier are a few hundred days long; the cuts below keep every operator busy.
@@ -16,27 +18,35 @@ NATION = Params(order_span_seconds=366 * 86400, block_strides=16)
 HOURLY = Params(min_len=200, backcast=72, forecast=24, order_span_seconds=512 * 3600, block_strides=8)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables. Its schema is read once, so building a plan starts no job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def daily(spark: SparkSession, sf_dir: str, level: str = "supplier") -> DataFrame:
     """Shipped quantity per day. ``level`` supplier: one series per supplier; nation: per nation."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_shipdate")
-    per = li.groupBy("l_suppkey", F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts")).agg(
-        F.sum("l_quantity").alias("q")
-    )
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     na = table(spark, sf_dir, "nation")
     re = table(spark, sf_dir, "region")
-    full = (
-        per.join(su, per.l_suppkey == su.s_suppkey)
-        .join(na, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(re, F.col("n_regionkey") == F.col("r_regionkey"))
+    ts = F.col("l_shipdate").cast("date").cast("timestamp_ntz").alias("ts")
+    names = (
+        su.join(na, F.col("s_nationkey") == F.col("n_nationkey")).join(re, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("s_suppkey", F.col("r_name").alias("grp"), F.col("s_name" if level == "supplier" else "n_name").alias("building"))
     )
-    building = F.col("s_name" if level == "supplier" else "n_name")
-    return full.groupBy(F.col("r_name").alias("grp"), building.alias("building"), "ts").agg(
-        F.sum("q").alias("energy")
+    if level == "supplier":
+        # a supplier has one name of its own, so summing by key is final and names are looked up after
+        per = li.groupBy("l_suppkey", ts).agg(F.sum("l_quantity").alias("energy"))
+        return per.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select("grp", "building", "ts", "energy")
+    # days of a nation collapse before the shuffle
+    return li.join(names, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("grp", "building", ts).agg(
+        F.sum("l_quantity").alias("energy")
     )
 
 
