@@ -16,14 +16,23 @@ from wattloom.operators.ordered import int_bucket, time_bucket, with_index, with
 LINES_PER_BUCKET = 65_536
 
 
-def _group(pattern: str, i: int) -> Column:
-    return F.nullif(F.regexp_extract("line", pattern, i), F.lit(""))
+def _groups(lines: DataFrame, hint: str, pattern: str, groups: int) -> DataFrame:
+    """Lines that hold ``hint`` and match; ``__g`` has their groups, from one pass of the pattern."""
+    mark = "\x01"
+    joined = F.regexp_replace("line", f"^.*?{pattern}.*$", mark.join(f"${i}" for i in range(1, groups + 1)))
+    split = lines.where(F.col("line").contains(hint)).withColumn("__g", F.split(joined, mark))
+    return split.where(F.size("__g") == groups)
+
+
+def _group(i: int) -> Column:
+    """Group i of a line, null when it is empty."""
+    return F.nullif(F.get("__g", i - 1), F.lit(""))
 
 
 def snapshots(lines: DataFrame) -> DataFrame:
     """Resource snapshots: context, resident and free memory, load, free disk (GB), elapsed seconds."""
-    g = lambda i: _group(LOG_SNAPSHOT, i)
-    return lines.where(F.col("line").contains("[recursos @ ") & F.col("line").rlike(LOG_SNAPSHOT)).select(
+    g = _group
+    return _groups(lines, "[recursos @ ", LOG_SNAPSHOT, 9).select(
         "log", "ord", g(1).alias("context"),
         unit_to_gb(g(2), g(3)).alias("rss_gb"), unit_to_gb(g(4), g(5)).alias("ram_free_gb"),
         g(6).alias("load"), unit_to_gb(g(7), g(8)).alias("disk_free_gb"),
@@ -84,8 +93,8 @@ def memory_trend(snaps: DataFrame, points: int = 12, dead_band: float = 0.05, al
 
 
 def fold_progress(lines: DataFrame) -> DataFrame:
-    g = lambda i: _group(LOG_FOLD_PROGRESS, i)
-    out = lines.where(F.col("line").contains(" fold ") & F.col("line").rlike(LOG_FOLD_PROGRESS)).select(
+    g = _group
+    out = _groups(lines, " fold ", LOG_FOLD_PROGRESS, 5).select(
         "log", "ord", g(1).alias("stage"), g(2).cast("int").alias("fold"), g(3).cast("int").alias("folds"),
         g(4).cast("int").alias("epoch"), duration_seconds(g(5)).alias("seconds"),
     )
@@ -113,8 +122,8 @@ def eta_folds(progress: DataFrame) -> DataFrame:
 
 
 def shard_progress(lines: DataFrame) -> DataFrame:
-    g = lambda i: _group(LOG_SHARD_PROGRESS, i)
-    out = lines.where(F.col("line").contains(" shard ") & F.col("line").rlike(LOG_SHARD_PROGRESS)).select(
+    g = _group
+    out = _groups(lines, " shard ", LOG_SHARD_PROGRESS, 6).select(
         "log", "ord", g(1).alias("stage"), g(2).cast("int").alias("epoch"), g(3).cast("int").alias("epochs"),
         g(4).cast("int").alias("shard"), g(5).cast("int").alias("shards"), duration_seconds(g(6)).alias("seconds"),
     )
