@@ -58,9 +58,9 @@ def eda_step(spark, sf_dir):
 @query(
     "eda_slice",
     f"""WITH {T.USERS_SQL},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY building ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY building) AS n FROM users),
-mid AS (SELECT building, date_trunc('day', ts) AS a FROM ranked WHERE k = n // 2)
-SELECT grp, building, ts, {r('energy')} AS energy FROM users JOIN mid USING (building) WHERE ts BETWEEN a AND a + INTERVAL 3 DAY""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp, building ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY grp, building) AS n FROM users),
+mid AS (SELECT grp, building, date_trunc('day', ts) AS a FROM ranked WHERE k = n // 2)
+SELECT grp, building, ts, {r('energy')} AS energy FROM users JOIN mid USING (grp, building) WHERE ts BETWEEN a AND a + INTERVAL 3 DAY""",
 )
 def eda_slice(spark, sf_dir):
     out = E.slice_days(T.users(spark, sf_dir), 3, SPAN)
@@ -80,9 +80,9 @@ def sample_sql(src: str, k: int, seed: int) -> str:
     "eda_slice_sample",
     f"""WITH {T.USERS_SQL},{sample_sql('users', 3, 1)},
 sub AS (SELECT users.* FROM users JOIN sampled USING (grp, building)),
-ranked AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM sub)),
-mid AS (SELECT date_trunc('day', ts) AS a FROM ranked WHERE k = n // 2)
-SELECT grp, building, ts, {r('energy')} AS energy FROM sub, mid WHERE ts BETWEEN a AND a + INTERVAL 3 DAY""",
+ranked AS (SELECT grp, ts, row_number() OVER (PARTITION BY grp ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT DISTINCT grp, ts FROM sub)),
+mid AS (SELECT grp, date_trunc('day', ts) AS a FROM ranked WHERE k = n // 2)
+SELECT grp, building, ts, {r('energy')} AS energy FROM sub JOIN mid USING (grp) WHERE ts BETWEEN a AND a + INTERVAL 3 DAY""",
 )
 def eda_slice_sample(spark, sf_dir):
     out = E.slice_sample(T.users(spark, sf_dir), 3, 3, 1, SPAN)
@@ -132,10 +132,10 @@ def eda_summary(spark, sf_dir):
     "eda_availability",
     f"""WITH {T.USERS_SQL},
 wk AS (SELECT *, (date_trunc('week', ts) + INTERVAL 6 DAY)::DATE AS week FROM users),
-slots AS (SELECT week, count(DISTINCT ts) AS slots FROM wk GROUP BY 1),
-grid AS (SELECT b.grp, b.building, s.* FROM (SELECT DISTINCT grp, building FROM users) b, slots s),
-seen AS (SELECT building, week, count(energy) AS seen FROM wk GROUP BY 1, 2)
-SELECT grp, building, week, {r('coalesce(seen, 0)::DOUBLE / slots')} AS share FROM grid LEFT JOIN seen USING (building, week)""",
+slots AS (SELECT grp, week, count(DISTINCT ts) AS slots FROM wk GROUP BY 1, 2),
+grid AS (SELECT b.building, s.* FROM (SELECT DISTINCT grp, building FROM users) b JOIN slots s USING (grp)),
+seen AS (SELECT grp, building, week, count(energy) AS seen FROM wk GROUP BY 1, 2, 3)
+SELECT grp, building, week, {r('coalesce(seen, 0)::DOUBLE / slots')} AS share FROM grid LEFT JOIN seen USING (grp, building, week)""",
 )
 def eda_availability(spark, sf_dir):
     return E.availability(T.users(spark, sf_dir)).withColumn("share", rd(F.col("share")))

@@ -98,17 +98,17 @@ hourly AS (
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly load per user: many sparse series; the number of users grows with the data."""
+    """Hourly load per event type and user: many sparse series; their number grows with the data."""
     ev = table(spark, sf_dir, "events")
     return ev.groupBy(
-        F.lit("events").alias("grp"), F.concat(F.lit("user_"), F.col("user_id")).alias("building"),
+        F.col("event_type").alias("grp"), F.concat(F.lit("user_"), F.col("user_id")).alias("building"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
     ).agg(F.sum("value").alias("energy"))
 
 
 USERS_SQL = """
 users AS (
-  SELECT 'events' AS grp, 'user_' || user_id AS building, date_trunc('hour', ts)::TIMESTAMP AS ts,
+  SELECT event_type AS grp, 'user_' || user_id AS building, date_trunc('hour', ts)::TIMESTAMP AS ts,
          sum(value) AS energy
   FROM events GROUP BY 1, 2, 3)"""
 
