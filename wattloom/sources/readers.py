@@ -24,17 +24,18 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{parquet,csv,PARQUET,CSV}").load(root)
     )
-    return files.select("path", group_of(F.col("path"), root, encoded=False).alias("grp"), (F.col("length") / 1e6).alias("size_mb"))
+    return files.select("path", group_of(F.col("path"), root).alias("grp"), (F.col("length") / 1e6).alias("size_mb"))
 
 
-def group_of(path: Column, root: str, encoded: bool = True) -> Column:
-    """Folder of a file relative to root; "." for files directly in it.
+def plain_path(path: Column) -> Column:
+    """File metadata escapes special characters in paths; this undoes it."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
-    ``encoded``: the path comes from file metadata, where special characters are escaped.
-    """
+
+def group_of(path: Column, root: str) -> Column:
+    """Folder of a file relative to root; "." for files directly in it."""
     base = root.split("://", 1)[-1].rstrip("/").lstrip("/")
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
-    inner = F.regexp_replace(F.substring_index(plain, base + "/", -1), r"/?[^/]+$", "")
+    inner = F.regexp_replace(F.substring_index(path, base + "/", -1), r"/?[^/]+$", "")
     return F.coalesce(F.nullif(inner, F.lit("")), F.lit("."))
 
 
@@ -72,6 +73,31 @@ def footers(files: DataFrame) -> DataFrame:
     )
 
 
+def csv_headers(files: DataFrame) -> DataFrame:
+    """First line of each csv file."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for part in parts:
+            rows = []
+            for path in part["path"]:
+                try:
+                    store, inner = fs.FileSystem.from_uri(quote(path, safe="/:=@+,"))
+                    with store.open_input_stream(inner) as handle:
+                        head = b""
+                        while b"\n" not in head and (more := handle.read(4096)):
+                            head += more
+                    rows.append((path, head.split(b"\n", 1)[0].decode().strip(), None))
+                except Exception as e:  # reported by the caller
+                    rows.append((path, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "columns", "error"])
+
+    return files.select("path").mapInPandas(read, "path string, columns string, error string")
+
+
 def schema_census(inventory: DataFrame) -> DataFrame:
     """How many files share each schema."""
     return inventory.where("columns IS NOT NULL").groupBy("columns").agg(F.count(F.lit(1)).alias("files"))
@@ -87,11 +113,11 @@ def read_any(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame
         df = reader.option("pathGlobFilter", "*.parquet").parquet(*([path] if isinstance(path, str) else path))
         place = F.struct(F.lit(0).cast("long").alias("block"), F.col("_metadata.row_index").alias("line"))
     elif kind == "csv":
-        df = reader.option("pathGlobFilter", "*.csv").option("header", True).option("inferSchema", False).csv(path)
+        df = reader.option("pathGlobFilter", "*.csv").option("header", True).csv(path)
         place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     else:
         raise ValueError(f"unknown file kind {kind!r}")
-    return df.select("*", F.col("_metadata.file_path").alias("__file"), place.alias("__row"))
+    return df.select("*", plain_path(F.col("_metadata.file_path")).alias("__file"), place.alias("__row"))
 
 
 def csv_numbers(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -138,16 +164,20 @@ def eda_readings(df: DataFrame, grp: str) -> DataFrame:
 def read_tree(spark: SparkSession, root: str, source: str = "real", resolution: str = "Hourly") -> DataFrame:
     """All readings below root. Files are grouped by schema, so each schema is one scan."""
     files = list_files(spark, root)
-    seen = footers(files.where(F.lower("path").endswith(".parquet")))
-    by_schema: dict[str, list[str]] = {}
-    for line in seen.select("columns", "path", "error").toLocalIterator():  # names only, as any scan keeps them
+    is_csv = F.lower("path").endswith(".csv")
+    heads = footers(files.where(~is_csv)).select(F.lit("parquet").alias("kind"), "columns", "path", "error").unionByName(
+        csv_headers(files.where(is_csv)).withColumn("kind", F.lit("csv"))
+    )
+    by_schema: dict[tuple[str, str], list[str]] = {}
+    for line in heads.toLocalIterator():  # names only, as any scan keeps them
         if line["error"] is not None:
             log.warning("skipping unreadable file %s: %s", line["path"], line["error"])
         else:
-            by_schema.setdefault(line["columns"], []).append(line["path"])
-    parts = [read_any(spark, paths, "parquet") for paths in by_schema.values()]
-    if not files.where(F.lower("path").endswith(".csv")).isEmpty():
-        parts.append(csv_numbers(read_any(spark, root, "csv")))
+            by_schema.setdefault((line["kind"], line["columns"]), []).append(line["path"])
+    parts = [
+        csv_numbers(read_any(spark, paths, kind)) if kind == "csv" else read_any(spark, paths, kind)
+        for (kind, _), paths in by_schema.items()
+    ]
     if not parts:
         raise FileNotFoundError(f"no readable parquet or csv file below {root}")
     tables = [
