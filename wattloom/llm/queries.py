@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import line_dedup, line_frequency, sharding
+from wattloom.llm import bpe_automaton, chosen_path, line_dedup, line_frequency, sharding, tiling, warc
 from wattloom.llm.common import table
 from wattloom.llm.registry import ORACLES, QUERIES, query
+from wattloom.session import materialize
 
 __all__ = ["ORACLES", "QUERIES"]
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def vocabulary_path(name: str, folder: str = TOKENIZERS) -> str:
+    return f"{folder}/{name}"
+
 
 @query("op2_bounded_ring")
 def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,3 +61,50 @@ def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
         F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op5_seekable_warc", OP5_SQL)
+def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = materialize(warc.bundles(table(spark, sf_dir, "pages")), "warc")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return warc.records(archive).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
+@query("op8_string_tiling")
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which at least half the tokens lie under tiles."""
+    out = tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_item_tokens", "n_covered", "coverage", "n_tiles"
+    )
+
+
+@query("op9_chosen_path")
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies and its number of links."""
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query("op10_bpe_automaton")
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_automaton.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+    return out.select(
+        F.col("doc").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
