@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import bpe_automaton, chosen_path, line_dedup, line_frequency, sharding, tiling, warc
-from wattloom.llm.common import table
+from wattloom.llm import bpe_automaton, chosen_path, class_lm, compression_quality, line_dedup, line_frequency, sharding, tiling, toxicity, warc
+from wattloom.llm.common import held_out, table
 from wattloom.llm.registry import ORACLES, QUERIES, query
 from wattloom.session import materialize
 
@@ -19,6 +19,29 @@ def vocabulary_path(name: str, folder: str = TOKENIZERS) -> str:
     return f"{folder}/{name}"
 
 
+def _learned(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select(
+        F.col("doc").alias("doc_id"), held_out("doc", 5).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+@query("op1_nnpu_toxicity")
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic labels of the training rows are the positives, all training texts the unlabelled pool."""
+    docs, train = table(spark, sf_dir, "documents"), ~held_out("doc_id", 5)
+    labels = table(spark, sf_dir, "labels").where(train)
+    model = toxicity.fit(docs.where(train), labels.where("toxic = 1"), toxicity.prior_of(labels))
+    return _learned(model.score(docs), 0.5)
+
+
+@query("op6_compression_quality")
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, train = table(spark, sf_dir, "documents"), ~held_out("doc_id", 5)
+    model = compression_quality.fit(docs.where(train), table(spark, sf_dir, "labels").where(train))
+    return _learned(model.score(docs), 0.3)
+
+
 @query("op2_bounded_ring")
 def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: at load factor 1 every shard is filled to its quota, so counts are at most one apart."""
@@ -85,6 +108,11 @@ def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_class_bigrams")
+def op7_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 @query("op8_string_tiling")
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item of which at least half the tokens lie under tiles."""
