@@ -11,14 +11,14 @@ its byte-pair encoding; decoding emits the labels of the arcs.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from wattloom.llm.common import map_texts
+
 # White space and the pre-split pattern of byte-level vocabularies.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = (
@@ -181,19 +181,22 @@ def load(path: str) -> Automaton:
 
 
 def _both(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         # a worker keeps the shared value from task to task, and with it the words it has met
         held = shared.value
         automaton = held.get("automaton") or held.setdefault("automaton", Automaton.from_tables(held["tables"]))
-        for batch in batches:
-            ids, texts = [], []
-            for text in batch["text"]:
+
+        def work(texts):
+            ids, decoded = [], []
+            for text in texts:
                 got = automaton.encode(text or "")
                 ids.append(np.array(got, np.int32))
-                texts.append(automaton.decode(got))
-            yield pd.DataFrame({"doc": batch["doc"], "ids": ids, "decoded": texts})
+                decoded.append(automaton.decode(got))
+            return {"ids": ids, "decoded": decoded}
+
+        return work
 
-    return run
+    return make
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,4 +206,4 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     """
     shared = docs.sparkSession.sparkContext.broadcast({"tables": load(path).tables()})
     body = docs.selectExpr(f"`{doc_id}` as doc", f"cast(`{text}` as string) as text")
-    return body.mapInPandas(_both(shared), f"doc {dict(body.dtypes)['doc']}, ids array<int>, decoded string")
+    return map_texts(body, "text", _both(shared), "ids array<int>, decoded string", ["doc"])

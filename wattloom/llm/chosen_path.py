@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.common import map_texts
 from wattloom.llm.components import connected
 from wattloom.session import materialize
 
@@ -71,15 +71,21 @@ def _coefficients(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 2**63, coordinates, dtype=np.uint64)
 
 
+def set_id(s: np.ndarray) -> int:
+    """Hash of a whole set from its size and two sums over it."""
+    key = np.array([len(s), s.sum(dtype=np.uint64), _mixed(s).sum(dtype=np.uint64)], np.uint64)
+    return xxhash.xxh64_intdigest(key.tobytes()) - 2**63
+
+
 def _sketches(width: int, coordinates: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         words, (a, b) = _Words(), _coefficients(coordinates)
-        for batch in batches:
+
+        def work(texts):
             sid, size, low, byte = [], [], [], []
-            for text in batch["text"]:
+            for text in texts:
                 s = shingles(text, words, width)
-                key = np.array([len(s), s.sum(dtype=np.uint64), _mixed(s).sum(dtype=np.uint64)], np.uint64)
-                sid.append(xxhash.xxh64_intdigest(key.tobytes()) - 2**63)
+                sid.append(set_id(s))
                 size.append(len(s))
                 best = np.full(coordinates, 2**64 - 1, np.uint64)
                 for at in range(0, len(s), 4096):
@@ -87,19 +93,24 @@ def _sketches(width: int, coordinates: int):
                 values = (best >> np.uint64(32)).astype(np.uint32)
                 low.append(values.view(np.int32))
                 byte.append((_mixed(values.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc": batch["doc"], "sid": sid, "size": size, "minhash": low, "bytes": byte})
+            return {"sid": sid, "size": size, "minhash": low, "bytes": byte}
 
-    return run
+        return work
+
+    return make
 
 
 def _full(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         words = _Words()
-        for batch in batches:
-            sets = [shingles(t, words, width).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"sid": batch["sid"], "shingles": sets})
 
-    return run
+        def work(texts):
+            sets = [shingles(t, words, width) for t in texts]
+            return {"sid": [set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+
+        return work
+
+    return make
 
 
 def runs_for(target_recall: float, threshold: float, depth: int) -> int:
@@ -273,11 +284,8 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    kind = dict(body.dtypes)["doc"]
     sets = materialize(
-        body.mapInPandas(
-            _sketches(width, COORDINATES), f"doc {kind}, sid long, size int, minhash array<int>, bytes binary"
-        ),
+        map_texts(body, "text", _sketches(width, COORDINATES), "sid long, size int, minhash array<int>, bytes binary", ["doc"]),
         "path-sets",
     )
     reps = materialize(
@@ -323,7 +331,7 @@ def near_duplicates(
     texts = body.join(wanted.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
     # a reused id may name several texts; each is a set of its own, and only wanted ones are kept
     full = materialize(
-        texts.mapInPandas(_rehash(width), "sid long, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles")),
+        map_texts(texts, "text", _full(width), "sid long, shingles binary", []).groupBy("sid").agg(F.first("shingles").alias("shingles")),
         "path-full",
     )
     counts = active.groupBy("node").agg(F.count(F.lit(1)).alias("members"))
@@ -341,18 +349,3 @@ def near_duplicates(
         "sid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
     )
     return sets.select("doc", "sid").join(per_set, "sid").select("doc", "class_id", "n_links")
-
-
-def _rehash(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words()
-        for batch in batches:
-            sid, full = [], []
-            for text in batch["text"]:
-                s = shingles(text, words, width)
-                key = np.array([len(s), s.sum(dtype=np.uint64), _mixed(s).sum(dtype=np.uint64)], np.uint64)
-                sid.append(xxhash.xxh64_intdigest(key.tobytes()) - 2**63)
-                full.append(s.tobytes())
-            yield pd.DataFrame({"sid": sid, "shingles": full})
-
-    return run

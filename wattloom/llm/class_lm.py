@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import LOWER, UPPER, held_out
+from wattloom.llm.common import LOWER, UPPER, held_out, map_texts
 from wattloom.session import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,7 +34,8 @@ ADD = 0.1
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(ASCII_LOWER) if (text or "").isascii() is False else (text or "").lower())
+    text = text or ""
+    return WORD.findall(text.lower() if text.isascii() else text.translate(ASCII_LOWER))
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,26 +178,34 @@ def _classed(classes: Classes):
 def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, room: np.ndarray):
     """Per text: what needs no join, and the words whose counts are not shipped, with how often they stand in it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         of, known = classes.of, counts.get
         log_count = {w: float(np.log10(c + ADD)) for w, c in counts.items()}
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
+        start, end_known = log_count.get(END, float(np.log10(ADD))), int(END in counts)
+
+        def work(texts):
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "path", "sure", "words", "times")}
+            for text in texts:
                 words = tokens_of(text)
                 seq = np.fromiter(map(of, (END, *words, END)), np.int64, len(words) + 2)
-                path = float(transition[seq[:-1], seq[1:]].sum() - room[seq[1:]].sum())
-                sure, n_known, open_words = log_count[END] if END in log_count else float(np.log10(ADD)), int(END in counts), Counter()
+                sure, n_known, open_words = start, end_known, Counter()
                 for w, n in Counter(words).items():
                     if known(w) is None:
                         open_words[w] = n
                     else:
                         sure += n * log_count[w]
                         n_known += n
-                rows.append((doc, len(words) + 1, n_known, path, sure, list(open_words), list(open_words.values())))
-            yield pd.DataFrame(rows, columns=["doc", "n_tokens", "n_known", "path", "sure", "words", "times"])
+                out["n_tokens"].append(len(words) + 1)
+                out["n_known"].append(n_known)
+                out["path"].append(float(transition[seq[:-1], seq[1:]].sum() - room[seq[1:]].sum()))
+                out["sure"].append(sure)
+                out["words"].append(list(open_words))
+                out["times"].append(list(open_words.values()))
+            return out
 
-    return run
+        return work
+
+    return make
 
 
 class Model:
@@ -209,10 +218,8 @@ class Model:
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc, n_tokens, n_known, base_score, score): one row per row of ``docs``; null texts are one end token."""
         body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-        schema = (
-            f"doc {dict(body.dtypes)['doc']}, n_tokens long, n_known long, path double, sure double, words array<string>, times array<long>"
-        )
-        parts = body.mapInPandas(_score(self.classes, self.counts, self.transition, self.room), schema)
+        added = "n_tokens long, n_known long, path double, sure double, words array<string>, times array<long>"
+        parts = map_texts(body, "text", _score(self.classes, self.counts, self.transition, self.room), added, ["doc"])
         parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "lm-parts")
         open_words = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
         open_words = open_words.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))

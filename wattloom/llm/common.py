@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # The white space of the query contracts, as a regular expression class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -37,3 +41,25 @@ def inline_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     """A small driver-made table as a literal inside the plan, so no Python worker is needed to read it."""
     literal = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
     return spark.range(1).select(F.inline(literal))
+
+
+def map_texts(df: DataFrame, text: str, make: Callable, added: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns computed from a text column, one Arrow batch at a time; the kept columns pass through untouched.
+
+    ``make()`` runs once per task and returns a function from a list of texts (or nulls) to a dict of the
+    columns that ``added`` declares. Ids therefore never turn into floats where some are null.
+    """
+    keep = list(df.columns if keep is None else keep)
+    new = T.StructType.fromDDL(added)
+    names = [*keep, *new.fieldNames()]
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            got = work(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            columns += [pa.array(got[name], type=kind, from_pandas=True) for name, kind in kinds]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return df.mapInArrow(run, T.StructType([df.schema[c] for c in keep] + new.fields))

@@ -8,14 +8,13 @@ outside the dictionaries turns it into a probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.common import map_texts
+
 #: Dictionaries and curve are fitted on about so many labelled texts of each class at most.
 MAX_PER_CLASS = 2_000
 DICTIONARY_BYTES = 112 << 10
@@ -86,16 +85,18 @@ def probability(curve: dict, x: np.ndarray) -> np.ndarray:
 
 
 def _scored(good: bytes, bad: bytes, curve: dict):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         sizes = Sizes(good, bad)
-        for batch in batches:
-            got = np.array([sizes.of(t) for t in batch["text"]], np.int64).reshape(-1, 4)
-            yield pd.DataFrame({
-                "doc": batch["doc"], "raw_bytes": got[:, 0], "good_bytes": got[:, 2], "bad_bytes": got[:, 3],
-                "score": probability(curve, features(got)),
-            })
 
-    return run
+        def work(texts):
+            got = np.array([sizes.of(t) for t in texts], np.int64).reshape(-1, 4)
+            return {
+                "raw_bytes": got[:, 0], "good_bytes": got[:, 2], "bad_bytes": got[:, 3], "score": probability(curve, features(got)),
+            }
+
+        return work
+
+    return make
 
 
 class Model:
@@ -107,8 +108,8 @@ class Model:
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc, raw_bytes, good_bytes, bad_bytes, score): every whole text; null and empty ones get the curve's value at no difference."""
         body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-        schema = f"doc {dict(body.dtypes)['doc']}, raw_bytes long, good_bytes long, bad_bytes long, score double"
-        return body.mapInPandas(_scored(self.good, self.bad, self.curve), schema)
+        added = "raw_bytes long, good_bytes long, bad_bytes long, score double"
+        return map_texts(body, "text", _scored(self.good, self.bad, self.curve), added, ["doc"])
 
 
 def fit(

@@ -32,7 +32,7 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, train = table(spark, sf_dir, "documents"), ~held_out("doc_id", 5)
     labels = table(spark, sf_dir, "labels").where(train)
     model = toxicity.fit(docs.where(train), labels.where("toxic = 1"), toxicity.prior_of(labels))
-    return _learned(model.score(docs), 0.5)
+    return _learned(model.with_score(docs.select(F.col("doc_id").alias("doc"), "text"), keep=["doc"]), 0.5)
 
 
 @query("op6_compression_quality")

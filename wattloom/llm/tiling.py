@@ -10,14 +10,13 @@ reordered is still found.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.common import map_texts
+
 MIN_MATCH = 5
 #: A seed table of up to so many rows (about 40 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SEEDS = 500_000
@@ -73,26 +72,27 @@ def tile(item_pos: np.ndarray, doc_pos: np.ndarray, width: int) -> list[tuple[in
     return sorted(tiles)
 
 
-def _tiled(width: int, threshold: float, doc_type: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: dict[str, list] = defaultdict(list)
-            for doc, item, n, ip, dp in zip(
-                batch["doc"], batch["item"], batch["n"], batch["ip"], batch["dp"], strict=True
-            ):
-                tiles = tile(np.asarray(ip), np.asarray(dp), width)
+TILED = "n_item_tokens long, n_covered long, coverage double, n_tiles long, tiles array<struct<item_pos: int, doc_pos: int, length: int>>"
+
+
+def _tiled(width: int):
+    def make():
+        def work(pairs):
+            out: dict[str, list] = {c: [] for c in ("n_item_tokens", "n_covered", "coverage", "n_tiles", "tiles")}
+            for pair in pairs:
+                n, hits = pair["n"], np.array([(h["ip"], h["dp"]) for h in pair["hits"]], np.int64)
+                tiles = tile(hits[:, 0], hits[:, 1], width)
                 covered = sum(t[2] for t in tiles)
-                if covered >= threshold * n:
-                    for name, value in (
-                        ("doc", doc), ("item", item), ("n_item_tokens", n), ("n_covered", covered),
-                        ("coverage", covered / n), ("n_tiles", len(tiles)),
-                        ("tiles", [{"item_pos": a, "doc_pos": b, "length": c} for a, b, c in tiles]),
-                    ):
-                        rows[name].append(value)
-            if rows:
-                yield pd.DataFrame(rows).astype({"doc": doc_type} if doc_type == "Int64" else {})
+                out["n_item_tokens"].append(n)
+                out["n_covered"].append(covered)
+                out["coverage"].append(covered / n)
+                out["n_tiles"].append(len(tiles))
+                out["tiles"].append([{"item_pos": a, "doc_pos": b, "length": c} for a, b, c in tiles])
+            return out
 
-    return run
+        return work
+
+    return make
 
 
 def contaminated(
@@ -126,12 +126,6 @@ def contaminated(
     pairs = hits.groupBy("d", "item", "n").agg(F.collect_set(F.struct("ip", "dp")).alias("hits"))
     # a pair with fewer seeds than the least coverage needs cannot pass: m tokens under tiles need m / width seeds at least
     pairs = pairs.where(F.size("hits") * width >= threshold * F.col("n")).select(
-        F.col("d.id").alias("doc"), "item", "n",
-        F.transform("hits", lambda x: x.ip).alias("ip"), F.transform("hits", lambda x: x.dp).alias("dp"),
-    )
-    kind, item_kind = dict(pairs.dtypes)["doc"], dict(pairs.dtypes)["item"]
-    schema = (
-        f"doc {kind}, item {item_kind}, n_item_tokens long, n_covered long, coverage double, n_tiles long,"
-        " tiles array<struct<item_pos: int, doc_pos: int, length: int>>"
+        F.col("d.id").alias("doc"), "item", F.struct("n", "hits").alias("pair")
     )
-    return pairs.mapInPandas(_tiled(width, threshold, "Int64" if kind in ("bigint", "int") else ""), schema)
+    return map_texts(pairs, "pair", _tiled(width), TILED, ["doc", "item"]).where(F.col("coverage") >= threshold)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.common import map_texts
+
 #: The classifiers are fitted on about so many texts at most; scoring and statistics cover everything.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 12_000
 MAX_FEATURES = 20_000
@@ -78,13 +80,16 @@ def _active(text: str | None, lookup: _Lookup) -> tuple[list[int], list[float]]:
 
 
 def _rows(number: dict[str, int]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         lookup = _Lookup(number)
-        for batch in batches:
-            pairs = [_active(t, lookup) for t in batch["text"]]
-            yield pd.DataFrame({"positive": batch["positive"], "active": [a for a, _ in pairs], "value": [v for _, v in pairs]})
 
-    return run
+        def work(texts):
+            pairs = [_active(t, lookup) for t in texts]
+            return {"active": [a for a, _ in pairs], "value": [v for _, v in pairs]}
+
+        return work
+
+    return make
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -135,15 +140,17 @@ def nn_pu_fit(
     return w, b
 
 
-def _scored(number: dict[str, int], weights: np.ndarray, bias: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scored(number: dict[str, int], weights: np.ndarray, bias: np.ndarray, column: str):
+    def make():
         lookup = _Lookup(number)
-        for batch in batches:
-            rows = Sparse([_active(t, lookup) for t in batch["text"]], weights.shape[1])
-            scores = np.mean([_sigmoid(rows.dot(w) + b) for w, b in zip(weights, bias, strict=True)], axis=0)
-            yield batch.drop(columns="text").assign(score=scores)
 
-    return run
+        def work(texts):
+            rows = Sparse([_active(t, lookup) for t in texts], weights.shape[1])
+            return {column: np.mean([_sigmoid(rows.dot(w) + b) for w, b in zip(weights, bias, strict=True)], axis=0)}
+
+        return work
+
+    return make
 
 
 class Model:
@@ -152,10 +159,9 @@ class Model:
     def __init__(self, number: dict[str, int], weights: np.ndarray, bias: np.ndarray, prior: float):
         self.number, self.weights, self.bias, self.prior = number, weights, bias, prior
 
-    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc, score): every whole text; null and empty texts get the score of a text without features."""
-        body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-        return body.mapInPandas(_scored(self.number, self.weights, self.bias), f"doc {dict(body.dtypes)['doc']}, score double")
+    def with_score(self, docs: DataFrame, text: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:
+        """Rows of ``docs`` with the score of the whole text; null and empty texts get that of a text without features."""
+        return map_texts(docs, text, _scored(self.number, self.weights, self.bias, column), f"`{column}` double", keep)
 
 
 def _share(most: int, count: int) -> float:
@@ -201,7 +207,7 @@ def fit(
     gain = F.col("p") * F.log(lift)
     chosen = per_feature.where((F.col("p") >= least) & (lift >= 2) & (gain >= MIN_GAIN)).orderBy(gain.desc(), "feature").limit(max_features)
     number = {r["feature"]: k for k, r in enumerate(chosen.select("feature").collect())}
-    rows = sample.mapInPandas(_rows(number), "positive boolean, active array<int>, value array<double>").collect()
+    rows = map_texts(sample, "text", _rows(number), "active array<int>, value array<double>", ["positive"]).collect()
     positive = Sparse([(r["active"], r["value"]) for r in rows if r["positive"]], len(number))
     unlabelled = Sparse([(r["active"], r["value"]) for r in rows if not r["positive"]], len(number))
     fits = [nn_pu_fit(positive, unlabelled, prior, seed) for seed in range(classifiers)]

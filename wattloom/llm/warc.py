@@ -14,9 +14,12 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed values of the seekable format and of WARC 1.1.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -123,21 +126,20 @@ class BundleReader:
 
 
 def _write(frame_bytes: int, bundle_bytes: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def row(w: BundleWriter) -> pd.DataFrame:
+    kinds = to_arrow_schema(T.StructType.fromDDL(BUNDLE_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(w: BundleWriter) -> pa.RecordBatch:
             data, frames, index = w.close()
-            name = hashlib.sha256(data).hexdigest()[:24]
-            return pd.DataFrame({
-                "bundle": [f"bundle-{name}.warc.zst"], "data": [data], "n_frames": [frames], "n_records": [len(index)], "index": [index]
-            })
+            name = f"bundle-{hashlib.sha256(data).hexdigest()[:24]}.warc.zst"
+            values = ([name], [data], [frames], [len(index)], [index])
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, kinds, strict=True)], names=kinds.names)
 
         writer = BundleWriter(frame_bytes)
         for batch in batches:
-            refers = batch["refers_to"].astype(object).where(batch["refers_to"].notna(), None)
-            ids = batch["page_id"].astype(object).where(batch["page_id"].notna(), None)
-            for page, url, html, digest, to in zip(ids, batch["url"], batch["html"], batch["digest"], refers, strict=True):
-                page, to = (v if v is None or isinstance(v, str) else int(v) for v in (page, to))
-                writer.add(record_id(page), make_record(page, url, (html or "").encode(), digest, to))
+            for r in batch.to_pylist():
+                record = make_record(r["page_id"], r["url"], r["html"].encode("utf-8", "replace"), r["digest"], r["refers_to"])
+                writer.add(record_id(r["page_id"]), record)
                 if writer.total >= bundle_bytes:
                     yield row(writer)
                     writer = BundleWriter(frame_bytes)
@@ -174,7 +176,7 @@ def bundles(
     )
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    return rows.mapInPandas(_write(frame_bytes, bundle_bytes), BUNDLE_SCHEMA)
+    return rows.mapInArrow(_write(frame_bytes, bundle_bytes), BUNDLE_SCHEMA)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
