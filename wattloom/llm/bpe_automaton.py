@@ -63,6 +63,8 @@ class Automaton:
         self.entry[token] = ((token, NEVER), *entry)
 
     def _merge(self, rank: int, x: int, y: int, made: int) -> None:
+        if x not in self.state or y not in self.state or not self._leads(x, y):
+            return  # no arc x leads to a state with an arc y, so this merge never happens
         self.removed[x, y] = rank
         self._arc(
             made, self.labels[x] + self.labels[y],
@@ -88,20 +90,23 @@ class Automaton:
         made._start()
         return made
 
+    def _leads(self, last: int, token: int) -> bool:
+        """The state behind ``last`` has the arc ``token``, as far as gadgets have been added."""
+        for x, until in self.state[last]:
+            for y, there in self.entry[token]:
+                rank = self.removed.get((x, y))
+                # at equal ranks the pair further left merges first: inside the left token, not inside the right one
+                if rank is not None and rank < until and rank <= there:
+                    return False
+        return True
+
     def follows(self, last: int, token: int) -> bool:
-        """The state behind ``last`` has the arc ``token``: a row of the transition table, filled when first asked for."""
+        """``_leads`` as an entry of the transition table, filled in when first asked for."""
         known = self.table.get((last, token))
         if known is None:
-            known = True
-            for x, until in self.state[last]:
-                for y, there in self.entry[token]:
-                    rank = self.removed.get((x, y))
-                    # at equal ranks the pair further left merges first: inside the left token, not inside the right one
-                    if rank is not None and rank < until and rank <= there:
-                        known = False
             if len(self.table) > 4_000_000:
                 self.table.clear()
-            self.table[last, token] = known
+            known = self.table[last, token] = self._leads(last, token)
         return known
 
     def word(self, data: bytes) -> tuple[int, ...]:
