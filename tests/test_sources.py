@@ -1,10 +1,14 @@
 """Column roles, layouts, readers and resumable sinks on small files."""
 
+from dataclasses import replace
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from wattloom.functions import scalars as SC
+from wattloom.operators import clean
+from wattloom.params import DEFAULT
 from wattloom.sources import readers as R
 from wattloom.sources import sinks as K
 from wattloom.sources.roles import detect, detect_eda, layout
@@ -118,3 +122,68 @@ def test_scalars(spark):
     assert all(v == int(hashlib.md5(k.encode()).hexdigest(), 16) % 100 for k, v in got.items())
     n = spark.range(0, 300).select("id", SC.window_count(F.col("id"), 48, 8).alias("c")).collect()
     assert all(r.c == (0 if r.id < 48 else (r.id - 48) // 8 + 1) for r in n)
+
+
+def write_files(folder, tables):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, columns in tables.items():
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        if name.lower().endswith(".csv"):
+            rows = zip(*columns.values())
+            path.write_text("\n".join([",".join(columns), *[",".join("" if v is None else str(v) for v in r) for r in rows]]) + "\n")
+        else:
+            pq.write_table(pa.table(columns), path)
+
+
+def sums(spark, folder):
+    rows = R.read_tree(spark, str(folder)).groupBy("building").agg(F.count("energy").alias("n"), F.sum("energy").alias("s")).collect()
+    return {r.building: (r.n, r.s) for r in rows}
+
+
+TS = ["2024-01-01 00:00:00", "2024-01-01 01:00:00"]
+
+
+def test_files_of_any_type_and_suffix_are_kept(spark, tmp_path):
+    write_files(tmp_path, {
+        "a/one.parquet": {"bldg_id": ["x", "x"], "timestamp": TS, "kwh": [1, 2]},
+        "a/two.parquet": {"bldg_id": ["y", "y"], "timestamp": TS, "kwh": [1.5, 2.5]},
+        "a/THREE.PARQUET": {"bldg_id": ["z", "z"], "timestamp": TS, "kwh": [3, 4]},
+        "a/FOUR.CSV": {"bldg_id": ["w", "w"], "timestamp": TS, "kwh": [5, None]},
+        "b/ids.csv": {"bldg_id": [123, 123], "timestamp": TS, "kwh": [1, 2]},
+        "b/ids.parquet": {"bldg_id": [123, 123], "timestamp": TS, "kwh": [10.0, 20.0]},
+    })
+    assert sums(spark, tmp_path) == {"x": (2, 3.0), "y": (2, 4.0), "z": (2, 7.0), "w": (1, 5.0), "123": (4, 33.0)}
+
+
+def test_digit_times_and_text_columns(spark, tmp_path):
+    write_files(tmp_path, {
+        "c/days.csv": {"bldg_id": ["d", "d"], "date": [20240101, 20240102], "kwh": [1, 2]},
+        "c/wide.parquet": {"Timestamp": TS, "h1": ["7", "x"], "h2": [1.0, 2.0], "note": ["p", "q"]},
+        "c/wide.csv": {"Timestamp": TS, "k1": [1, "?"], "k2": [3, 4], "note": ["p", "q"]},
+    })
+    out = R.read_tree(spark, str(tmp_path))
+    assert sums(spark, tmp_path) == {"d": (2, 3.0), "h1": (1, 7.0), "h2": (2, 3.0), "k1": (1, 1.0), "k2": (2, 7.0)}
+    assert sorted(str(r.ts) for r in out.where("building = 'd'").collect()) == ["2024-01-01 00:00:00", "2024-01-02 00:00:00"]
+
+
+def test_series_without_a_time_column_keep_all_rows_in_order(spark, tmp_path):
+    values = [float(k % 7) for k in range(1000)]
+    write_files(tmp_path, {
+        "s/house.parquet": {"energy": values},
+        "s/timed.parquet": {"energy": [1.0, 2.0, 3.0], "timestamp": [TS[0], None, None]},
+    })
+    p = replace(DEFAULT, min_len=1)
+    out = clean.clean(R.read_tree(spark, str(tmp_path)), ["file", "row"], p=p)
+    house = [r.energy for r in out.where("building = 'house'").orderBy("t").collect()]
+    assert house == values
+    assert [r.energy for r in out.where("building = 'timed'").orderBy("t").collect()] == [1.0, 2.0]
+
+
+def test_exploratory_files_without_an_id(spark):
+    one = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-02", 2.0)], "date string, energy double")
+    assert {(r.building, r.energy) for r in R.eda_readings(one, "g").collect()} == {("g", 1.0), ("g", 2.0)}
+    two = spark.createDataFrame([("2024-01-01", 1.0, 5)], "date string, a double, b int")
+    assert {(r.building, r.energy) for r in R.eda_readings(two, "g").collect()} == {("a", 1.0), ("b", 5.0)}

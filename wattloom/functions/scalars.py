@@ -18,8 +18,9 @@ def to_number(c: Column) -> Column:
 
 
 def to_time(c: Column) -> Column:
-    """Timestamp without zone or null, for any input type."""
-    return c.try_cast("timestamp_ntz")
+    """Timestamp without zone or null, for text and time types; text of eight digits is a date."""
+    compact = F.try_to_timestamp(F.regexp_extract(c.cast("string"), r"^\s*(\d{8})\s*$", 1), F.lit("yyyyMMdd"))
+    return F.coalesce(c.try_cast("timestamp_ntz"), compact.cast("timestamp_ntz"))
 
 
 def safe_name(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,18 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattloom.functions.scalars import loose_number, safe_name, to_number, to_time, us_date
-from wattloom.sources.roles import Layout, detect_eda, layout
+from wattloom.sources.roles import Layout, data_columns, detect_eda, is_number, layout
 
 log = logging.getLogger(__name__)
 
-READING = ("source", "resolution", "grp", "building", "ts", "energy", "file", "row")
+READING = ("source", "resolution", "grp", "building", "ts", "energy", "file", "row", "timed")
+ANY_CASE = {"parquet": "*.[pP][aA][rR][qQ][uU][eE][tT]", "csv": "*.[cC][sS][vV]"}
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every parquet and csv file below root: path, grp (its folder), size_mb. No content is read."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{parquet,csv,PARQUET,CSV}").load(root)
+        .option("pathGlobFilter", "{" + ",".join(ANY_CASE.values()) + "}").load(root)
     )
     return files.select("path", group_of(F.col("path"), root).alias("grp"), (F.col("length") / 1e6).alias("size_mb"))
 
@@ -44,7 +46,7 @@ def file_stem(path: Column) -> Column:
 
 
 def footers(files: DataFrame) -> DataFrame:
-    """Rows, columns, row groups and column names of each parquet file, from its footer only."""
+    """Rows, columns, row groups, column names and types of each parquet file, from its footer only."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import quote
@@ -60,16 +62,17 @@ def footers(files: DataFrame) -> DataFrame:
                     with store.open_input_file(inner) as handle:
                         meta = pq.ParquetFile(handle)
                         names = " | ".join(meta.schema_arrow.names)
+                        types = " | ".join(str(f.type) for f in meta.schema_arrow)
                         m = meta.metadata
-                        rows.append((path, size, m.num_rows, len(meta.schema_arrow.names), m.num_row_groups, names, None))
+                        rows.append((path, size, m.num_rows, len(meta.schema_arrow.names), m.num_row_groups, names, types, None))
                 except Exception as e:  # an unreadable file is a row of the inventory
-                    rows.append((path, size, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "size_mb", "n_rows", "n_cols", "n_row_groups", "columns", "error"]).astype(
+                    rows.append((path, size, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "size_mb", "n_rows", "n_cols", "n_row_groups", "columns", "types", "error"]).astype(
                 {"n_rows": "Int64", "n_cols": "Int64", "n_row_groups": "Int64"}
             )
 
     return files.select("path", "size_mb").mapInPandas(
-        read, "path string, size_mb double, n_rows long, n_cols long, n_row_groups long, columns string, error string"
+        read, "path string, size_mb double, n_rows long, n_cols long, n_row_groups long, columns string, types string, error string"
     )
 
 
@@ -106,17 +109,20 @@ def schema_census(inventory: DataFrame) -> DataFrame:
 def read_any(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
     """Parquet or csv files with helper columns ``__file`` and ``__row`` (position in the source).
 
-    Unreadable files are skipped.
+    A list names files of one schema whose footers could be read, so a damaged block is an error; below
+    a folder, files that can't be read at all are skipped. The suffix counts in any case. Text stays text.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    if kind not in ANY_CASE:
+        raise ValueError(f"unknown file kind {kind!r}")
+    reader = spark.read.option("recursiveFileLookup", True)
+    if isinstance(path, str):
+        reader = reader.option("ignoreCorruptFiles", True).option("pathGlobFilter", ANY_CASE[kind])
     if kind == "parquet":
-        df = reader.option("pathGlobFilter", "*.parquet").parquet(*([path] if isinstance(path, str) else path))
+        df = reader.parquet(*([path] if isinstance(path, str) else path))
         place = F.struct(F.lit(0).cast("long").alias("block"), F.col("_metadata.row_index").alias("line"))
-    elif kind == "csv":
-        df = reader.option("pathGlobFilter", "*.csv").option("header", True).csv(path)
-        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     else:
-        raise ValueError(f"unknown file kind {kind!r}")
+        df = reader.option("header", True).csv(path)
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     return df.select("*", plain_path(F.col("_metadata.file_path")).alias("__file"), place.alias("__row"))
 
 
@@ -127,24 +133,40 @@ def csv_numbers(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in names if bad[c] == 0})
 
 
+def with_numbers(df: DataFrame, shape: Layout) -> Layout:
+    """A wide layout's text columns count as buildings if they hold any number; one pass over those columns."""
+    text = [c for c in shape.text if c not in shape.buildings]
+    if shape.kind != "wide" or not text:
+        return shape
+    some = df.agg(*[F.count(to_number(F.col(f"`{c}`"))).alias(str(k)) for k, c in enumerate(text)]).first()
+    found = {c for k, c in enumerate(text) if some[k]}
+    order = [c for c in data_columns(df.schema) if c in found or c in shape.buildings]
+    return replace(shape, buildings=tuple(order))
+
+
 def to_readings(
     df: DataFrame, grp: Column, file: Column, row: Column,
     source: str = "real", resolution: str = "Hourly", shape: Layout | None = None,
 ) -> DataFrame:
-    """Any layout -> one long table of readings. Only the columns in use are read."""
+    """Any layout -> one long table of readings. Only the columns in use are read.
+
+    ``timed`` is false where the source has no time column at all; there the order is that of file and row.
+    """
     shape = shape or layout(df.schema)
     r = shape.roles
     if not shape.resolved:
         log.warning("no measure column found in %s; every number is taken as a building", df.columns)
-    ts = to_time(F.col(r.time)) if r.time else F.lit(None).cast("timestamp_ntz")
-    base = {"grp": grp, "ts": ts, "file": file, "row": row}
+    # digits as a time are read as text (20240101), whatever type holds them
+    digits = r.time is not None and is_number(df.schema[r.time].dataType)
+    ts = to_time(F.col(r.time).cast("string") if digits else F.col(r.time)) if r.time else F.lit(None).cast("timestamp_ntz")
+    base = {"grp": grp, "ts": ts, "file": file, "row": row, "timed": F.lit(r.time is not None)}
     head = [c.alias(k) for k, c in base.items()]
     if shape.kind == "long":
         out = df.select(*head, safe_name(F.col(r.id)).alias("building"), to_number(F.col(r.value)).alias("energy"))
     elif shape.kind == "single":
         out = df.select(*head, safe_name(file_stem(file)).alias("building"), to_number(F.col(r.value)).alias("energy"))
     else:
-        numbers = df.select(*head, *[to_number(F.col(c)).alias(c) for c in shape.buildings])
+        numbers = df.select(*head, *[to_number(F.col(f"`{c}`")).alias(c) for c in shape.buildings])
         out = numbers.unpivot(list(base), list(shape.buildings), "building", "energy")
         out = out.withColumn("building", safe_name(F.col("building")))
     return out.withColumns({"source": F.lit(source), "resolution": F.lit(resolution)}).select(*READING)
@@ -153,8 +175,16 @@ def to_readings(
 def eda_readings(df: DataFrame, grp: str) -> DataFrame:
     """Readings by the exploratory column rule; rows without a time are dropped."""
     r = detect_eda(df.schema)
-    if r.time is None or r.id is None or r.value is None:
-        raise ValueError(f"time, id or value not found in {df.columns}")
+    if r.time is None or r.value is None:
+        raise ValueError(f"time or value not found in {df.columns}")
+    if r.id is None:
+        # without an id every number is a building; a single one is named after its file
+        numbers = [c for c in data_columns(df.schema) if c != r.time and is_number(df.schema[c].dataType)] or [r.value]
+        stem = file_stem(F.col("__file")) if "__file" in df.columns else F.lit(grp)
+        wide = df.select(to_time(F.col(r.time)).alias("ts"), stem.alias("__stem"), *[to_number(F.col(f"`{c}`")).alias(c) for c in numbers])
+        out = wide.unpivot(["ts", "__stem"], numbers, "building", "energy").where("ts IS NOT NULL")
+        name = F.col("__stem") if len(numbers) == 1 else F.col("building")
+        return out.select(F.lit(grp).alias("grp"), name.alias("building"), "ts", "energy")
     return df.select(
         F.lit(grp).alias("grp"), F.col(r.id).cast("string").alias("building"), to_time(F.col(r.time)).alias("ts"),
         to_number(F.col(r.value)).alias("energy"),
@@ -162,30 +192,29 @@ def eda_readings(df: DataFrame, grp: str) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str, source: str = "real", resolution: str = "Hourly") -> DataFrame:
-    """All readings below root. Files are grouped by schema, so each schema is one scan."""
+    """All readings below root. Files are grouped by column names and types, so each schema is one scan.
+
+    Unreadable files are skipped with a warning. Ids and times of csv files stay as they are written.
+    """
     files = list_files(spark, root)
     is_csv = F.lower("path").endswith(".csv")
-    heads = footers(files.where(~is_csv)).select(F.lit("parquet").alias("kind"), "columns", "path", "error").unionByName(
-        csv_headers(files.where(is_csv)).withColumn("kind", F.lit("csv"))
+    heads = footers(files.where(~is_csv)).select(F.lit("parquet").alias("kind"), "columns", "types", "path", "error").unionByName(
+        csv_headers(files.where(is_csv)).withColumns({"kind": F.lit("csv"), "types": F.lit("")})
     )
-    by_schema: dict[tuple[str, str], list[str]] = {}
+    by_schema: dict[tuple[str, str, str], list[str]] = {}
     for line in heads.toLocalIterator():  # names only, as any scan keeps them
         if line["error"] is not None:
             log.warning("skipping unreadable file %s: %s", line["path"], line["error"])
         else:
-            by_schema.setdefault((line["kind"], line["columns"]), []).append(line["path"])
-    parts = [
-        csv_numbers(read_any(spark, paths, kind)) if kind == "csv" else read_any(spark, paths, kind)
-        for (kind, _), paths in by_schema.items()
-    ]
-    if not parts:
+            by_schema.setdefault((line["kind"], line["columns"], line["types"]), []).append(line["path"])
+    if not by_schema:
         raise FileNotFoundError(f"no readable parquet or csv file below {root}")
-    tables = [
-        to_readings(p, group_of(F.col("__file"), root), F.col("__file"), F.col("__row"), source, resolution) for p in parts
-    ]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
+    out = None
+    for (kind, _, _), paths in by_schema.items():
+        part = read_any(spark, paths, kind)
+        shape = with_numbers(part, layout(part.schema))
+        table = to_readings(part, group_of(F.col("__file"), root), F.col("__file"), F.col("__row"), source, resolution, shape)
+        out = table if out is None else out.unionByName(table)
     return out
 
 

@@ -19,12 +19,16 @@ class Roles:
 
 @dataclass(frozen=True)
 class Layout:
-    """kind: long (id, value), single (value; building is the file) or wide (a column per building)."""
+    """kind: long (id, value), single (value; building is the file) or wide (a column per building).
+
+    ``text`` lists a wide table's text columns; whether they hold numbers only the data can tell.
+    """
 
     kind: str
     roles: Roles
     buildings: tuple[str, ...] = ()
     resolved: bool = True
+    text: tuple[str, ...] = ()
 
 
 def find_column(columns: Sequence[str], names: Sequence[str], partial: bool = False) -> str | None:
@@ -82,4 +86,5 @@ def layout(schema: T.StructType) -> Layout:
         if len(left) == 1:
             return Layout("long", Roles(roles.time, roles.id, left[0]))
     numbers = tuple(c for c in rest if is_number(schema[c].dataType))
-    return Layout("wide", roles, numbers, resolved=roles.id is None)
+    text = tuple(c for c in rest if isinstance(schema[c].dataType, T.StringType) and c != roles.id)
+    return Layout("wide", roles, numbers, resolved=roles.id is None, text=text)
