@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,14 +213,64 @@ def _pairs(rows: pd.DataFrame, similar, least: float):
     return left, right, links
 
 
+SMALL_GROUP = 64
+PAIRS_AT_ONCE = 200_000
+
+
+def _small_groups(cols: dict, starts: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Rows with a candidate partner, over all groups of up to ``SMALL_GROUP`` rows together."""
+    use = []
+    x = cols["bytes"]
+    for size in np.unique(sizes):
+        one, two = np.triu_indices(size, 1)
+        first = starts[sizes == size]
+        step = max(1, PAIRS_AT_ONCE // len(one))
+        for at in range(0, len(first), step):
+            i = (first[at : at + step, None] + one).ravel()
+            j = (first[at : at + step, None] + two).ravel()
+            across = (cols["lo"][i] == cols["hi"][i]) | (cols["own"][i] != cols["own"][j])
+            near = across & ((x[i] == x[j]).sum(axis=1) >= least * x.shape[1])
+            for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                if min(set(cols["nodes"][a]).intersection(cols["nodes"][b])) == cols["node"][a]:
+                    use += (a, b)
+    return np.unique(np.array(use, np.int64))
+
+
+def _whole_groups(table: pa.Table, least: float) -> pa.RecordBatch:
+    cols = {c: table.column(c).to_numpy() for c in ("node", "lo", "hi", "own", "sid")}
+    cols["bytes"] = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    cols["nodes"] = table.column("nodes").to_pylist()
+    changes = np.flatnonzero((np.diff(cols["node"]) != 0) | (np.diff(cols["lo"]) != 0) | (np.diff(cols["hi"]) != 0)) + 1
+    starts = np.concatenate(([0], changes))
+    sizes = np.diff(np.concatenate((starts, [table.num_rows])))
+    some = (sizes > 1) & (sizes <= SMALL_GROUP)
+    use = [_small_groups(cols, starts[some], sizes[some], least)]
+    for start, size in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
+        got = _pairs(table.slice(start, size).to_pandas(), _similar_bytes, least)
+        if got is not None and got[2].any():
+            left, right, links = got
+            use.append(start + np.union1d(left[links.any(axis=1)], right[links.any(axis=0)]))
+    rows = np.concatenate(use)
+    return pa.RecordBatch.from_arrays([pa.array(cols["node"][rows]), pa.array(cols["sid"][rows])], names=["node", "sid"])
+
+
 def _candidates(least: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = _pairs(rows, _similar_bytes, least)
-        if got is None or not got[2].any():
-            return rows.iloc[:0][["node", "sid"]]
-        left, right, links = got
-        use = np.union1d(left[links.any(axis=1)], right[links.any(axis=0)])
-        return rows.iloc[use][["node", "sid"]]
+    """Streams a partition sorted by group: whole groups are compared, a batch's last group waits for its rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            key = np.stack([table.column(c).to_numpy() for c in ("node", "lo", "hi")])
+            last = int(np.argmax((key == key[:, -1:]).all(axis=0)))
+            held = table.slice(last)
+            if last:
+                yield _whole_groups(table.slice(0, last), least)
+        if held is not None:
+            yield _whole_groups(held, least)
 
     return run
 
@@ -324,7 +376,8 @@ def near_duplicates(
     members = members.select("sid", "nodes", "bytes", F.col("leaf.node").alias("node"), F.col("leaf.members").alias("members"))
     group = ["node", "lo", "hi"]
     active = materialize(
-        _blocks(members, BLOCK).groupBy(*group).applyInPandas(_candidates(threshold - slack), "node long, sid long").distinct(),
+        _blocks(members, BLOCK).repartition(*group).sortWithinPartitions(*group)
+        .mapInArrow(_candidates(threshold - slack), "node long, sid long").distinct(),
         "path-active",
     )
     wanted = active.select("sid").distinct().join(owners.select("sid", "rep", "copies", "nodes"), "sid")
