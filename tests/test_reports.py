@@ -148,3 +148,43 @@ def test_column_stats_ignore_non_finite(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,), (float("nan"),), (float("inf"),)], "v double")
     r = E.column_stats(df, ["v"]).first()
     assert (r.n, r.nulls, r["mean"], r["std"], r["min"], r["max"]) == (2, 2, 2.0, 1.0, 1.0, 3.0)
+
+
+def test_stepwise_early_stop_against_a_loop(spark):
+    rng = np.random.default_rng(6)
+    runs = {f"r{k}": (np.exp(-np.arange(30) / 5) + rng.random(30) * 0.05).round(4).tolist() for k in range(5)} | {"near": [1.0, 0.995, 0.9875]}
+    want = {}
+    for run, loss in runs.items():
+        best, wait = None, 0
+        for e, v in enumerate(loss):
+            better = best is None or v <= best - 0.01
+            best, wait = (v, 0) if better else (best, wait + 1)
+            want[run, e] = (best, better, wait)
+            if wait >= 3:
+                break
+    df = spark.createDataFrame([(k, e, v) for k, x in runs.items() for e, v in enumerate(x)], "run string, epoch int, loss double")
+    got = H.early_stop_stepwise(df, ["run"], "epoch", "loss", 3, 0.01).collect()
+    assert {(r.run, r.epoch): (r.best, r.improved, r.wait) for r in got} == want
+    assert want["near", 2] == (0.9875, True, 0)
+
+
+def test_lines_stay_whole_and_logs_read_from_files_have_an_order(spark, tmp_path):
+    from wattloom.sources import readers as R
+
+    long = "x" * 300 + " shard gravado"
+    snap = "[recursos @ c] RSS={}GB | RAM_disp=9GB | load=1/1/1 | disco_livre=5GB | gpu=- | t+{}s"
+    (tmp_path / "run.log").write_text("\n".join([snap.format(k, 10 * k) for k in (1, 2, 3)] + [long]) + "\n")
+    lines = R.read_log(spark, str(tmp_path)).withColumn("log", F.lit("run"))
+    assert RL.status(lines).first().last_line == long
+    assert [r.line for r in RL.event_tail(lines).where("event = 'shard_written'").collect()] == [long]
+    snaps = RL.snapshots(lines)
+    assert snaps.count() == 3
+    growth = RL.rss_growth(snaps).first()
+    assert growth.growing and growth.rss_delta == 2.0
+
+
+def test_all_rows_without_a_sample_size_and_no_weight_without_a_value(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(30)], "g int, id int")
+    assert SA.stratified(df, "g", ["id"], 0, 1).count() == 30
+    m = spark.createDataFrame([(1, "m", 2.0, 10), (1, "m", None, 90)], "round int, metric string, value double, num_examples long")
+    assert H.weighted_metrics(m).first().value == 2.0

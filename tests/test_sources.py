@@ -110,6 +110,16 @@ def test_adopt_leaves_the_last_group_pending(spark, parts, tmp_path):
     assert [(r.split, r.grp) for r in left] == [("train", "g2")]
 
 
+def test_adopt_leaves_the_last_unrecorded_group(spark, parts, tmp_path):
+    """g3 is recorded, g2 was interrupted: g2 stays open."""
+    out, done = str(tmp_path / "out"), str(tmp_path / "done")
+    rows = spark.createDataFrame([("train", "g1", 1), ("train", "g2", 2), ("train", "g3", 3)], "split string, grp string, v int")
+    rows.write.partitionBy("split", "grp").parquet(out)
+    spark.createDataFrame([("s", "train", "g3")], K.MANIFEST_SCHEMA).write.parquet(done)
+    K.adopt(spark, out, "s", done)
+    assert [r.grp for r in K.pending(rows, K.manifest(spark, done), "s").collect()] == ["g2"]
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("a b/ç-1.x",), ("//",), (None,)], "s string")
     assert [r[0] for r in df.select(SC.safe_name(F.col("s"))).collect()] == ["a_b_ç-1.x", "unnamed", "unnamed"]

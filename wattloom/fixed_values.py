@@ -158,4 +158,12 @@ LOG_SHARD_PROGRESS = (
 )
 LOG_FOLD_PROGRESS = r"\[step6:(\w+)\] fold (\d+)/(\d+) ep (\d+): train=[\d.]+ val=[\d.]+ \(([^)]+)\)"
 LOG_END_MARK = "# fim:"
+# Event classes of log lines. A line needs all phrases of one choice; a choice with True ignores case.
+LOG_EVENTS = {
+    "training": [(False, ["[step6:", "train=", "val="])],
+    "epoch_done": [(True, ["época", "completa"])],
+    "stage": [(False, ["estágio"]), (False, ["fonte '"]), (False, ["combinado"]), (False, [": streaming"]), (False, ["shards (amostra"])],
+    "shard_written": [(True, ["shard", "grav"])],
+    "closing": [(False, ["FIM"]), (True, ["interrompid"])],
+}
 UNIT_BYTES = {"B": 1, "KB": 2**10, "MB": 2**20, "GB": 2**30, "TB": 2**40}

@@ -103,17 +103,6 @@ def duration_days_text(seconds: Column) -> Column:
     )
 
 
-def duration_human(seconds: Column) -> Column:
-    """Seconds -> "x min" below one hour, "x h" below two days, else "x dias"."""
-    h = seconds / 3600.0
-    return (
-        F.when(seconds.isNull(), F.lit("—"))
-        .when(h < 1, F.format_string("%.1f min", seconds / 60))
-        .when(h < 48, F.format_string("%.1f h", h))
-        .otherwise(F.format_string("%.1f dias", h / 24))
-    )
-
-
 def window_count(n: Column, window: int, stride: int) -> Column:
     """How many whole windows a series of n rows has."""
     return F.when(n < window, F.lit(0).cast("long")).otherwise(

@@ -34,10 +34,6 @@ def device_groups(subsets: DataFrame, devices: DataFrame) -> DataFrame:
     return devices.join(country_groups(subsets), "country").select("device", "country", "grp")
 
 
-def device_countries(devices: DataFrame, device: int) -> DataFrame:
-    return devices.where(F.col("device") == device).select("country")
-
-
 def checks(subsets: DataFrame, devices: DataFrame) -> DataFrame:
     """Countries in several devices, with data but no device, or in a device but without data."""
     present = subsets.where("present").select("country").distinct()

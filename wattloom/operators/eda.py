@@ -177,20 +177,22 @@ def daily_energy(df: DataFrame, hours_per_step: DataFrame, half: int = 15) -> Da
     return placed.withColumn("smoothed", F.when(full, F.avg("energy").over(near))).where("__own").drop("__own", "__blk", "t")
 
 
-def correlation(df: DataFrame, max_buildings: int = 60, seed: int = 7) -> DataFrame:
-    """Pearson correlation of sampled buildings over the timestamps both have (a < b).
+def correlation(df: DataFrame, buildings: DataFrame | None = None) -> DataFrame:
+    """Pearson correlation of the listed buildings (grp, building) over the timestamps both have (a < b).
 
+    Without a list every building takes part; the pairs of a group grow with the square of its list, so a
+    large group wants ``sample_buildings`` first.
     Each task adds up cross sums over its own timestamps and emits one row per pair, so the
     shuffle does not grow with the number of readings.
     """
-    names = sample_buildings(df, max_buildings, seed)
+    names = df.select("grp", "building").distinct() if buildings is None else buildings.select("grp", "building").distinct()
     numbered = names.withColumn("idx", F.row_number().over(W.partitionBy("grp").orderBy("building")) - 1)
     per_ts = (
         df.where(F.col("energy").isNotNull()).join(numbered, ["grp", "building"])
         .groupBy("grp", "ts").agg(F.collect_list(F.struct("idx", "energy")).alias("cells"))
         .select("grp", F.col("cells.idx").alias("idx"), F.col("cells.energy").alias("v"))
     )
-    width = max_buildings
+    width = names.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

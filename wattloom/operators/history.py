@@ -14,9 +14,9 @@ from wattloom.operators.ordered import int_bucket, with_halo, with_running
 
 
 def weighted_metrics(metrics: DataFrame, by: Sequence[str] = ("round", "metric")) -> DataFrame:
-    """Mean over clients weighted by their number of examples."""
+    """Mean over clients weighted by their number of examples; a client without the value weighs nothing."""
     return metrics.groupBy(*by).agg(
-        (F.sum(F.col("value") * F.col("num_examples")) / F.sum("num_examples")).alias("value"),
+        (F.sum(F.col("value") * F.col("num_examples")) / F.sum(F.when(F.col("value").isNotNull(), F.col("num_examples")))).alias("value"),
         F.sum("num_examples").alias("num_examples"),
     )
 
@@ -55,20 +55,19 @@ def overhead(server: DataFrame, clients: DataFrame) -> DataFrame:
 
 def early_stop(
     history: DataFrame, keys: Sequence[str], epoch: str, loss: str, patience: int,
-    min_delta: float = 0.0, equal_improves: bool = False, span: int = 4096,
+    min_delta: float = 0.0, span: int = 4096,
 ) -> DataFrame:
     """Per epoch: running best, epochs since the last improvement, and whether training stops here.
 
-    An epoch improves when its loss is below the earlier best by more than ``min_delta`` (or equal
-    to it, with ``equal_improves``). Only epochs up to the first stop are kept.
+    An epoch improves when its loss is below the earlier best by more than ``min_delta``. The best is the
+    smallest loss so far, improved or not. Only epochs up to the first stop are kept.
     """
     order, bucket = [F.col(epoch)], int_bucket(epoch, span)
     run = with_running(
         history, keys, order, bucket, {"best": ("min", loss), "__before": ("min", loss, "before")}
     )
     limit = F.col("__before") - F.lit(min_delta)
-    better = F.col(loss) <= limit if equal_improves else F.col(loss) < limit
-    run = run.withColumn("improved", F.col("__before").isNull() | better)
+    run = run.withColumn("improved", F.col("__before").isNull() | (F.col(loss) < limit))
     run = run.withColumn("__at", F.when(F.col("improved"), F.col(epoch)))
     run = with_running(run, keys, order, bucket, {"__last": ("max", "__at")})
     run = run.withColumn("wait", F.col(epoch) - F.col("__last"))
@@ -80,6 +79,37 @@ def early_stop(
     )
 
 
+def early_stop_stepwise(
+    history: DataFrame, keys: Sequence[str], epoch: str, loss: str, patience: int, min_delta: float = 0.0
+) -> DataFrame:
+    """The rule whose best moves only on improvement: a loss at or below the best less ``min_delta``.
+
+    Each epoch depends on the decision before it, so a run's epochs are folded in order; a run is one
+    training's list of epochs. A null loss does not improve. Only epochs up to the first stop are kept.
+    """
+    runs = history.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), F.col(loss).alias("l")))).alias("h"))
+    kinds = dict(history.dtypes)
+    step = (
+        "(a, x) -> CASE WHEN a.done THEN a ELSE named_struct("
+        f"'best', IF(a.best IS NULL OR x.l <= a.best - {min_delta}D, x.l, a.best),"
+        f"'wait', IF(a.best IS NULL OR x.l <= a.best - {min_delta}D, 0, a.wait + 1),"
+        f"'done', NOT (a.best IS NULL OR coalesce(x.l <= a.best - {min_delta}D, false)) AND a.wait + 1 >= {patience},"
+        "'out', concat(a.out, array(named_struct('e', x.e, 'l', x.l,"
+        f" 'best', IF(a.best IS NULL OR x.l <= a.best - {min_delta}D, x.l, a.best),"
+        f" 'improved', a.best IS NULL OR coalesce(x.l <= a.best - {min_delta}D, false),"
+        f" 'wait', IF(a.best IS NULL OR x.l <= a.best - {min_delta}D, 0, a.wait + 1))))) END"
+    )
+    e = kinds[epoch]
+    row = f"struct<e: {e}, l: double, best: double, improved: boolean, wait: int>"
+    start = f"named_struct('best', cast(null as double), 'wait', 0, 'done', false, 'out', cast(array() as array<{row}>))"
+    doubles = runs.withColumn("h", F.expr("transform(h, x -> named_struct('e', x.e, 'l', cast(x.l as double)))"))
+    out = doubles.select(*keys, F.explode(F.expr(f"aggregate(h, {start}, {step}, a -> a.out)")).alias("o"))
+    return out.select(
+        *keys, F.col("o.e").alias(epoch), F.col("o.l").alias(loss), F.col("o.best").alias("best"), F.col("o.improved").alias("improved"),
+        F.col("o.wait").alias("wait"), (F.col("o.wait") >= patience).alias("stops"),
+    )
+
+
 def learning_rate(epoch: Column, start: float, schedule: str = "halve") -> Column:
     """Rate at an epoch: halved every epoch, or the step table (null between its entries)."""
     if schedule == "halve":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattloom.fixed_values import LOG_END_MARK, LOG_FOLD_PROGRESS, LOG_SHARD_PROGRESS, LOG_SNAPSHOT
+from wattloom.fixed_values import LOG_END_MARK, LOG_EVENTS, LOG_FOLD_PROGRESS, LOG_SHARD_PROGRESS, LOG_SNAPSHOT
 from wattloom.functions.scalars import duration_seconds, unit_to_gb
 from wattloom.operators.history import smoothed
 from wattloom.operators.ordered import int_bucket, time_bucket, with_index, with_lag, with_running
@@ -47,17 +47,20 @@ def status(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("line").startswith("#")).alias("header_lines"),
         F.bool_or(F.col("line").contains(LOG_END_MARK)).alias("finished"),
-        F.substring(F.trim(F.max_by("line", F.when(filled, F.col("ord")))), 1, 120).alias("last_line"),
+        F.trim(F.max_by("line", F.when(filled, F.col("ord")))).alias("last_line"),
     )
 
 
-def header(lines: DataFrame) -> DataFrame:
-    return lines.where(F.col("line").startswith("#"))
+def _slice_of(lines: DataFrame) -> Column:
+    """Slices of a log's order axis: ``ord`` is a number, or file, block and line as the log reader gives them."""
+    if not dict(lines.dtypes)["ord"].startswith("struct"):
+        return int_bucket("ord", LINES_PER_BUCKET)
+    return F.struct("ord.f", "ord.b", F.floor(F.col("ord.i") / LINES_PER_BUCKET).alias("i"))
 
 
 def rss_growth(snaps: DataFrame) -> DataFrame:
     """First and last resident memory, whether it never fell (3 or more snapshots), low memory at the end."""
-    linked = with_lag(snaps, ["log"], [F.col("ord")], int_bucket("ord", LINES_PER_BUCKET), {"__p": "rss_gb"})
+    linked = with_lag(snaps, ["log"], [F.col("ord")], _slice_of(snaps), {"__p": "rss_gb"})
     return linked.groupBy("log").agg(
         F.count(F.lit(1)).alias("snapshots"),
         F.min_by("rss_gb", "ord").alias("rss_first"), F.max_by("rss_gb", "ord").alias("rss_last"),
@@ -157,23 +160,24 @@ def eta_epochs(progress: DataFrame) -> DataFrame:
 
 def event_classes() -> Column:
     """Classes a line belongs to; a line may be in several."""
-    line, low = F.col("line"), F.lower("line")
-    tests = {
-        "training": line.contains("[step6:") & line.contains("train=") & line.contains("val="),
-        "epoch_done": low.contains("época") & low.contains("completa"),
-        "stage": line.contains("estágio") | line.contains("fonte '") | line.contains("combinado")
-        | line.contains(": streaming") | line.contains("shards (amostra"),
-        "shard_written": low.contains("shard") & low.contains("grav"),
-        "closing": line.contains("FIM") | low.contains("interrompid"),
-    }
-    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in tests.items()]))
+    tests = []
+    for name, choices in LOG_EVENTS.items():
+        hit = F.lit(False)
+        for ignore_case, phrases in choices:
+            line = F.lower("line") if ignore_case else F.col("line")
+            every = F.lit(True)
+            for phrase in phrases:
+                every = every & line.contains(phrase)
+            hit = hit | every
+        tests.append(F.when(hit, F.lit(name)))
+    return F.array_compact(F.array(*tests))
 
 
 def event_tail(lines: DataFrame, k: int = 8) -> DataFrame:
     """Per log and event class: how many lines, and the last k of them."""
     hits = lines.withColumn("event", F.explode(event_classes()))
     counts = hits.groupBy("log", "event").agg(F.count(F.lit(1)).alias("events"))
-    tail = last_k(hits, ["log", "event"], k).select("log", "event", "ord", F.substring(F.trim("line"), 1, 110).alias("line"))
+    tail = last_k(hits, ["log", "event"], k).select("log", "event", "ord", F.trim("line").alias("line"))
     return tail.join(counts, ["log", "event"])
 
 

@@ -26,7 +26,9 @@ def random_k_per_group(df: DataFrame, group: Sequence[str], keys: Sequence[str],
 
 
 def stratified(df: DataFrame, group: str, keys: Sequence[str], k: int, seed: int) -> DataFrame:
-    """About k rows, each group in proportion to its size and at least one, then trimmed to k."""
+    """About k rows, each group in proportion to its size and at least one, then trimmed to k; all rows if k <= 0."""
+    if k <= 0:
+        return df
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__ng"))
     total = sizes.agg(F.sum("__ng")).scalar()
     quota = sizes.withColumn("__n", total).select(
@@ -34,7 +36,7 @@ def stratified(df: DataFrame, group: str, keys: Sequence[str], k: int, seed: int
         F.col("__n"),
         F.greatest(F.lit(1).cast("long"), F.bround(F.lit(k) * F.col("__ng") / F.col("__n")).cast("long")).alias("__q"),
     )
-    candidates = random_k_per_group(df, [group], keys, max(k, 1), seed)
+    candidates = random_k_per_group(df, [group], keys, k, seed)
     ranked = candidates.withColumn("__h", seeded_order(*[F.col(c) for c in keys], seed=seed)).withColumn(
         "__r", F.row_number().over(W.partitionBy(group).orderBy("__h", *keys))
     )
@@ -71,15 +73,17 @@ def prefix(df: DataFrame, index: str, k: int) -> DataFrame:
 def equalize(df: DataFrame, source: str, keys: Sequence[str], seed: int) -> DataFrame:
     """Same number of rows from every source: the size of the smallest.
 
-    Rows get a hash rank inside (source, hash slice), and slices are as fine as needed, so a large
-    source is spread over tasks.
+    Rows get a hash rank inside (source, hash slice). Slices are cut so that the largest source has some
+    ten thousand rows in each.
     """
+    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c"), F.max("c")).first()
+    smallest, largest = sizes[0] or 0, sizes[1] or 0
+    digits = next(d for d in range(1, 16) if largest <= 10_000 * 16**d)
     order = seeded_order(*[F.col(c) for c in keys], seed=seed)
     hashed = df.withColumn("__h", order)
-    slice_no = F.conv(F.substring("__h", 1, 3), 16, 10).cast("long")
+    slice_no = F.conv(F.substring("__h", 1, digits), 16, 10).cast("long")
     ranked = with_index(hashed, [source], [F.col("__h"), *[F.col(c) for c in keys]], slice_no)
-    smallest = df.groupBy(source).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c"))
-    return ranked.where(F.col("t") < smallest.scalar()).drop("t", "n", "__h")
+    return ranked.where(F.col("t") < smallest).drop("t", "n", "__h")
 
 
 def pos_weight(windows: DataFrame, labels: str, backcast: int, by: Sequence[str] = ()) -> DataFrame:

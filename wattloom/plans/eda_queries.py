@@ -198,9 +198,15 @@ pairs AS (SELECT x.grp, x.building AS a, y.building AS b, count(*) AS n, corr(x.
           FROM sub x JOIN sub y ON x.grp = y.grp AND x.ts = y.ts AND x.building < y.building GROUP BY 1, 2, 3)"""
 
 
+def sampled_correlation(spark, sf_dir):
+    """At most 20 buildings of each group, as the exploratory definition samples them."""
+    daily = T.daily(spark, sf_dir)
+    return E.correlation(daily, E.sample_buildings(daily, 20, 7))
+
+
 @query("eda_corr", f"WITH {CORR_SQL} SELECT grp, a, b, n, {r('corr')} AS corr FROM pairs")
 def eda_corr(spark, sf_dir):
-    return E.correlation(T.daily(spark, sf_dir), 20, 7).withColumn("corr", rd(F.col("corr")))
+    return sampled_correlation(spark, sf_dir).withColumn("corr", rd(F.col("corr")))
 
 
 @query(
@@ -211,7 +217,7 @@ SELECT grp, least(39, floor((v - lo) / ((hi - lo) / 40)))::INT AS bin, count(*)
 FROM c JOIN e USING (grp) GROUP BY 1, 2""",
 )
 def eda_corr_dist(spark, sf_dir):
-    corr = E.correlation(T.daily(spark, sf_dir), 20, 7).select("grp", F.round("corr", 6).alias("v")).where("v IS NOT NULL")
+    corr = sampled_correlation(spark, sf_dir).select("grp", F.round("corr", 6).alias("v")).where("v IS NOT NULL")
     med = corr.groupBy("grp").agg(rd(F.percentile("v", 0.5), 5).alias("median"))  # at most one row per sampled pair
     return E.histogram(corr, "v", 40, ["grp"]).join(med, "grp").select("grp", "bin", "rows", "median")
 

@@ -592,6 +592,23 @@ def hist_earlystop(spark, sf_dir):
     )
 
 
+@query(
+    "hist_earlystop_steps",
+    f"""WITH RECURSIVE {MONTHLY_SQL},
+o AS (SELECT tag, epoch, loss, row_number() OVER (PARTITION BY tag ORDER BY epoch) AS k FROM monthly),
+s AS (SELECT tag, epoch, loss, k, loss AS best, true AS improved, 0 AS wait FROM o WHERE k = 1
+      UNION ALL
+      SELECT o.tag, o.epoch, o.loss, o.k, CASE WHEN o.loss <= s.best - 2.0 THEN o.loss ELSE s.best END, o.loss <= s.best - 2.0,
+             CASE WHEN o.loss <= s.best - 2.0 THEN 0 ELSE s.wait + 1 END
+      FROM s JOIN o ON o.tag = s.tag AND o.k = s.k + 1 WHERE s.wait < 3)
+SELECT tag, epoch, {r('loss', 4)} AS loss, {r('best', 4)} AS best, improved, wait, wait >= 3 AS stops FROM s""",
+)
+def hist_earlystop_steps(spark, sf_dir):
+    """The rule whose best moves only when an epoch improves."""
+    out = H.early_stop_stepwise(monthly_loss(spark, sf_dir), ["tag"], "epoch", "loss", patience=3, min_delta=2.0)
+    return out.withColumns({c: rd(F.col(c), 4) for c in ("loss", "best")})
+
+
 @query(
     "hist_lr",
     f"""WITH {MONTHLY_SQL} SELECT tag, epoch, 0.001::DOUBLE * 0.5::DOUBLE ** (epoch - 1) AS halved,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +34,7 @@ def scratch_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="wattloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # made here for a local run, so it goes with it
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -80,9 +80,12 @@ def run_step(df: DataFrame, step: str, out: str, manifest_path: str) -> None:
 
 
 def adopt(spark: SparkSession, out: str, step: str, manifest_path: str) -> None:
-    """Record the groups an earlier run already wrote, except the last in name order, which may be partial."""
+    """Record the groups an earlier run already wrote, except the last unrecorded (split, grp), which may be partial."""
     found = spark.read.parquet(out).select("split", F.col("grp").cast("string").alias("grp")).distinct()
-    last = found.agg(F.max("grp")).scalar()
     done = manifest(spark, manifest_path).where(F.col("step") == step).select("split", "grp")
-    new = found.where(F.col("grp") < last).join(done, ["split", "grp"], "left_anti")
+    new = found.join(done, ["split", "grp"], "left_anti")
+    last = new.agg(F.max(F.struct("split", "grp"))).first()[0]
+    if last is None:
+        return
+    new = new.where(F.struct("split", "grp") < F.struct(F.lit(last["split"]), F.lit(last["grp"])))
     new.select(F.lit(step).alias("step"), "split", "grp").write.mode("append").parquet(manifest_path)
