@@ -51,7 +51,10 @@ class Automaton:
                 self._arc(vocabulary[c], bytes([b]), (), ())
         for rank, (x, y) in enumerate(merges):
             self._merge(rank, vocabulary[x], vocabulary[y], vocabulary[x + y])
-        self.longest = max(map(len, self.arc_of), default=0)
+        #: Length of the longest arc that begins with two bytes.
+        self.reach: dict[bytes, int] = {}
+        for label in self.arc_of:
+            self.reach[label[:2]] = max(len(label), self.reach.get(label[:2], 1))
         self.added = dict(added)
         self._start()
 
@@ -81,7 +84,7 @@ class Automaton:
 
     def tables(self) -> dict:
         """What was compiled, in plain types; ``from_tables`` goes on from it without the merges."""
-        return {k: getattr(self, k) for k in ("labels", "arc_of", "state", "entry", "removed", "longest", "added")}
+        return {k: getattr(self, k) for k in ("labels", "arc_of", "state", "entry", "removed", "reach", "added")}
 
     @classmethod
     def from_tables(cls, tables: dict) -> Automaton:
@@ -110,26 +113,33 @@ class Automaton:
         return known
 
     def word(self, data: bytes) -> tuple[int, ...]:
-        """Tokens of the one path that spells ``data``."""
-        whole = self.arc_of.get(data)
-        if whole is not None and len(data) == 1:
-            return (whole,)
-        arcs, follows = self.arc_of, self.follows
-        last: list[int | None] = [None] * (len(data) + 1)
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = arcs.get(data[start:end])
-                if token is not None and (start == 0 or (last[start] is not None and follows(last[start], token))):
-                    last[end] = token
+        """Tokens of the one path that spells ``data``.
+
+        Arcs are tried longest first. A path that reaches a place is the only one that does, so a place
+        from which no arc leads on is left for good: every place is tried once at most.
+        """
+        arcs, follows, reach, n = self.arc_of, self.follows, self.reach, len(data)
+        path: list[int] = []
+        dead: set[int] = set()
+        at, most = 0, n
+        while at < n:
+            length = min(most, n - at, reach.get(data[at : at + 2], 1))
+            while length:
+                token = arcs.get(data[at : at + length])
+                if token is not None and at + length not in dead and (not path or follows(path[-1], token)):
                     break
-        out, at = [], len(data)
-        while at:
-            token = last[at]
-            if token is None:
-                raise ValueError("a byte has no token")
-            out.append(token)
-            at -= len(self.labels[token])
-        return tuple(reversed(out))
+                length -= 1
+            if length:
+                path.append(token)
+                at, most = at + length, n
+            else:
+                if not path:
+                    raise ValueError("a byte has no token")
+                dead.add(at)
+                most = len(self.labels[path.pop()])
+                at -= most
+                most -= 1
+        return tuple(path)
 
     def encode(self, text: str) -> list[int]:
         words = self.words
