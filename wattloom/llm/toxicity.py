@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import map_texts
+from wattloom.session import materialize
 
 #: The classifiers are fitted on about so many texts at most; scoring and statistics cover everything.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 12_000
@@ -184,12 +185,15 @@ def fit(
     """
     body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     ids = positives.select(F.col(doc_id).alias("doc"), F.lit(True).alias("positive")).where("doc is not null").distinct()
-    n_positive, n_all = ids.count(), body.count()
-    drawn = body.where(_sampled("doc", max(_share(max_positive, n_positive), _share(max_unlabelled, n_all))))
-    marked = drawn.join(ids, "doc", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    sample = marked.where(
-        F.when(F.col("positive"), _sampled("doc", _share(max_positive, n_positive))).otherwise(_sampled("doc", _share(max_unlabelled, n_all)))
-    ).select("positive", "text")
+    p_share, u_share = _share(max_positive, ids.count()), _share(max_unlabelled, body.count())
+    # as many ids as texts are drawn at most, so they can be broadcast and no text is shuffled to find its label
+    few = F.broadcast(ids.where(_sampled("doc", max(p_share, u_share))))
+    drawn = body.where(_sampled("doc", max(p_share, u_share))).join(few, "doc", "left")
+    marked = drawn.withColumn("positive", F.coalesce("positive", F.lit(False)))
+    sample = materialize(
+        marked.where(F.when(F.col("positive"), _sampled("doc", p_share)).otherwise(_sampled("doc", u_share))).select("positive", "text"),
+        "toxicity-sample",
+    )
     counts = sample.groupBy("positive").count().collect()
     p = sum(r["count"] for r in counts if r["positive"])
     u = sum(r["count"] for r in counts if not r["positive"])
