@@ -112,6 +112,11 @@ class Model:
         return map_texts(body, "text", _scored(self.good, self.bad, self.curve), added, ["doc"])
 
 
+def _flat(share: float) -> Model:
+    """The same score for every text."""
+    return Model(b"x" * 8, b"x" * 8, {"mean": np.zeros(8), "scale": np.ones(8), "weights": np.array([np.log(share / (1 - share)), *[0.0] * 8])})
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     max_per_class: int = MAX_PER_CLASS, dictionary_bytes: int = DICTIONARY_BYTES,
@@ -119,21 +124,22 @@ def fit(
     """Fit on about ``max_per_class`` labelled texts of each class, drawn by a hash of their ids.
 
     Two thirds of them make the dictionaries, the last third the curve, weighted to the labels' own
-    shares. If a class is missing, every text gets the share of good labels (a half if there are no labels).
+    shares. If a class or every labelled text is missing, all texts get the share of good labels (a half if there are no labels).
     """
     known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("doc"), (F.col(label) > 0).alias("good")).distinct()
     counts = {r["good"]: r["count"] for r in known.groupBy("good").count().collect()}
     if len(counts) < 2:
         share = 0.5 if not counts else (0.99 if True in counts else 0.01)
-        flat = {"mean": np.zeros(8), "scale": np.ones(8), "weights": np.array([np.log(share / (1 - share)), *[0.0] * 8])}
-        return Model(b"x" * 8, b"x" * 8, flat)
+        return _flat(share)
     draw = F.pmod(F.xxhash64("doc", F.lit("quality")), F.lit(1_000_000))
     share = {g: min(1.0, max_per_class / n) for g, n in counts.items()}
     drawn = known.where(draw < F.when(F.col("good"), int(share[True] * 1e6)).otherwise(int(share[False] * 1e6)))
-    rows = (
-        docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).join(drawn, "doc")
-        .select("good", "text", draw.alias("draw"), "doc").orderBy("draw", "doc").collect()
-    )
+    # about 2 x max_per_class ids, so they are broadcast and no text is shuffled to find its label
+    body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = body.where(draw < int(max(share.values()) * 1e6)).join(F.broadcast(drawn), "doc").select("good", "text", draw.alias("draw"), "doc").collect()
+    rows.sort(key=lambda r: (r["draw"], r["doc"], r["text"] or ""))
+    if not rows:
+        return _flat(counts[True] / (counts[True] + counts[False]))
     part = [(r["good"], r["text"], k % 3) for k, r in enumerate(rows)]
     good = train_dictionary([t for g, t, k in part if g and k], dictionary_bytes)
     bad = train_dictionary([t for g, t, k in part if not g and k], dictionary_bytes)
