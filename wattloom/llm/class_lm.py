@@ -14,28 +14,52 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import LOWER, UPPER, held_out, map_texts
+from wattloom.llm.common import held_out, map_texts
 from wattloom.session import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+# ASCII characters that str.split takes for white space and the query contract doesn't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 END = ""
 #: Words with shipped counts; words placed by their neighbours; words that are clustered; classes besides the end's.
 KNOWN_WORDS, PLACED_WORDS, CLUSTERED_WORDS, CLASSES = 100_000, 12_000, 1_000, 48
 FLUSH = 400_000
+RUN = 100_000
 ADD = 0.1
 
 
 def tokens_of(text: str | None) -> list[str]:
+    """Words of the lower-cased text. ``str.split`` knows more white space, which stands in few ASCII texts."""
     text = text or ""
-    return WORD.findall(text.lower() if text.isascii() else text.translate(ASCII_LOWER))
+    if text.isascii():
+        return WORD.findall(text.lower()) if any(c in text for c in SEPARATORS) else text.lower().split()
+    return WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+
+def runs_of(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts in a row, each closed by END, with END before the first; and where their ends stand. A run has about ``RUN`` tokens."""
+    tokens, ends = [END], []
+    for text in texts:
+        tokens += tokens_of(text)
+        ends.append(len(tokens))
+        tokens.append(END)
+        if len(tokens) > RUN:
+            yield tokens, ends
+            tokens, ends = [END], []
+    if ends:
+        yield tokens, ends
+
+
+def _coded(tokens: list[str], number: dict[str, int], other: int) -> np.ndarray:
+    return np.fromiter(map(number.get, tokens, repeat(other)), np.int64, len(tokens))
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,21 +76,20 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
 
-def _count_pairs(left: dict[str, int], right: dict[str, int], other: int):
+def _count_pairs(number: dict[str, int], other: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
     """(a, b, n): neighbouring tokens by their numbers; words without a number count as ``other``, texts begin and end with END."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, int] = {}
         shift = 1 << 20
         for batch in batches:
-            codes = []
-            for text in batch["text"]:
-                words = tokens_of(text)
-                a = np.fromiter((left.get(w, other) for w in (END, *words)), np.int64, len(words) + 1)
-                b = np.fromiter((right.get(w, other) for w in (*words, END)), np.int64, len(words) + 1)
-                codes.append(a * shift + b)
-            if codes:
-                keys, counts = np.unique(np.concatenate(codes), return_counts=True)
+            for tokens, _ in runs_of(batch["text"]):
+                seq = _coded(tokens, number, other)
+                a, b = seq[:-1], seq[1:]
+                if wanted is not None:
+                    use = wanted(a, b)
+                    a, b = a[use], b[use]
+                keys, counts = np.unique(a * shift + b, return_counts=True)
                 for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
                     total[k] = total.get(k, 0) + n
             if len(total) > 4 * FLUSH:
@@ -150,16 +173,21 @@ class Classes:
         got = self.of_word.get(word)
         return self.of_ending.get(ending(word), self.rest) if got is None else got
 
+    def of_all(self, tokens: list[str]) -> np.ndarray:
+        seq = _coded(tokens, self.of_word, -1)
+        for at in np.flatnonzero(seq < 0).tolist():
+            seq[at] = self.of(tokens[at])
+        return seq
+
 
 def _count_classes(classes: Classes, n_classes: int):
     """(g, h, n): class transitions; a task returns one small table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(n_classes * n_classes, np.int64)
-        of = classes.of
         for batch in batches:
-            for text in batch["text"]:
-                seq = np.fromiter(map(of, (END, *tokens_of(text), END)), np.int64)
+            for tokens, _ in runs_of(batch["text"]):
+                seq = classes.of_all(tokens)
                 total += np.bincount(seq[:-1] * n_classes + seq[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"g": at // n_classes, "h": at % n_classes, "n": total[at]})
@@ -179,28 +207,40 @@ def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, roo
     """Per text: what needs no join, and the words whose counts are not shipped, with how often they stand in it."""
 
     def make():
-        of, known = classes.of, counts.get
-        log_count = {w: float(np.log10(c + ADD)) for w, c in counts.items()}
-        start, end_known = log_count.get(END, float(np.log10(ADD))), int(END in counts)
+        number = {w: k for k, w in enumerate(counts)}
+        end_log, end_known = float(np.log10(counts.get(END, 0) + ADD)), int(END in counts)
+        logs = np.log10(np.fromiter(counts.values(), float, len(counts)) + ADD)
+        class_of = np.fromiter(map(classes.of, counts), np.int64, len(counts))
+        # the last entries stand for words without a number
+        logs, class_of = np.append(logs, 0.0), np.append(class_of, classes.rest)
 
         def work(texts):
             out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "path", "sure", "words", "times")}
-            for text in texts:
-                words = tokens_of(text)
-                seq = np.fromiter(map(of, (END, *words, END)), np.int64, len(words) + 2)
-                sure, n_known, open_words = start, end_known, Counter()
-                for w, n in Counter(words).items():
-                    if known(w) is None:
-                        open_words[w] = n
-                    else:
-                        sure += n * log_count[w]
-                        n_known += n
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(n_known)
-                out["path"].append(float(transition[seq[:-1], seq[1:]].sum() - room[seq[1:]].sum()))
-                out["sure"].append(sure)
-                out["words"].append(list(open_words))
-                out["times"].append(list(open_words.values()))
+            for tokens, ends in runs_of(texts):
+                code = _coded(tokens, number, -1)
+                seq, count_logs = class_of[code], logs[code]
+                ends_of = np.array(ends)
+                starts = np.append(0, ends_of[:-1])
+                # the end token is counted apart, since it may have no number
+                closing = np.zeros(len(tokens), bool)
+                closing[ends_of] = closing[0] = True
+                count_logs[closing] = 0.0
+                opened = np.flatnonzero((code < 0) & ~closing)
+                for at in opened.tolist():
+                    seq[at] = classes.of(tokens[at])
+                seq[closing] = classes.of(END)
+                steps = transition[seq[:-1], seq[1:]] - room[seq[1:]]
+                n_open = np.searchsorted(opened, ends_of) - np.searchsorted(opened, starts)
+                n_words = ends_of - starts - 1
+                out["n_tokens"] += (n_words + 1).tolist()
+                out["n_known"] += (n_words - n_open + end_known).tolist()
+                out["path"] += np.add.reduceat(steps, starts).tolist()
+                out["sure"] += (np.add.reduceat(count_logs, starts) + end_log).tolist()
+                cuts = np.cumsum(n_open)
+                for first, last in zip((cuts - n_open).tolist(), cuts.tolist(), strict=True):
+                    open_words = Counter(tokens[at] for at in opened[first:last].tolist()) if last > first else {}
+                    out["words"].append(list(open_words))
+                    out["times"].append(list(open_words.values()))
             return out
 
         return work
@@ -257,7 +297,7 @@ def fit(
     number = {w: k for k, w in enumerate(top)} | {END: end}
 
     # clustering: a square of bounded size
-    rows = body.mapInPandas(_count_pairs(number, number, other), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rows = body.mapInPandas(_count_pairs(number, other), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = np.zeros((end + 1, end + 1))
     got = rows.toPandas()
     pairs[got["a"].to_numpy(np.int64), got["b"].to_numpy(np.int64)] = got["n"].to_numpy(float)
@@ -272,9 +312,8 @@ def fit(
         context = {w: g for w, g in of_word.items()}
         nothing = k + len(placed)
         wide = {**context, **index}
-        near = body.mapInPandas(_count_pairs(wide, wide, nothing), "a long, b long, n long").where(
-            ((F.col("a") >= k) & (F.col("a") < nothing) & (F.col("b") < k)) | ((F.col("b") >= k) & (F.col("b") < nothing) & (F.col("a") < k))
-        )
+        beside = lambda a, b: ((a < k) & (b >= k) & (b < nothing)) | ((b < k) & (a >= k) & (a < nothing))
+        near = body.mapInPandas(_count_pairs(wide, nothing, beside), "a long, b long, n long")
         near = near.groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()  # placed words x classes x 2 at most
         a, b, n = (near[c].to_numpy(np.int64) for c in "abn")
         hot = np.eye(k)[label]
