@@ -141,7 +141,8 @@ def exchange(pairs: np.ndarray, classes: int, fixed: int, sweeps: int = 12) -> n
             corner = np.diag(table)
             gain += _xlogx(corner + left + right + own) - _xlogx(corner + left) - _xlogx(corner + right) + _xlogx(corner)
             r, c = right.sum() + own, left.sum() + own
-            # the word's own tokens also pass through the totals of the classes beside it, which don't depend on g
+            # totals of all other words' tokens, those beside the word included
+            rows, cols = rows + left, cols + right
             gain -= _xlogx(rows + r) - _xlogx(rows) + _xlogx(cols + c) - _xlogx(cols)
             new = int(np.argmax(gain[:classes]))
             table[:, new] += left
