@@ -157,3 +157,32 @@ def test_language_model_of_odd_and_empty_tables(spark):
     assert class_lm.score_documents(empty_docs(spark)).collect() == []
     alone = docs_of(spark, {10: "no training text"}).where(held_out("doc_id", 10) | ~held_out("doc_id", 10))
     assert class_lm.fit(empty_docs(spark)).score(alone).first()["n_known"] == 0
+
+
+def test_rare_words_are_placed_by_their_neighbours(spark):
+    """Words beyond all tables whose ending speaks for the wrong class; scores as a plain walk over the stored classes gives them."""
+    rng, texts = random.Random(4), {}
+    nouns, verbs = [f"n{i}aaa" for i in range(12)], [f"v{i}ooo" for i in range(12)]
+    for i in range(300):
+        texts[i] = " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(20))
+    odd = [f"x{i}ooo" for i in range(30)]  # used as nouns, written like verbs
+    for i, w in enumerate(odd * 3):
+        texts[1000 + i] = f"{rng.choice(nouns)} {rng.choice(verbs)} {w} {rng.choice(verbs)}"
+    texts |= {2000: "once1ooo twice1ooo once2ooo", 2001: "twice1ooo"}
+    docs = docs_of(spark, texts)
+    model = class_lm.fit(docs, known_words=20, placed_words=20, clustered_words=16, n_classes=2)
+    stored = {r["word"]: r["g"] for r in model.words.collect()}
+    assert {stored[w] for w in odd} == {stored["n0aaa"]} != {stored["v0ooo"]}
+    walks = {i: ["", *t.split(), ""] for i, t in texts.items()}
+    steps = Counter((stored[a], stored[b]) for w in walks.values() for a, b in zip(w, w[1:]))
+    k = len(model.room)
+    table = np.array([[steps[g, h] for h in range(k)] for g in range(k)], float)
+    prior = (table.sum(axis=0) + 1) / (table.sum() + k)
+    assert np.allclose(10**model.transition, (table + 5 * prior) / (table.sum(axis=1, keepdims=True) + 5))
+    n = Counter(t for w in walks.values() for t in w[1:])
+    new = {3000: "x1ooo x2ooo unseen1ooo v1ooo once1ooo", 3001: "", 3002: "n1aaa x3ooo n2aaa"}
+    of = lambda w: stored[w] if w in stored else model.classes.of(w)
+    for r in model.score(docs_of(spark, texts | new)).collect():
+        w = ["", *(texts | new)[r["doc"]].split(), ""]
+        want = sum(model.transition[of(a), of(b)] - model.room[of(b)] + math.log10(n[b] + 0.1) for a, b in zip(w, w[1:]))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)

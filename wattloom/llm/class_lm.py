@@ -1,13 +1,15 @@
 """Brown class-based bigrams.
 
 Exchange clustering moves one frequent word at a time to the class that raises the likelihood of the
-class bigrams most. Further frequent words join the class that their neighbours speak for, all
-other words the class that words of the same ending belong to most. A text's probability is the
-product of class transitions and of word emissions from the class.
+class bigrams most. Every further word that occurs ``PLACED_TIMES`` times or more joins the class that its
+neighbours speak for: first the next frequent words by neighbours among the clustered ones, then all others
+by neighbours among both. Words met less often, and words without such a neighbour, go to the class that words
+of the same ending belong to most. A text's probability is the product of class transitions and of word
+emissions from the class.
 
 All counts come from the whole training corpus, as Spark aggregations of what each task has combined.
-Tables of the most frequent words are bounded by parameters and shipped to the tasks; the counts of all other
-words stay distributed and meet the texts in a join.
+Tables of the most frequent words are bounded by parameters and shipped to the tasks; the counts and classes of
+all other words stay distributed and meet the texts in a join.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattloom.llm.common import held_out, map_texts
 from wattloom.session import materialize
@@ -29,8 +34,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # ASCII characters that str.split takes for white space and the query contract doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 END = ""
-#: Words with shipped counts; words placed by their neighbours; words that are clustered; classes besides the end's.
+#: Words with shipped counts; words placed first, beside which all others are placed; words that are clustered; classes besides the end's.
 KNOWN_WORDS, PLACED_WORDS, CLUSTERED_WORDS, CLASSES = 100_000, 12_000, 1_000, 48
+#: Words met less often than this go by their ending.
+PLACED_TIMES = 2
 FLUSH = 400_000
 RUN = 100_000
 ADD = 0.1
@@ -165,7 +172,7 @@ def ending(word: str) -> str:
 
 
 class Classes:
-    """Class of every word: of numbered words by table, of all others by their ending."""
+    """Classes that a task knows: of shipped words by table, and for words that no class is stored for by their ending."""
 
     def __init__(self, of_word: dict[str, int], of_ending: dict[str, int], rest: int):
         self.of_word, self.of_ending, self.rest = of_word, of_ending, rest
@@ -174,38 +181,148 @@ class Classes:
         got = self.of_word.get(word)
         return self.of_ending.get(ending(word), self.rest) if got is None else got
 
-    def of_all(self, tokens: list[str]) -> np.ndarray:
-        seq = _coded(tokens, self.of_word, -1)
-        for at in np.flatnonzero(seq < 0).tolist():
-            seq[at] = self.of(tokens[at])
-        return seq
 
+def _ragged(lengths: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), values)
 
-def _count_classes(classes: Classes, n_classes: int):
-    """(g, h, n): class transitions; a task returns one small table."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(n_classes * n_classes, np.int64)
+STEPS = "part int, word string, n long, slots array<int>, slot_n array<long>, after array<string>, after_n array<long>"
+
+
+def _steps(of_word: dict[str, int], k: int):
+    """What each word outside the table has beside it, combined within the task as far as ``4 * FLUSH`` pairs go.
+
+    ``slots`` holds the class before the word, or k + the class after it; ``after`` the words outside the table that
+    follow it. The row without a word has the transitions g * k + h between words of the table.
+    """
+
+    def rows(number, keys, counts, times, part):
+        words = pa.array(list(number), pa.string())
+        ids, slots = keys >> 31, keys & (1 << 31) - 1
+        known = slots < 2 * k
+        size = len(number)
+        per = lambda use, values: _ragged(np.bincount(ids[use], minlength=size), values)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(size, part), pa.int32()), words, pa.array(times),
+            per(known, pa.array(slots[known], pa.int32())), per(known, pa.array(counts[known])),
+            per(~known, words.take(pa.array(slots[~known] - 2 * k))), per(~known, pa.array(counts[~known])),
+        ], names=["part", "word", "n", "slots", "slot_n", "after", "after_n"])
+
+    def joined(found):
+        keys, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([f[1] for f in found]), len(keys)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(k * k, np.int64)
+        number: dict[str, int] = {}
+        times, found, held = np.zeros(0, np.int64), [], 0
         for batch in batches:
-            for tokens, _ in runs_of(batch["text"]):
-                seq = classes.of_all(tokens)
-                total += np.bincount(seq[:-1] * n_classes + seq[1:], minlength=len(total))
+            for tokens, _ in runs_of(batch.column(0).to_pylist()):
+                seq = _coded(tokens, of_word, -1)
+                opened = np.flatnonzero(seq < 0)
+                ids = np.fromiter((number.setdefault(tokens[at], len(number)) for at in opened.tolist()), np.int64, len(opened))
+                more = np.bincount(ids, minlength=len(number))
+                more[: len(times)] += times
+                times = more
+                seq[opened] = -1 - ids
+                a, b = seq[:-1], seq[1:]
+                both = (a >= 0) & (b >= 0)
+                table += np.bincount(a[both] * k + b[both], minlength=k * k)
+                first, second = a < 0, (a >= 0) & (b < 0)
+                keys = np.concatenate([
+                    (-1 - a[first] << 31) + np.where(b[first] < 0, 2 * k - 1 - b[first], k + b[first]), (-1 - b[second] << 31) + a[second],
+                ])
+                found.append(np.unique(keys, return_counts=True))
+                held += len(found[-1][0])
+                if held > 4 * FLUSH or len(number) > FLUSH:
+                    found = [joined(found)]
+                    held = len(found[0][0])
+                    if held > 2 * FLUSH or len(number) > FLUSH:
+                        yield rows(number, *found[0], times, -1)
+                        number, times, found, held = {}, np.zeros(0, np.int64), [], 0
+        if number:
+            yield rows(number, *joined(found), times, -1)
+        at = np.flatnonzero(table)
+        none = np.zeros(1, np.int64)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([None], pa.string()), pa.array([0], pa.int64()),
+            _ragged(np.array([len(at)]), pa.array(at, pa.int32())), _ragged(np.array([len(at)]), pa.array(table[at])),
+            _ragged(none, pa.array([], pa.string())), _ragged(none, pa.array([], pa.int64())),
+        ], names=["part", "word", "n", "slots", "slot_n", "after", "after_n"])
+
+    return run
+
+
+SETTLED = "word string, n long, g int, step int"
+PLACED, FOLLOWS = -1, -2
+
+
+def _settle(classes: Classes, speaks: np.ndarray, k: int):
+    """Classes of words from what stands beside them (step ``PLACED``), and transitions that follow from them.
+
+    Rows with a step of 0 or more are transitions g * k + h, added up within the task. A row with ``FOLLOWS`` says
+    how often the word follows words of class g outside the table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            owner = lambda lists: np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            word, n, slot_lists, after_lists = col("word"), col("n").to_numpy(), col("slots"), col("after")
+            slots, slot_n = slot_lists.flatten().to_numpy(), col("slot_n").flatten().to_numpy()
+            row, is_table = owner(slot_lists), np.asarray(word.is_null())
+            of_table = is_table[row]
+            total += np.bincount(slots[of_table], slot_n[of_table], k * k).astype(np.int64)
+            row, slots, slot_n = row[~of_table], slots[~of_table], slot_n[~of_table]
+            beside = np.bincount(row * (2 * k) + slots, slot_n, len(n) * 2 * k).reshape(len(n), 2 * k)
+            g = (beside @ speaks).argmax(axis=1)
+            for at in np.flatnonzero(~is_table & ((n < PLACED_TIMES) | ~beside.any(axis=1))).tolist():
+                g[at] = classes.of(word[at].as_py())
+            before = slots < k
+            steps = np.where(before, slots * k + g[row], g[row] * k + slots - k)
+            total += np.bincount(steps, slot_n, k * k).astype(np.int64)
+            use = np.flatnonzero(~is_table)
+            after = after_lists.flatten()
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([word.take(pa.array(use)), after]), pa.concat_arrays([pa.array(n[use]), col("after_n").flatten()]),
+                pa.array(np.append(g[use], g[owner(after_lists)]), pa.int32()),
+                pa.array(np.repeat([PLACED, FOLLOWS], [len(use), len(after)]), pa.int32()),
+            ], names=["word", "n", "g", "step"])
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"g": at // n_classes, "h": at % n_classes, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(len(at), pa.string()), pa.array(total[at]), pa.nulls(len(at), pa.int32()), pa.array(at, pa.int32()),
+        ], names=["word", "n", "g", "step"])
 
     return run
 
 
-def _classed(classes: Classes):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bend(transition: np.ndarray, room: np.ndarray, k: int, keep: list[str]):
+    """Adds ``bent``: steps at words whose classes came by the join, or by their ending (``guess``) where none came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(g=[classes.of(w) for w in batch["word"]])
+            col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            size = lambda lists: np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat = lambda name: col(name).flatten().to_numpy().astype(np.int64)  # noqa: E731, B023
+            g = flat("guess")
+            begins = np.cumsum(size(col("guess"))) - size(col("guess"))
+            met = flat("met")
+            g[np.repeat(begins, size(col("met"))) + met // k] = met % k
+            row = np.repeat(np.arange(batch.num_rows), size(col("left")))
+            a, b = flat("left"), flat("right")
+            for x in (a, b):
+                at = np.flatnonzero(x < 0)
+                x[at] = g[begins[row[at]] - 1 - x[at]]
+            bent = np.bincount(row, transition[a, b] - room[b], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(col(c) for c in keep), pa.array(bent, pa.float64())], names=[*keep, "bent"])
 
     return run
 
 
 def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, room: np.ndarray):
-    """Per text: what needs no join, and the words whose counts are not shipped, with how often they stand in it."""
+    """Per text: what needs no join, the words whose counts and classes are not shipped, with how often they stand in it,
+    and the steps at them: classes before and after, or -1 - the word's place in the list."""
 
     def make():
         number = {w: k for k, w in enumerate(counts)}
@@ -216,7 +333,7 @@ def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, roo
         logs, class_of = np.append(logs, 0.0), np.append(class_of, classes.rest)
 
         def work(texts):
-            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "path", "sure", "words", "times")}
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "path", "sure", "words", "times", "guess", "left", "right")}
             for tokens, ends in runs_of(texts):
                 code = _coded(tokens, number, -1)
                 seq, count_logs = class_of[code], logs[code]
@@ -226,11 +343,11 @@ def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, roo
                 closing = np.zeros(len(tokens), bool)
                 closing[ends_of] = closing[0] = True
                 count_logs[closing] = 0.0
-                opened = np.flatnonzero((code < 0) & ~closing)
-                for at in opened.tolist():
-                    seq[at] = classes.of(tokens[at])
+                is_open = (code < 0) & ~closing
+                opened = np.flatnonzero(is_open)
                 seq[closing] = classes.of(END)
-                steps = transition[seq[:-1], seq[1:]] - room[seq[1:]]
+                bent = is_open[:-1] | is_open[1:]
+                steps = np.where(bent, 0.0, transition[seq[:-1], seq[1:]] - room[seq[1:]])
                 n_open = np.searchsorted(opened, ends_of) - np.searchsorted(opened, starts)
                 n_words = ends_of - starts - 1
                 out["n_tokens"] += (n_words + 1).tolist()
@@ -242,6 +359,15 @@ def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, roo
                     open_words = Counter(tokens[at] for at in opened[first:last].tolist()) if last > first else {}
                     out["words"].append(list(open_words))
                     out["times"].append(list(open_words.values()))
+                    out["guess"].append([classes.of(w) for w in open_words])
+                    if last > first:
+                        place = {w: -1 - i for i, w in enumerate(open_words)}
+                        at = opened[first:last]
+                        seq[at] = [place[tokens[x]] for x in at.tolist()]
+                at_bent = np.flatnonzero(bent)
+                parts = np.searchsorted(at_bent, starts[1:])
+                out["left"] += np.split(seq[at_bent], parts)
+                out["right"] += np.split(seq[at_bent + 1], parts)
             return out
 
         return work
@@ -250,7 +376,7 @@ def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, roo
 
 
 class Model:
-    """Bounded tables (frequent words, endings, class transitions) and the distributed table of all word counts."""
+    """Bounded tables (frequent words, endings, class transitions) and the distributed table of all words: word, n, class g, shipped."""
 
     def __init__(self, classes: Classes, counts: dict[str, int], words: DataFrame, transition: np.ndarray, room: np.ndarray, total: int, distinct: int):
         self.classes, self.counts, self.words = classes, counts, words
@@ -259,22 +385,31 @@ class Model:
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc, n_tokens, n_known, base_score, score): one row per row of ``docs``; null texts are one end token."""
         body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-        added = "n_tokens long, n_known long, path double, sure double, words array<string>, times array<long>"
+        added = (
+            "n_tokens long, n_known long, path double, sure double, words array<string>, times array<long>,"
+            "guess array<int>, left array<int>, right array<int>"
+        )
+        k = len(self.room)
         parts = map_texts(body, "text", _score(self.classes, self.counts, self.transition, self.room), added, ["doc"])
         parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-        open_words = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
-        open_words = open_words.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-        rare = self.words.where(~F.col("shipped")).select("word", "n")
+        open_words = parts.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("i", "w"))
+        open_words = open_words.select("row", "i", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+        rare = self.words.where(~F.col("shipped")).select("word", "n", "g")
         met = open_words.join(rare, "word", "left").groupBy("row").agg(
             F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("more"),
             F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+            F.collect_list(F.col("i").cast("long") * k + F.col("g")).alias("met"),
         )
         both = parts.drop("words", "times").join(met, "row", "left")
+        keep = ["doc", "n_tokens", "n_known", "path", "sure", "more", "more_known"]
+        both = both.mapInArrow(
+            _bend(self.transition, self.room, k, keep), T.StructType([*(both.schema[c] for c in keep), T.StructField("bent", T.DoubleType())])
+        )
         counts = F.col("sure") + F.coalesce("more", F.lit(0.0))
         log_all = float(np.log10(self.total + ADD * (self.distinct + 1)))
         return both.select(
             "doc", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-            (counts - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), (counts + F.col("path")).alias("score"),
+            (counts - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), (counts + F.col("path") + F.col("bent")).alias("score"),
         )
 
 
@@ -288,10 +423,10 @@ def fit(
     words = materialize(
         body.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words"
     )
-    size = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    size = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("end")).first()
     total, distinct = size["n"] or 0, size["v"]
     ranked = [(r["word"], r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(known_words).collect()]
-    counts = dict(ranked)
+    counts = dict(ranked) | ({END: size["end"]} if size["end"] else {})
     frequent = [w for w, _ in ranked if w != END]
     top = frequent[:clustered_words]
     other, end = len(top), len(top) + 1
@@ -306,6 +441,10 @@ def fit(
     k = n_classes + 2  # the end has a class of its own, and so had the other words while clustering
     of_word = {w: int(label[v]) for w, v in number.items()}
 
+    hot = np.eye(k)[label]
+    table = hot.T @ pairs @ hot + 0.5
+    affinity = np.log(table * table.sum() / table.sum(axis=1)[:, None] / table.sum(axis=0)[None, :])
+
     # words of the second rank go where their neighbours' classes speak for them
     placed = frequent[clustered_words:placed_words]
     if placed:
@@ -317,9 +456,6 @@ def fit(
         near = body.mapInPandas(_count_pairs(wide, nothing, beside), "a long, b long, n long")
         near = near.groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()  # placed words x classes x 2 at most
         a, b, n = (near[c].to_numpy(np.int64) for c in "abn")
-        hot = np.eye(k)[label]
-        table = hot.T @ pairs @ hot + 0.5
-        affinity = np.log(table * table.sum() / table.sum(axis=1)[:, None] / table.sum(axis=0)[None, :])
         votes = np.zeros((len(placed), k))
         m = b >= k
         np.add.at(votes, b[m] - k, n[m, None] * affinity[a[m], :])
@@ -334,23 +470,37 @@ def fit(
     of_ending = {e: min(c, key=lambda g: (-c[g], g)) for e, c in by_ending.items()}
     classes = Classes(of_word, of_ending, n_classes)
 
-    steps = body.mapInPandas(_count_classes(classes, k), "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((k, k))
-    table[steps["g"].to_numpy(np.int64), steps["h"].to_numpy(np.int64)] = steps["n"].to_numpy(float)
+    # all other words by their neighbours too, keyed by word; class transitions come along
+    speaks = np.concatenate([affinity, affinity.T])[:, :n_classes]
+    lists = ("slots", "slot_n", "after", "after_n")
+    beside = body.mapInArrow(_steps(of_word, k), STEPS).groupBy("word", "part").agg(
+        F.sum("n").alias("n"), *(F.flatten(F.collect_list(c)).alias(c) for c in lists)
+    )
+    settled = materialize(beside.mapInArrow(_settle(classes, speaks, k), SETTLED), "lm-settled")
+    open_words = settled.where(F.col("step") == PLACED).select("word", "n", "g")
+    follows = settled.where(F.col("step") == FOLLOWS).groupBy("word", F.col("g").alias("a")).agg(F.sum("n").alias("n"))
+    follows = follows.join(open_words.select("word", "g"), "word").select((F.col("a") * k + F.col("g")).alias("step"), "n")
+    steps = settled.where(F.col("step") >= 0).select("step", "n").unionByName(follows)
+    steps = steps.groupBy("step").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(k * k)
+    table[steps["step"].to_numpy(np.int64)] = steps["n"].to_numpy(float)
+    table = table.reshape(k, k)
     prior = (table.sum(axis=0) + 1) / (table.sum() + k)
     strength = 5.0
     transition = np.log10((table + strength * prior) / (table.sum(axis=1, keepdims=True) + strength))
 
     # emission: (c(w) + ADD) / (C(g) + ADD (V(g) + 1)), so each class keeps room for one unknown word
-    per_class = words.mapInPandas(_classed(classes), "word string, n long, g long").groupBy("g").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")
-    )
+    shipped = spark.createDataFrame(pd.DataFrame({"word": list(counts), "shipped": True}), "word string, shipped boolean")
+    in_table = {w: counts[w] for w in of_word if w in counts}
+    in_table = pd.DataFrame({"word": list(in_table), "n": list(in_table.values()), "g": [of_word[w] for w in in_table]})
+    words = spark.createDataFrame(in_table, "word string, n long, g int").unionByName(open_words)
+    words = words.join(shipped, "word", "left").withColumn("shipped", F.coalesce("shipped", F.lit(False)))
+    per_class = words.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
     room = np.full(k, np.log10(ADD))
     for r in per_class.collect():
         room[r["g"]] = np.log10(r["n"] + ADD * (r["v"] + 1))
-    shipped = spark.createDataFrame(pd.DataFrame({"word": list(counts), "shipped": True}), "word string, shipped boolean")
-    flagged = words.join(shipped, "word", "left").select("word", "n", F.coalesce("shipped", F.lit(False)).alias("shipped"))
-    return Model(classes, counts, flagged, transition, room, total, distinct)
+    of_word = of_word | {r["word"]: r["g"] for r in open_words.join(shipped, "word", "left_semi").select("word", "g").collect()}
+    return Model(Classes(of_word, of_ending, n_classes), counts, words, transition, room, total, distinct)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10) -> DataFrame:
