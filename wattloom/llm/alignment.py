@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 
@@ -27,8 +26,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from wattloom.llm.bpe_automaton import byte_characters
 from wattloom.session import materialize
 
+# Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORK = 1 << 16
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 SEGMENT = 1 << 16
 CHUNK = 1 << 18
 CODEC = "zstd"
@@ -88,23 +89,23 @@ class Tokenizers:
     """The two vocabularies with the bytes of their tokens, from the contents of their files."""
 
     def __init__(self, json_text: str, model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        self.a = Tokenizer.from_str(json_text)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
-        self.b = SentencePieceProcessor(model_proto=model)
-        as_byte = byte_characters()
         spec = json.loads(json_text)
-        vocabulary = dict(spec["model"]["vocab"])
-        self.size_a = max([*vocabulary.values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1
+        vocabulary, as_byte = dict(spec["model"]["vocab"]), byte_characters()
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        made = [vocabulary[x + y] for x, y in merges]
+        if made != sorted(set(made)) or spec.get("normalizer") or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel":
+            raise ValueError("not supported: only byte-level vocabularies whose ids follow their merges")
+        ranks = {bytes(as_byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+        self.a = Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})  # so special strings are plain text
+        self.b = SentencePieceProcessor(model_proto=model)
+        self.size_a = max(ranks.values()) + 1
         self.bytes_a = [b""] * self.size_a
-        for token, i in vocabulary.items():
-            if all(c in as_byte for c in token):
-                self.bytes_a[i] = bytes(as_byte[c] for c in token)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         self.size_b = self.b.get_piece_size()
         self.bytes_b = [self._piece_bytes(i) for i in range(self.size_b)]
         self.len_a = np.array([len(t) for t in self.bytes_a], np.int64)
@@ -130,16 +131,14 @@ class Tokenizers:
             at = found.end() - 1
         return [*out, text[at:]]
 
-    def encode(self, segments: list[str]) -> list[tuple[list[int], list[int], bool]]:
+    def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
         """Ids by A of blank and segment, ids by B of the segment, and whether both spell blank and segment."""
-        full = [" " + s for s in segments]
-        of_a = [e.ids for e in self.a.encode_batch_fast(full, add_special_tokens=False)]
-        of_b = self.b.encode(segments, num_threads=1)
         out = []
-        for text, x, y in zip(full, of_a, of_b):
-            data = text.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, x)) == data and b"".join(map(self.bytes_b.__getitem__, y)) == data
-            out.append((x, y, same))
+        for segment, y in zip(segments, self.b.encode(segments, num_threads=1)):
+            text = " " + segment
+            x, data = self.a.encode_ordinary(text), text.encode()
+            x, same = np.array(x, np.int32), b"".join(map(self.bytes_b.__getitem__, y)) == data
+            out.append((x, np.array(y, np.int32), same and self.len_a[x].sum() == len(data)))
         return out
 
 
@@ -166,7 +165,7 @@ class _Block:
         doc_of = np.repeat(np.arange(n_docs), n_a)
         order = np.argsort(doc_of[i], kind="stable")  # a piece emits its overlaps by A, then by B
         i, j = i[order], j[order]
-        codes, index = np.unique(ids_a[i] * np.int64(kit.size_b) + ids_b[j], return_inverse=True)
+        codes, index = np.unique(ids_a[i].astype(np.int64) * kit.size_b + ids_b[j], return_inverse=True)
         kind = np.uint16 if len(codes) <= 1 << 16 else np.uint32
         return {
             "docs": self.docs, "n_a": n_a, "n_b": n_b, "n_links": np.bincount(doc_of[i], minlength=n_docs),
@@ -192,7 +191,7 @@ class _Block:
         return out
 
 
-_NONE = np.zeros(0, np.int64)
+_NONE = np.zeros(0, np.int32)
 
 
 def _kit(shared) -> Tokenizers:
@@ -241,7 +240,7 @@ def aligned_blocks(docs: DataFrame, shared, doc_id: str, text: str, block_bytes:
                     own = coded[at : at + len(parts)]
                     at += len(parts)
                     good = all(same for _, _, same in own)
-                    block.add(doc, [np.array(x, np.int64) for x, _, _ in own if good], [np.array(y, np.int64) for _, y, _ in own if good], sum(map(len, parts)))
+                    block.add(doc, [x for x, _, _ in own if good], [y for _, y, _ in own if good], sum(map(len, parts)))
                     if block.bytes >= block_bytes:
                         yield closed()
                         number += 1
