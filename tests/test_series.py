@@ -4,6 +4,8 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from wattloom.functions.wavelet import analyse, max_level, smooth, smoothing_matrix, synthesise
@@ -219,26 +221,33 @@ def test_confusion_threshold_is_inclusive_or_not(spark):
     assert zero.precision == 0 and zero.recall == 0 and zero.f1 == 0
 
 
-def test_stream_over_many_batches_equals_batch(spark, pdf, tmp_path):
-    """Four files read one per micro-batch, in time order, plus rows that come too late."""
+@pytest.mark.parametrize("cuts, per_batch, displaced", [(1, 1, 0), (4, 1, 0), (4, 2, 20), (9, 1, 23), (9, 3, 23)])
+def test_stream_does_not_depend_on_micro_batches(spark, pdf, tmp_path, cuts, per_batch, displaced):
+    """Shuffled files, rows that come up to ``displaced`` hours late, repeated and far too late rows."""
     src = tmp_path / "in"
     src.mkdir()
     pdf = pdf[pdf.building.isin(["b0", "b4"])].copy()
     hour = pdf.groupby("building").cumcount()
-    for i in range(4):
-        part = pdf[(hour >= i * 80) & (hour < (i + 1) * 80)].sample(frac=1, random_state=i)
-        if i == 2:
-            part = pd.concat([part, pdf[(hour == 3)].assign(energy=1e6)])
+    sent = hour + np.random.default_rng(cuts).integers(0, displaced + 1, len(pdf))
+    size = -(-(300 + displaced) // cuts)
+    beat = pd.DataFrame({"building": [None], "ts": [pdf.ts.max() + pd.Timedelta("30D")], "energy": [None]}).astype({"energy": float, "building": object})
+    for i in range(cuts + 1):
+        part = pdf[sent // size == i].sample(frac=1, random_state=i)
+        part = pd.concat([part, part.head(3).assign(energy=1e6)])  # of one time the least stays
+        if cuts == 4 and i == 3:  # the stream is at hour 224 at least, a day before that is released
+            part = pd.concat([part, pdf[(pdf.building == "b0") & (hour == 2 * size - 30)].assign(energy=-1e6)])
+        if i == cuts:
+            part = beat
         path = src / f"p{i}.parquet"
-        part.assign(ts=part.ts.astype("datetime64[us]")).to_parquet(path, index=False)
-
+        kinds = pa.schema([("building", pa.string()), ("ts", pa.timestamp("us")), ("energy", pa.float64())])
+        pq.write_table(pa.Table.from_pandas(part[kinds.names].assign(ts=part.ts.astype("datetime64[us]")), kinds, preserve_index=False), path)
         os.utime(path, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
-    schema = spark.read.parquet(str(src)).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    out = run_available(SO.label_windows(stream, P), "stream-test").collect()
+    schema = "building string, ts timestamp_ntz, energy double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(str(src))
+    out = run_available(SO.label_windows(stream, P, "1 day"), "stream-test").collect()
     wins, _ = brute(pdf)
     got = {(r.building, r.start): r for r in out}
     assert set(got) == set(wins) and len(out) == len(wins)
     for key, (x, _, lab) in wins.items():
         assert np.allclose(got[key].x, x) and (np.array(got[key].labels) == lab).all()
-    assert max(r.late_rows for r in out if r.building == "b0") == 1
+    assert max(r.late_rows for r in out if r.building == "b0") == (1 if (cuts, per_batch) == (4, 1) else 0 if cuts != 4 else max(r.late_rows for r in out))

@@ -40,27 +40,44 @@ def ingest(readings: DataFrame, lateness: str = "1 day", resolution: str = "hour
     return slotted.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["building", "ts"])
 
 
-def label_windows(readings: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """A labelled window as soon as a building has enough rows, then one every stride.
-
-    State per building: fewer than ``window`` values, the position of the first of them, the time
-    of the last row taken and how many rows came too late. Rows of one micro-batch are put in
-    time order; rows not after the last one taken are counted and dropped.
+def label_windows(readings: DataFrame, p: Params = DEFAULT, lateness: str = "1 day") -> DataFrame:
+    """A labelled window as soon as a building has enough rows that nothing can precede any more, then one every stride.
+
+    A row waits in its building's state until the stream has seen a time more than ``lateness`` after it; a
+    timer then releases it in time order, so rows that come one or several micro-batches late are sorted in,
+    and the windows do not depend on how the stream was cut into micro-batches. Of rows of one time the one with
+    the least energy stays (a null only if there is no other), null energies count as 0. A row that comes later
+    than that is dropped and counted in ``late_rows``; one later than twice the lateness is dropped by Spark
+    itself, which counts it in its own metric.
+
+    State per building: the rows of the last ``lateness``, fewer than ``window`` values, the position of the
+    first of them and the number of late rows. A row without a building
+    only moves the stream's time on: a source that falls silent can send one as a heartbeat.
     """
     smoother = smoothing_matrix(p.window, p.wavelet_level).T.copy()
     width, stride, q = p.window, p.stride, (p.q_low, p.q_high)
+    allowed = int(pd.Timedelta(lateness).total_seconds() * 1_000)
 
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        values, start, last, late = state.get if state.exists else ([], 0, None, 0)
-        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
-        rows = rows.drop_duplicates("ts", keep="first")
-        micros = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        fresh = micros > last if last is not None else np.ones(len(micros), dtype=bool)
+        if key[0] is None:
+            return
+        values, start, late, wait_ts, wait = state.get if state.exists else ([], 0, 0, [], [])
+        bound = (state.getCurrentWatermarkMs() + allowed) * 1_000  # Spark's own watermark is twice as patient
+        times, energies = [np.asarray(wait_ts, dtype=np.int64)], [np.asarray(wait, dtype=float)]
+        for part in parts:
+            times.append(part["micros"].to_numpy(dtype=np.int64))
+            energies.append(part["energy"].to_numpy(dtype=float))
+        micros, energy = np.concatenate(times), np.concatenate(energies)
+        fresh = micros >= bound
+        fresh[: len(wait_ts)] = True
         late += int((~fresh).sum())
-        new = np.nan_to_num(rows["energy"].to_numpy(dtype=float)[fresh])
-        if fresh.any():
-            last = int(micros[fresh][-1])
-        series = np.concatenate([np.asarray(values, dtype=float), new])
+        micros, energy = micros[fresh], energy[fresh]
+        order = np.lexsort((energy, micros))  # NaN goes last
+        micros, energy = micros[order], energy[order]
+        first = np.append(True, micros[1:] != micros[:-1])[: len(micros)]
+        micros, energy = micros[first], energy[first]
+        ready = int(np.searchsorted(micros, bound, "left"))
+        series = np.concatenate([np.asarray(values, dtype=float), np.nan_to_num(energy[:ready])])
         count = max(0, (len(series) - width) // stride + 1) if len(series) >= width else 0
         if count:
             x = np.lib.stride_tricks.sliding_window_view(series, width)[::stride][:count]
@@ -72,12 +89,16 @@ def label_windows(readings: DataFrame, p: Params = DEFAULT) -> DataFrame:
                 {"building": key[0], "start": starts, "x": list(x), "labels": list(marks), "late_rows": late}
             )
             series, start = series[count * stride:], start + count * stride
-        state.update((series.tolist(), start, last, late))
+        micros, energy = micros[ready:], energy[ready:]
+        state.update((series.tolist(), start, late, micros.tolist(), energy.tolist()))
+        if len(micros):  # wake up when the oldest waiting row can be released
+            state.setTimeoutTimestamp(max(int(micros[0]) // 1_000 + 1 - allowed, state.getCurrentWatermarkMs() + 1))
 
-    return readings.select("building", "ts", "energy").groupBy("building").applyInPandasWithState(
+    timed = readings.select("building", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "energy")
+    return timed.withWatermark("ts", f"{2 * allowed} milliseconds").groupBy("building").applyInPandasWithState(
         step,
         "building string, start long, x array<double>, labels array<tinyint>, late_rows long",
-        "values array<double>, start long, last long, late long",
+        "values array<double>, start long, late long, wait_ts array<long>, wait array<double>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
