@@ -197,3 +197,57 @@ def test_exploratory_files_without_an_id(spark):
     assert {(r.building, r.energy) for r in R.eda_readings(one, "g").collect()} == {("g", 1.0), ("g", 2.0)}
     two = spark.createDataFrame([("2024-01-01", 1.0, 5)], "date string, a double, b int")
     assert {(r.building, r.energy) for r in R.eda_readings(two, "g").collect()} == {("a", 1.0), ("b", 5.0)}
+
+
+def test_scratch_without_a_named_folder(spark, monkeypatch):
+    """Spark refuses to set spark.checkpoint.dir at run time, so an own folder must not need that."""
+    from wattloom import session
+
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: a[0] if key == "spark.checkpoint.dir" else get(self, key, *a))
+    root = session.scratch_root(spark)
+    assert session.scratch_root(spark) == root and root.startswith("/")
+    assert session.materialize(spark.range(5), "x").count() == 5
+
+
+def test_many_schemas_are_one_scan(spark, tmp_path):
+    write_files(tmp_path, {f"g{k % 3}/f{k}.parquet": {"Timestamp": TS, f"m{k}": [1.0, k], f"n{k}": [k, None]} for k in range(60)})
+    out = R.read_tree(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    assert sums(spark, tmp_path) == {f"m{k}": (2, 1.0 + k) for k in range(60)} | {f"n{k}": (1, float(k)) for k in range(60)}
+    assert {(r.grp, r.n) for r in out.groupBy("grp").agg(F.count("*").alias("n")).collect()} == {(f"g{k}", 80) for k in range(3)}
+
+
+def test_large_csv_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    from wattloom.sources import tree
+
+    monkeypatch.setattr(tree, "SPLIT", 700)
+    monkeypatch.setattr(tree, "CHUNK", 256)
+    lines = ["bldg_id,timestamp,kwh"] + [f"b{k % 3},2024-01-01 00:00:{k % 60:02d},{k}" for k in range(500)]
+    lines[40] += ",one too many"
+    lines[90] = "b2,2024-01-01"  # too short
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    (tmp_path / "b.csv").write_text('bldg_id,timestamp,kwh\r\n"q,1",2024-01-01,7\r\n')
+    rows = R.read_tree(spark, str(tmp_path)).collect()
+    own = sorted((r for r in rows if r.file.endswith("a.csv")), key=lambda r: (r.row.block, r.row.line))
+    assert [r.energy for r in own] == [None if k == 89 else float(k) for k in range(500)]
+    assert len({r.row.block for r in own}) > 10
+    assert [(r.building, r.energy) for r in rows if r.file.endswith("b.csv")] == [("q_1", 7.0)]
+
+
+def test_row_groups_keep_their_place(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"energy": [float(k) for k in range(100)]}), tmp_path / "s.parquet", row_group_size=7)
+    rows = R.read_tree(spark, str(tmp_path)).collect()
+    assert sorted((r.row.line, r.energy) for r in rows) == [(k, float(k)) for k in range(100)] and not rows[0].timed
+
+
+def test_one_file_for_each_series(spark, tmp_path):
+    df = spark.createDataFrame([(f"s {k % 4}", k, float(k)) for k in range(200)], "name string, t int, energy double")
+    made = K.write_single(df, str(tmp_path / "out"), "name", ["t", "energy"]).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.n_rows) for r in made) == [(f"s_{k}.parquet", 50) for k in range(4)]
+    got = pd.read_parquet(tmp_path / "out" / "s_1.parquet")
+    assert list(got.t) == list(range(1, 200, 4)) and not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("_")]

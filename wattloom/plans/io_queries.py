@@ -16,7 +16,7 @@ from wattloom.plans.registry import query
 from wattloom.plans.series_queries import FUSED_SQL, NATION_SQL, TEMPORAL_SQL, WINDOWS_SQL, P, PN, array_sum, nation_series, rd, supplier_series
 from wattloom.plans.sqltext import r
 from wattloom.operators import runlog as RL
-from wattloom.session import scratch_path
+from wattloom.session import materialize, scratch_path
 from wattloom.sources import readers as R
 from wattloom.sources import sinks as K
 
@@ -90,38 +90,50 @@ def wide_frame(spark, sf_dir):
 WIDE_LONG_SQL = f"""{T.daily_sql()}, w AS (SELECT regexp_replace(grp, ' ', '_') AS building, ts, sum(energy) AS energy FROM daily GROUP BY 1, 2)"""
 
 
+WIDE_FILES = (("AFRICA", "AMERICA"), ("ASIA",), ("EUROPE", "MIDDLE EAST"))
+
+
 @query("src_wide", f"WITH {WIDE_LONG_SQL} SELECT building, ts, {r('energy')} AS energy FROM w")
 def src_wide(spark, sf_dir):
-    out = R.to_readings(wide_frame(spark, sf_dir), F.lit("g"), *no_file()).where("energy IS NOT NULL")
+    """Wide files of different columns, one of them csv, read in one scan."""
+    root, frame = scratch_path(spark, "wide"), materialize(wide_frame(spark, sf_dir), "wide-frame")
+    for k, columns in enumerate(WIDE_FILES):
+        part = frame.select("Timestamp", *columns).write.mode("append")
+        part.option("header", True).csv(root) if k == 1 else part.parquet(root)
+    out = R.read_tree(spark, root).where("energy IS NOT NULL")
     return out.select("building", "ts", rd(F.col("energy")).alias("energy"))
 
 
+def single_tree(spark, sf_dir, name, root=None):
+    """One file for each series, named after it; the rows hold only time and energy."""
+    root = root or scratch_path(spark, "single")
+    daily = T.daily(spark, sf_dir).select(name.alias("name"), F.col("ts").alias("timestamp"), "energy")
+    K.write_single(daily, root, "name", ["timestamp", "energy"]).agg(F.sum("n_rows")).collect()
+    return root
+
+
 @query(
     "src_layout",
     f"""WITH {WIDE_LONG_SQL}
 SELECT 'wide' AS kind, building, {TOTALS_SQL} FROM w GROUP BY 2
 UNION ALL SELECT 'long', {SAFE}, {TOTALS_SQL} FROM daily GROUP BY 2
-UNION ALL SELECT 'single', 'load_' || grp, {TOTALS_SQL} FROM daily WHERE NOT contains(grp, ' ') GROUP BY 2""",
+UNION ALL SELECT 'single', 'load_' || replace(grp, ' ', '_'), {TOTALS_SQL} FROM daily GROUP BY 2""",
 )
 def src_layout(spark, sf_dir):
-    """The three layouts of the same readings, each recognised from its schema."""
-    daily = T.daily(spark, sf_dir)
-    wide = R.to_readings(wide_frame(spark, sf_dir), F.lit("g"), *no_file()).where("energy IS NOT NULL")
-    long = R.to_readings(daily.select(F.col("building").alias("meter_id"), F.col("ts").alias("date"), F.col("energy").alias("load")), F.lit("g"), *no_file())
-    single = daily.where(~F.col("grp").contains(" ")).select(
-        F.concat(F.lit("/data/load_"), F.col("grp"), F.lit(".parquet")).alias("__file"), F.col("ts").alias("timestamp"), "energy"
-    )
-    one = R.to_readings(single, F.lit("g"), F.col("__file"), F.lit(0))
-    tag = lambda d, k: totals(d.withColumn("kind", F.lit(k)), "kind", "building")
-    return tag(wide, "wide").unionByName(tag(long, "long")).unionByName(tag(one, "single"))
+    """The three layouts of the same readings, each recognised from its files' own columns, in one tree and one scan."""
+    root = scratch_path(spark, "layouts")
+    wide_frame(spark, sf_dir).write.parquet(f"{root}/wide")
+    long = T.daily(spark, sf_dir).select(F.col("building").alias("meter_id"), F.col("ts").alias("date"), F.col("energy").alias("load"))
+    long.write.parquet(f"{root}/long")
+    single_tree(spark, sf_dir, F.concat(F.lit("load_"), F.col("grp")), f"{root}/single")
+    out = R.read_tree(spark, root).withColumnRenamed("grp", "kind")
+    return totals(out.where("kind <> 'wide' OR energy IS NOT NULL"), "kind", "building")
 
 
 @query("src_single", f"WITH {T.daily_sql()} SELECT {SAFE} AS building, ts, {r('energy')} AS energy FROM daily")
 def src_single(spark, sf_dir):
-    single = T.daily(spark, sf_dir).select(
-        F.concat(F.lit("/data/"), F.col("building"), F.lit(".parquet")).alias("__file"), F.col("ts").alias("timestamp"), "energy"
-    )
-    out = R.to_readings(single, F.lit("g"), F.col("__file"), F.lit(0))
+    """A file for each building, which only the file's name tells."""
+    out = R.read_tree(spark, single_tree(spark, sf_dir, F.col("building")))
     return out.select("building", "ts", rd(F.col("energy")).alias("energy"))
 
 

@@ -26,17 +26,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+_made: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only if unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one, one for each application, only if unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="wattloom-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # made here for a local run, so it goes with it
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        _made[app] = tempfile.mkdtemp(prefix="wattloom-")
+        atexit.register(shutil.rmtree, _made[app], ignore_errors=True)  # made here for a local run, so it goes with it
+    return _made[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

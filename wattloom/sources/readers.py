@@ -3,103 +3,22 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
-from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattloom.functions.scalars import loose_number, safe_name, to_number, to_time, us_date
+from wattloom.sources.files import ANY_CASE, READING, file_stem, footers, group_of, list_files, plain_path
 from wattloom.sources.roles import Layout, data_columns, detect_eda, is_number, layout
+from wattloom.sources.tree import read_tree
 
+__all__ = [
+    "combine", "eda_readings", "file_stem", "footers", "group_of", "list_files", "read_any", "read_log", "read_loss", "read_metadata",
+    "read_summaries", "read_tree", "row_positions", "schema_census", "to_readings",
+]
 log = logging.getLogger(__name__)
 
-READING = ("source", "resolution", "grp", "building", "ts", "energy", "file", "row", "timed")
-ANY_CASE = {"parquet": "*.[pP][aA][rR][qQ][uU][eE][tT]", "csv": "*.[cC][sS][vV]"}
-
-
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every parquet and csv file below root: path, grp (its folder), size_mb. No content is read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "{" + ",".join(ANY_CASE.values()) + "}").load(root)
-    )
-    return files.select("path", group_of(F.col("path"), root).alias("grp"), (F.col("length") / 1e6).alias("size_mb"))
-
-
-def plain_path(path: Column) -> Column:
-    """File metadata escapes special characters in paths; this undoes it."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-
-
-def group_of(path: Column, root: str) -> Column:
-    """Folder of a file relative to root; "." for files directly in it."""
-    base = root.split("://", 1)[-1].rstrip("/").lstrip("/")
-    inner = F.regexp_replace(F.substring_index(path, base + "/", -1), r"/?[^/]+$", "")
-    return F.coalesce(F.nullif(inner, F.lit("")), F.lit("."))
-
-
-def file_stem(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]+$", "")
-
-
-def footers(files: DataFrame) -> DataFrame:
-    """Rows, columns, row groups, column names and types of each parquet file, from its footer only."""
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import quote
-
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        for part in parts:
-            rows = []
-            for path, size in zip(part["path"], part["size_mb"]):
-                try:
-                    store, inner = fs.FileSystem.from_uri(quote(path, safe="/:=@+,"))
-                    with store.open_input_file(inner) as handle:
-                        meta = pq.ParquetFile(handle)
-                        names = " | ".join(meta.schema_arrow.names)
-                        types = " | ".join(str(f.type) for f in meta.schema_arrow)
-                        m = meta.metadata
-                        rows.append((path, size, m.num_rows, len(meta.schema_arrow.names), m.num_row_groups, names, types, None))
-                except Exception as e:  # an unreadable file is a row of the inventory
-                    rows.append((path, size, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "size_mb", "n_rows", "n_cols", "n_row_groups", "columns", "types", "error"]).astype(
-                {"n_rows": "Int64", "n_cols": "Int64", "n_row_groups": "Int64"}
-            )
-
-    return files.select("path", "size_mb").mapInPandas(
-        read, "path string, size_mb double, n_rows long, n_cols long, n_row_groups long, columns string, types string, error string"
-    )
-
-
-def csv_headers(files: DataFrame) -> DataFrame:
-    """First line of each csv file."""
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import quote
-
-        from pyarrow import fs
-
-        for part in parts:
-            rows = []
-            for path in part["path"]:
-                try:
-                    store, inner = fs.FileSystem.from_uri(quote(path, safe="/:=@+,"))
-                    with store.open_input_stream(inner) as handle:
-                        head = b""
-                        while b"\n" not in head and (more := handle.read(4096)):
-                            head += more
-                    rows.append((path, head.split(b"\n", 1)[0].decode().strip(), None))
-                except Exception as e:  # reported by the caller
-                    rows.append((path, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "columns", "error"])
-
-    return files.select("path").mapInPandas(read, "path string, columns string, error string")
-
 
 def schema_census(inventory: DataFrame) -> DataFrame:
     """How many files share each schema."""
@@ -126,24 +45,6 @@ def read_any(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame
     return df.select("*", plain_path(F.col("_metadata.file_path")).alias("__file"), place.alias("__row"))
 
 
-def csv_numbers(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns that hold only numbers become doubles, decided by one pass over the text."""
-    names = [c for c in df.columns if not c.startswith("__") and c not in keep]
-    bad = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in names]).first()
-    return df.withColumns({c: F.col(c).try_cast("double") for c in names if bad[c] == 0})
-
-
-def with_numbers(df: DataFrame, shape: Layout) -> Layout:
-    """A wide layout's text columns count as buildings if they hold any number; one pass over those columns."""
-    text = [c for c in shape.text if c not in shape.buildings]
-    if shape.kind != "wide" or not text:
-        return shape
-    some = df.agg(*[F.count(to_number(F.col(f"`{c}`"))).alias(str(k)) for k, c in enumerate(text)]).first()
-    found = {c for k, c in enumerate(text) if some[k]}
-    order = [c for c in data_columns(df.schema) if c in found or c in shape.buildings]
-    return replace(shape, buildings=tuple(order))
-
-
 def to_readings(
     df: DataFrame, grp: Column, file: Column, row: Column,
     source: str = "real", resolution: str = "Hourly", shape: Layout | None = None,
@@ -191,33 +92,6 @@ def eda_readings(df: DataFrame, grp: str) -> DataFrame:
     ).where("ts IS NOT NULL")
 
 
-def read_tree(spark: SparkSession, root: str, source: str = "real", resolution: str = "Hourly") -> DataFrame:
-    """All readings below root. Files are grouped by column names and types, so each schema is one scan.
-
-    Unreadable files are skipped with a warning. Ids and times of csv files stay as they are written.
-    """
-    files = list_files(spark, root)
-    is_csv = F.lower("path").endswith(".csv")
-    heads = footers(files.where(~is_csv)).select(F.lit("parquet").alias("kind"), "columns", "types", "path", "error").unionByName(
-        csv_headers(files.where(is_csv)).withColumns({"kind": F.lit("csv"), "types": F.lit("")})
-    )
-    by_schema: dict[tuple[str, str, str], list[str]] = {}
-    for line in heads.toLocalIterator():  # names only, as any scan keeps them
-        if line["error"] is not None:
-            log.warning("skipping unreadable file %s: %s", line["path"], line["error"])
-        else:
-            by_schema.setdefault((line["kind"], line["columns"], line["types"]), []).append(line["path"])
-    if not by_schema:
-        raise FileNotFoundError(f"no readable parquet or csv file below {root}")
-    out = None
-    for (kind, _, _), paths in by_schema.items():
-        part = read_any(spark, paths, kind)
-        shape = with_numbers(part, layout(part.schema))
-        table = to_readings(part, group_of(F.col("__file"), root), F.col("__file"), F.col("__row"), source, resolution, shape)
-        out = table if out is None else out.unionByName(table)
-    return out
-
-
 def combine(**sources: DataFrame) -> DataFrame:
     """Several sources in one table, each tagged with its name."""
     out = None

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.functions.scalars import safe_name
 from wattloom.params import DEFAULT, Params
 
 
@@ -89,3 +96,47 @@ def adopt(spark: SparkSession, out: str, step: str, manifest_path: str) -> None:
         return
     new = new.where(F.struct("split", "grp") < F.struct(F.lit(last["split"]), F.lit(last["grp"])))
     new.select(F.lit(step).alias("step"), "split", "grp").write.mode("append").parquet(manifest_path)
+
+
+def write_single(df: DataFrame, root: str, key: str, columns: list[str]) -> DataFrame:
+    """One parquet file for each value of ``key``, named after it: (file, n_rows) of every file.
+
+    Rows are streamed from sorted partitions, so no series is held. A file is written under another name and
+    moved when it is whole, so a repeated task replaces it and readers never see a part of one.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        store.create_dir(folder)
+        task = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
+        now, writer, handle, done, n = None, None, None, [], 0
+
+        def close():
+            if writer is not None:
+                writer.close()
+                handle.close()
+                store.move(f"{folder}/_{task}", f"{folder}/{now}.parquet")
+                done.append((f"{folder}/{now}.parquet", n))
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            rows = batch.select(columns)
+            at = 0
+            while at < len(names):
+                end = at + 1
+                while end < len(names) and names[end] == names[at]:
+                    end += 1
+                if names[at] != now:
+                    close()
+                    now, n = names[at], 0
+                    handle = store.open_output_stream(f"{folder}/_{task}")
+                    writer = pq.ParquetWriter(handle, rows.schema)
+                writer.write_batch(rows.slice(at, end - at))
+                n += end - at
+                at = end
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done]), pa.array([k for _, k in done], pa.int64())], names=["file", "n_rows"])
+
+    named = df.select(safe_name(F.col(key)).alias("__name"), *columns)
+    return named.repartition("__name").sortWithinPartitions("__name", *columns).mapInArrow(write, "file string, n_rows long")
