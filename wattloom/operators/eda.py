@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.scalars import seeded_order
 from wattloom.operators.clean import KEYS, mean_duplicates
 from wattloom.operators.ordered import grouped_percentile, time_bucket, with_halo, with_index, with_lag
+from wattloom.session import materialize
 
 DAY_SECONDS = 86_400
 SPAN = 4096 * DAY_SECONDS // 24
@@ -103,7 +104,7 @@ def building_stats(df: DataFrame, span_seconds: int = SPAN) -> DataFrame:
 
 def dataset_summary(df: DataFrame, span_seconds: int = SPAN) -> DataFrame:
     """One row per data set: sizes, range, step, medians of the building statistics."""
-    stats = building_stats(df, span_seconds)
+    stats = materialize(building_stats(df, span_seconds), "building-stats")
     med = grouped_percentile(stats, ["grp"], ["peak", "energy_to_peak_h_per_year", "completeness"], {"m": 0.5})
     pick = lambda c: F.max(F.when(F.col("metric") == c, F.col("m")))
     medians = med.groupBy("grp").agg(
@@ -185,55 +186,59 @@ def correlation(df: DataFrame, buildings: DataFrame | None = None) -> DataFrame:
     Each task adds up cross sums over its own timestamps and emits one row per pair, so the
     shuffle does not grow with the number of readings.
     """
-    names = df.select("grp", "building").distinct() if buildings is None else buildings.select("grp", "building").distinct()
-    numbered = names.withColumn("idx", F.row_number().over(W.partitionBy("grp").orderBy("building")) - 1)
+    if buildings is not None:
+        df = df.join(buildings.select("grp", "building").distinct(), ["grp", "building"], "left_semi")
     per_ts = (
-        df.where(F.col("energy").isNotNull()).join(numbered, ["grp", "building"])
-        .groupBy("grp", "ts").agg(F.collect_list(F.struct("idx", "energy")).alias("cells"))
-        .select("grp", F.col("cells.idx").alias("idx"), F.col("cells.energy").alias("v"))
+        df.where(F.col("energy").isNotNull())
+        .groupBy("grp", "ts").agg(F.collect_list(F.struct("building", "energy")).alias("cells"))
+        .select("grp", F.col("cells.building").alias("names"), F.col("cells.energy").alias("v"))
     )
-    width = names.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    cols = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        found: dict[str, tuple[dict[str, int], np.ndarray]] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            lengths = np.diff(batch.column(1).offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            col = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            x = np.zeros((batch.num_rows, width))
-            m = np.zeros((batch.num_rows, width))
-            x[row, col] = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            m[row, col] = 1.0
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            coded = batch.column(1).flatten().dictionary_encode()
+            code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            value = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             groups = np.array(batch.column(0).to_pylist(), dtype=object)
             for g in set(groups.tolist()):
-                a, b = x[groups == g], m[groups == g]
-                part = np.stack([b.T @ b, a.T @ b, b.T @ a, (a * a).T @ b, b.T @ (a * a), a.T @ a])
-                sums[g] = sums[g] + part if g in sums else part
-        for g, part in sums.items():
-            i, j = np.triu_indices(width, k=1)
-            keep = part[0][i, j] > 0
+                index, sums = found.setdefault(g, ({}, np.zeros((6, 0, 0))))
+                mine = (groups == g)[row]
+                own = np.unique(code[mine])
+                place = np.zeros(len(names), dtype=np.int64)
+                place[own] = [index.setdefault(names[c], len(index)) for c in own.tolist()]
+                line = np.cumsum(groups == g) - 1
+                x, m = np.zeros((2, int((groups == g).sum()), len(index)))
+                x[line[row[mine]], place[code[mine]]] = value[mine]
+                m[line[row[mine]], place[code[mine]]] = 1.0
+                part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+                part[:, : sums.shape[1], : sums.shape[2]] += sums
+                found[g] = (index, part)
+        for g, (index, sums) in found.items():
+            names = np.array(list(index), dtype=object)
+            order = np.argsort(names)  # a pair is written with its smaller name first
+            i, j = np.triu_indices(len(names), k=1)
+            i, j = order[i], order[j]
+            keep = sums[0][i, j] > 0
             i, j = i[keep], j[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g] * len(i), type=pa.string()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
-                 *[pa.array(p[i, j]) for p in part]],
-                names=["grp", "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
+                [pa.array([g] * len(i), type=pa.string()), pa.array(names[i], type=pa.string()), pa.array(names[j], type=pa.string()),
+                 *[pa.array(p[i, j]) for p in sums]],
+                names=["grp", "a", "b", *cols],
             )
 
-    cols = ["n", "sx", "sy", "sxx", "syy", "sxy"]
     pairs = per_ts.mapInArrow(
-        partial, "grp string, i int, j int, " + ", ".join(f"{c} double" for c in cols)
-    ).groupBy("grp", "i", "j").agg(*[F.sum(c).alias(c) for c in cols])
+        partial, "grp string, a string, b string, " + ", ".join(f"{c} double" for c in cols)
+    ).groupBy("grp", "a", "b").agg(*[F.sum(c).alias(c) for c in cols])
     n = F.col("n")
     vx, vy = n * F.col("sxx") - F.pow("sx", 2), n * F.col("syy") - F.pow("sy", 2)
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    named = pairs.withColumn("corr", F.when((n > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)))
-    left = numbered.select("grp", F.col("building").alias("a"), F.col("idx").alias("i"))
-    right = numbered.select("grp", F.col("building").alias("b"), F.col("idx").alias("j"))
-    return named.join(left, ["grp", "i"]).join(right, ["grp", "j"]).select(
-        "grp", "a", "b", F.col("n").cast("long").alias("n"), "corr"
-    )
+    corr = F.when((n > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    return pairs.select("grp", "a", "b", n.cast("long").alias("n"), corr.alias("corr"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40, by: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.scalars import dynamic_loss, safe_divide, unscale
 from wattloom.operators.clean import KEYS
 from wattloom.operators.ordered import grouped_percentile, with_running
+from wattloom.session import materialize
 from wattloom.params import DEFAULT, Params
 
 
@@ -193,5 +194,6 @@ def building_metrics(points: DataFrame, keys: Sequence[str] = KEYS, eps: float =
 def region_medians(per_building: DataFrame, region: str = "grp") -> DataFrame:
     """Median over the buildings of a region, five error measures."""
     cols = ("nrmse", "mae", "mae_norm", "mse", "mse_norm")
+    per_building = materialize(per_building.select(region, *cols), "per-building")  # dear to compute, and read three times
     long = grouped_percentile(per_building, [region], cols, {"median": 0.5})
     return long.groupBy(region).agg(*[F.max(F.when(F.col("metric") == c, F.col("median"))).alias(c) for c in cols])

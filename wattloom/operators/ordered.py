@@ -16,8 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LAST_BUCKET = 2**62
-# More order-axis buckets for values whose range is unknown; see value_bucket.
-VALUE_BUCKETS_PER_UNIT = 64
+#: Rank distance of the splitters around a wanted quantile, and splitters of a range that is cut again.
+REACH = 2e-4
+RECUT = 64
 
 
 def time_bucket(ts: str | Column, span_seconds: int) -> Column:
@@ -32,13 +33,6 @@ def int_bucket(value: str | Column, span: int) -> Column:
     return F.coalesce(F.floor(col / F.lit(span)).cast("long"), F.lit(LAST_BUCKET))
 
 
-def value_bucket(value: str | Column) -> Column:
-    """Order-preserving bucket of any number, finer around zero and about 1.6 % wide elsewhere."""
-    col = F.col(value) if isinstance(value, str) else value
-    scaled = F.signum(col) * F.log1p(F.abs(col)) * VALUE_BUCKETS_PER_UNIT
-    return F.coalesce(F.floor(scaled).cast("long"), F.lit(LAST_BUCKET))
-
-
 def _keyed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     """Key columns and bucket packed into one struct ``__k``.
 
@@ -184,27 +178,62 @@ def with_lag(
     return with_running(df, keys, order, bucket, lagged=lagged)
 
 
+def _narrow(rows: DataFrame, keys: list[str], fractions: list[float], ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (keys, v) of the value ranges that hold wanted ranks, and the ranks counted inside their range.
+
+    A mergeable sketch proposes the borders of the ranges; the rows of a range are then counted, so the
+    choice is exact whatever the sketch says. Nothing but the sketches and one count for each range is shuffled
+    before the rows that are left. Both results are keyed by ``keys`` and ``__range``; ``ranks`` has (keys, name, rank).
+    """
+    sketch = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", fractions, int(2 / REACH))).alias("__cuts"))
+    placed = rows.join(sketch, keys)
+    placed = placed.withColumn("__range", F.expr("size(filter(__cuts, c -> c < v))")).drop("__cuts")
+    counts = placed.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__c"))
+    by_range = W.partitionBy(*keys).orderBy("__range")  # as many rows as there are ranges
+    counts = counts.withColumn("__upto", F.sum("__c").over(by_range))
+    held = counts.join(ranks, keys).where(
+        (F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("__c"))
+    )
+    inside = held.select(*keys, "__range", "name", (F.col("rank") - F.col("__upto") + F.col("__c")).alias("rank"))
+    wanted = inside.select(*keys, "__range").distinct()
+    return placed.join(wanted, [*keys, "__range"], "left_semi"), inside
+
+
 def grouped_percentile(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles of each column per key: (keys, metric, one column per prob).
+    """Exact interpolated percentiles of each column per key: (keys, metric, one column per prob). Nulls and NaN are left out.
 
-    Equal values collapse first, then a two-level running count finds the ranks, so neither a hot
-    key nor a wide value set gathers in one task. Nulls and NaN are left out.
+    Selection instead of sorting: borders close around the wanted quantiles are taken from a sketch of the data,
+    so a range holds about one row in a thousand however the values lie, and rows outside it are only counted.
+    A range is cut once more in the same way, then its equal values collapse and are ranked. ``df`` is read
+    three times; pass a written table where that is dear.
     """
-    keys = list(keys)
+    keys = [*keys, "metric"]
     cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.metric", "c.v")
-    counted = (
-        long.where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy(*keys, "metric", "v").agg(F.count(F.lit(1)).alias("__c"))
-    )
-    cum = with_running(
-        counted, [*keys, "metric"], [F.col("v")], value_bucket("v"), {"__upto": ("sum", "__c")}, totals={"__n": "__c"}
-    )
+    long = df.select(*keys[:-1], F.explode(cells).alias("c")).select(*keys[:-1], "c.metric", "c.v")
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    # null keys are one key: joins compare the packed struct, which is never null
+    rows = long.select(F.struct(*keys).alias("__k"), "v")
+    position = (F.col("n") - 1) * F.col("w.q")
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in probs.items()])
+    totals = rows.groupBy("__k").agg(F.count(F.lit(1)).alias("n"))
+    ends = totals.select("__k", "n", F.explode(wanted).alias("w")).select(
+        "__k", F.explode(F.array(
+            F.struct(F.concat(F.lit("l:"), "w.name").alias("name"), F.floor(position).cast("long").alias("rank")),
+            F.struct(F.concat(F.lit("h:"), "w.name").alias("name"), F.ceil(position).cast("long").alias("rank")),
+        )).alias("e")
+    ).select("__k", "e.name", "e.rank")
+    near = sorted({min(1.0, max(0.0, q + side * REACH)) for q in probs.values() for side in (-1, 1)})
+    some, ranks = _narrow(rows, ["__k"], near, ends)
+    few, ranks = _narrow(some.withColumnRenamed("__range", "__r1"), ["__k", "__r1"], [k / RECUT for k in range(1, RECUT)], ranks.withColumnRenamed("__range", "__r1"))
+    at = ["__k", "__r1", "__range"]
+    equal = few.groupBy(*at, "v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = equal.withColumn("__upto", F.sum("__c").over(W.partitionBy(*at).orderBy("v")))
+    found = upto.join(ranks, at).where((F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("__c")))
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("v")))
+    values = found.groupBy("__k").agg(*[value(f"{side}:{name}").alias(f"{side}:{name}") for name in probs for side in "lh"])
     picks = []
     for name, q in probs.items():
-        pos = (F.col("__n") - 1) * F.lit(float(q))
-        low = F.min(F.when(F.col("__upto") > F.floor(pos), F.col("v")))
-        high = F.min(F.when(F.col("__upto") > F.ceil(pos), F.col("v")))
-        frac = F.max(pos - F.floor(pos))
-        picks.append((low + (high - low) * frac).alias(name))
-    return cum.groupBy(*keys, "metric").agg(*picks)
+        pos = (F.col("n") - 1) * F.lit(float(q))
+        low, high = F.col(f"`l:{name}`"), F.col(f"`h:{name}`")
+        picks.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
+    return values.join(totals, "__k").select(*[F.col(f"__k.{c}").alias(c) for c in keys], *picks)

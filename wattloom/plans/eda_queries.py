@@ -192,16 +192,16 @@ def eda_daily_energy(spark, sf_dir):
     return out.select("grp", "day", rd(F.col("energy"), 4).alias("energy"), rd(F.col("smoothed"), 4).alias("smoothed"))
 
 
-CORR_SQL = f"""{T.daily_sql()},{sample_sql('daily', 20, 7)},
+CORR_SQL = f"""{T.daily_sql()},{sample_sql('daily', 60, 7)},
 sub AS (SELECT daily.* FROM daily JOIN sampled USING (grp, building)),
 pairs AS (SELECT x.grp, x.building AS a, y.building AS b, count(*) AS n, corr(x.energy, y.energy) AS corr
           FROM sub x JOIN sub y ON x.grp = y.grp AND x.ts = y.ts AND x.building < y.building GROUP BY 1, 2, 3)"""
 
 
 def sampled_correlation(spark, sf_dir):
-    """At most 20 buildings of each group, as the exploratory definition samples them."""
+    """At most 60 buildings of each group, as the exploratory definition samples them."""
     daily = T.daily(spark, sf_dir)
-    return E.correlation(daily, E.sample_buildings(daily, 20, 7))
+    return E.correlation(daily, E.sample_buildings(daily, 60, 7))
 
 
 @query("eda_corr", f"WITH {CORR_SQL} SELECT grp, a, b, n, {r('corr')} AS corr FROM pairs")
