@@ -7,7 +7,7 @@ import hashlib
 import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
-from helpers import empty_docs, odd_docs
+from helpers import DOCS, docs_of, empty_docs, odd_docs
 from pyspark.sql import functions as F
 from test_native import dedup_twin
 
@@ -63,3 +63,28 @@ def test_stages_on_odd_and_empty_tables(spark, k):
             assert out.columns == docs.columns
             if name == "line dedup":
                 assert len(rows) == docs.count()
+
+
+def test_stages_with_null_and_reused_ids(spark, tmp_path):
+    """No unrelated text is lost with an id that is used twice, and rows without an id are judged by their texts."""
+    a, b, item = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "item"))
+    docs = spark.createDataFrame([
+        (5, a, "en", "s", 1), (5, b, "en", "s", 1), (6, a, "en", "s", 1), (None, a + " and", "en", "s", 1), (None, f"so {item} it is", "en", "s", 1),
+        (None, "a clean text without an id", "en", "s", 1), (9, None, "en", "s", 1), (9, None, "en", "s", 1),
+    ], DOCS)
+    single = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    want = [(5, a), (5, b), (9, None), (None, "a clean text without an id"), (None, f"so {item} it is")]
+    pick = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    assert pick(single) == want
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pick(corpus_pipeline.decontamination_stage(spark, single, str(tmp_path))) == want[:4]
+
+
+def test_a_reused_id_counts_once_among_a_lines_documents(spark):
+    line = "a line of more than forty characters that several documents hold"
+    for extra in ("", "x", "yy", "zzz"):
+        four = [(1, line), (1, f"{line}\n{extra} of the same id"), (2, line), (3, line), (4, line + "\nmore" + extra)]
+        for rows, gone in ((four, 0), (four + [(9, line)], 5)):
+            out = corpus_pipeline.line_dedup_stage(spark, docs_of(spark, rows), "").collect()
+            assert sum(line not in (r["text"] or "") for r in out) == gone
+            assert sorted((r["doc_id"], r["text"]) for r in out) == sorted((i, t) for i, _, _, t in dedup_twin(rows))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -178,14 +179,46 @@ def test_tiling_of_odd_and_empty_tables(spark):
     assert tiling.contaminated(odd_docs(spark), items.limit(0)).collect() == []
 
 
-def test_tile_never_overlaps():
+def tiles_of(item: list, doc: list, width: int) -> list:
+    """``tile`` on token lists: every window of the item, and the document's windows that the item has."""
+    of = lambda t: [hash(tuple(t[k : k + width])) for k in range(len(t) - width + 1)]
+    wanted = set(of(item))
+    found = [(p, h) for p, h in enumerate(of(doc)) if h in wanted]
+    if not found:
+        return []
+    pos, hashes = (np.array(x, np.int64) for x in zip(*found))
+    return tiling.tile(np.array(of(item), np.int64), pos, hashes, width)
+
+
+def test_tiles_equal_plain_search_on_few_words():
     rng = random.Random(9)
-    for _ in range(100):
-        n = rng.randint(1, 40)
-        hits = {(rng.randint(0, 20), rng.randint(0, 20)) for _ in range(n)}
-        hits |= {(i + 1, d + 1) for i, d in list(hits)}
-        ip, dp = np.array(sorted(hits)).T
-        tiles = tiling.tile(ip, dp, 3)
+    for _ in range(300):
+        words = "abc"[: rng.randint(1, 3)]
+        item = [rng.choice(words) for _ in range(rng.randint(3, 25))]
+        doc = [rng.choice(words + "x") for _ in range(rng.randint(3, 40))]
+        tiles = tiles_of(item, doc, 3)
+        assert sum(n for _, _, n in tiles) == tiles_twin(item, doc, 3)
         for at in (0, 1):
             places = [t[at] + k for t in tiles for k in range(t[2])]
             assert len(places) == len(set(places))
+        assert all(item[a : a + n] == doc[b : b + n] for a, b, n in tiles)
+
+
+def test_one_repeated_word_takes_seconds(spark):
+    start = time.time()
+    assert tiles_of(["a"] * 300, ["a"] * 20_000, 5) == [(0, 0, 300)]
+    doc = (["a"] * 50 + ["x"]) * 400
+    assert len(tiles_of(["a"] * 300, doc, 5)) == 6
+    rows = tiling.contaminated(
+        docs_of(spark, {1: "a " * 20_000}), spark.createDataFrame([(7, "a " * 300)], "item_id long, text string")
+    ).collect()
+    assert [(r["doc"], r["item"], r["coverage"]) for r in rows] == [(1, 7, 1.0)] and time.time() - start < 30
+
+
+def test_near_copies_without_an_id_keep_their_links(spark):
+    """Null and reused ids: a text is found by its set, never by an id."""
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join(base[:-1] + [f"e{k}"]) for k in range(4)]
+    rows = [(None, near[0]), (7, near[1]), (8, near[2]), (8, "quite another text with seven words"), (None, near[3]), (None, "alone without an id here")]
+    got = sorted(((r["doc"] or 0, r["class_id"] or 0, r["n_links"]) for r in chosen_path.near_duplicates(docs_of(spark, rows)).collect()))
+    assert got == [(0, 0, 0), (0, 7, 3), (0, 7, 3), (7, 7, 3), (8, 7, 3), (8, 8, 0)]

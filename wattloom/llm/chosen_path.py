@@ -313,7 +313,7 @@ def _with_members(frontier: DataFrame) -> DataFrame:
     return frontier.join(counts, "node")
 
 
-def near_duplicates(
+def near_classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -322,27 +322,28 @@ def near_duplicates(
     target_recall: float = 0.99,
     leaf: int = 128,
     max_depth: int = 3,
-    slack: float = 0.15,
+    slack: float = 0.27,
 ) -> DataFrame:
-    """(doc, class_id, n_links): one row per row of ``docs``.
+    """(doc, t, label, class_id, n_links): one row per row of ``docs``; ``t`` is the hash of its text, ``label`` that of its class.
 
     ``class_id`` is the smallest id of the document's class, the connected component of links;
     ``n_links`` counts the other rows whose shingle sets have a Jaccard similarity of ``threshold`` or more with
     this one, exact copies included. Words are lower-cased runs without white space. Texts with fewer words than a
     shingle are one shingle; texts without words (null, empty) are equal to each other. Rows that
     repeat an id join its classes only through their texts. Null ids are allowed; a class of null ids only has a null id.
-    A pair is compared exactly once it shares a leaf and its minhash vectors agree to
-    ``threshold - slack``; runs follow from ``target_recall``.
+    A pair is compared exactly once it shares a leaf, unless its minhash vectors agree on less than ``threshold - slack``
+    of the coordinates: at the threshold that befalls 3.2e-7 of the pairs. Runs follow from ``target_recall``.
     """
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
+    body = body.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
     sets = materialize(
-        map_texts(body, "text", _sketches(width, COORDINATES), "sid long, size int, minhash array<int>, bytes binary", ["doc"]),
+        map_texts(body, "text", _sketches(width, COORDINATES), "sid long, size int, minhash array<int>, bytes binary", ["doc", "t"]),
         "path-sets",
     )
     reps = materialize(
         sets.groupBy("sid").agg(
-            F.count(F.lit(1)).alias("copies"), F.min("doc").alias("rep"), F.first("size").alias("size"),
+            F.count(F.lit(1)).alias("copies"), F.min("doc").alias("least"), F.min(F.struct("doc", "t")).alias("rep"), F.first("size").alias("size"),
             F.first("minhash").alias("minhash"), F.first("bytes").alias("bytes"),
         ),
         "path-reps",
@@ -381,8 +382,8 @@ def near_duplicates(
         "path-active",
     )
     wanted = active.select("sid").distinct().join(owners.select("sid", "rep", "copies", "nodes"), "sid")
-    texts = body.join(wanted.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    # a reused id may name several texts; each is a set of its own, and only wanted ones are kept
+    # one row stands for a set, told by its id and its text; the struct is never null, so ids may be
+    texts = body.withColumn("rep", F.struct("doc", "t")).join(wanted.select("rep").distinct(), "rep", "left_semi")
     full = materialize(
         map_texts(texts, "text", _full(width), "sid long, shingles binary", []).groupBy("sid").agg(F.first("shingles").alias("shingles")),
         "path-full",
@@ -395,10 +396,28 @@ def near_duplicates(
     labels = connected(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
 
-    per_set = reps.select("sid", "copies", "rep").join(labels.withColumnRenamed("v", "sid"), "sid", "left").join(links, "sid", "left")
+    per_set = reps.select("sid", "copies", "least").join(labels.withColumnRenamed("v", "sid"), "sid", "left").join(links, "sid", "left")
     per_set = per_set.withColumn("label", F.coalesce("label", "sid"))
-    classes = per_set.groupBy("label").agg(F.min("rep").alias("class_id"))
+    classes = per_set.groupBy("label").agg(F.min("least").alias("class_id"))
     per_set = per_set.join(classes, "label").select(
-        "sid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
+        "sid", "label", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
     )
-    return sets.select("doc", "sid").join(per_set, "sid").select("doc", "class_id", "n_links")
+    return sets.select("doc", "t", "sid").join(per_set, "sid").select("doc", "t", "label", "class_id", "n_links")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc, class_id, n_links): ``near_classes`` without the hashes of text and class."""
+    return near_classes(docs, **options).select("doc", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Exactly one row of ``docs`` for each class of near copies: that with the smallest id, null after all others.
+
+    A class is told by its texts, so an id that stands for texts of two classes keeps a row in both. Of ids
+    that a class has with several texts the least hash of the text decides; of repeated rows any one stays.
+    """
+    classes = near_classes(docs, doc_id=doc_id, text=text, **options)
+    first = classes.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "t")).alias("k"))
+    leaders = first.select(F.struct(F.col("k.doc").alias("doc"), F.col("k.t").alias("t")).alias("__k"))
+    keyed = docs.withColumn("__k", F.struct(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("t")))
+    return keyed.join(leaders, "__k", "left_semi").dropDuplicates(["__k"]).drop("__k")

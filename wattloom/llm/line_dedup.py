@@ -23,7 +23,7 @@ def line_key(line: Column) -> Column:
 
 
 def _identity(doc_id: str, text: str) -> Column:
-    """A document is its id and its text: repeated rows are one document, a reused id is not. Never null."""
+    """The rows of one text and id lose the same lines. Never null. For the counts an id is one document, whatever its texts."""
     return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
 
 
@@ -31,7 +31,7 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
     """(__d, pos, h, g, slice) of every line with a key of ``min_chars`` code points or more.
 
     ``h`` and ``g`` are two independent 64-bit hashes of the key. ``slice`` spreads one line's
-    documents, so that a line which a third of all documents hold isn't one group.
+    documents, so that a line which a third of all documents hold isn't one group; all texts of one id share one.
     """
     lines = docs.select(
         _identity(doc_id, text).alias("__d"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line")
@@ -39,7 +39,7 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
     keyed = lines.select("__d", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     return keyed.select(
         "__d", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"),
-        F.pmod(F.xxhash64("__d"), F.lit(SLICES)).cast("int").alias("slice"),
+        F.pmod(F.xxhash64("__d.id"), F.lit(SLICES)).cast("int").alias("slice"),
     )
 
 

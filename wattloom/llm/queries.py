@@ -29,7 +29,7 @@ def _learned(scores: DataFrame, least: float) -> DataFrame:
 
 @query("op1_nnpu_toxicity")
 def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxic labels of the training rows are the positives, all training texts the unlabelled pool."""
+    """Toxic labels of the training rows are the positives; the unlabelled pool is drawn from all training texts."""
     docs, train = table(spark, sf_dir, "documents"), ~held_out("doc_id", 5)
     labels = table(spark, sf_dir, "labels").where(train)
     model = toxicity.fit(docs.where(train), labels.where("toxic = 1"), toxicity.prior_of(labels))
@@ -38,6 +38,7 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_compression_quality")
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionaries and curve from labelled training rows, scores of every text."""
     docs, train = table(spark, sf_dir, "documents"), ~held_out("doc_id", 5)
     model = compression_quality.fit(docs.where(train), table(spark, sf_dir, "labels").where(train))
     return _learned(model.score(docs), 0.3)
@@ -54,6 +55,7 @@ def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_frequency")
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base counts, its verdict and the base verdict."""
     return line_frequency.assess(table(spark, sf_dir, "documents"))
 
 
@@ -80,6 +82,7 @@ FROM marked GROUP BY doc_id
 
 @query("op4_line_bitmaps", OP4_SQL)
 def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its numbers of lines and dropped lines and the digest of the lines that stay."""
     out = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
@@ -102,6 +105,7 @@ FROM f
 
 @query("op5_seekable_warc", OP5_SQL)
 def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the written bundles."""
     archive = materialize(warc.bundles(table(spark, sf_dir, "pages")), "warc")
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return warc.records(archive).select(
@@ -111,6 +115,7 @@ def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_class_bigrams")
 def op7_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability by class bigrams beside its base score."""
     return class_lm.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
@@ -131,6 +136,7 @@ def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_bpe_automaton")
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by the automaton and decoded again."""
     out = bpe_automaton.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
     return out.select(
         F.col("doc").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),

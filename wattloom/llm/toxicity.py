@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import map_texts
 from wattloom.session import materialize
 
-#: The classifiers are fitted on about so many texts at most; scoring and statistics cover everything.
+#: The classifiers and their features are fitted on a sample of about so many texts at most; scoring covers everything.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 12_000
 MAX_FEATURES = 20_000
 #: Least gain of a feature, in nats of evidence; rarer coincidences than that are left to chance.
@@ -179,7 +179,8 @@ def fit(
 ) -> Model:
     """Train on the texts of ``docs``; ``positives`` lists the ids of the confirmed toxic ones, ``prior`` the toxic share of all.
 
-    About ``max_positive`` toxic and ``max_unlabelled`` other texts are drawn by a hash of the id.
+    About ``max_positive`` toxic texts and, from all texts, toxic ones among them, ``max_unlabelled`` others for the unlabelled
+    pool are drawn by a hash of the id: the risk takes the pool for a sample of everybody, as ``prior`` does.
     Features must stand in a few toxic texts and be more frequent there than elsewhere. Without any toxic
     text the model gives every text the prior.
     """
@@ -191,7 +192,8 @@ def fit(
     drawn = body.where(_sampled("doc", max(p_share, u_share))).join(few, "doc", "left")
     marked = drawn.withColumn("positive", F.coalesce("positive", F.lit(False)))
     sample = materialize(
-        marked.where(F.when(F.col("positive"), _sampled("doc", p_share)).otherwise(_sampled("doc", u_share))).select("positive", "text"),
+        marked.withColumns({"pool": F.coalesce(_sampled("doc", u_share), F.lit(False)), "positive": F.col("positive") & _sampled("doc", p_share)})
+        .where(F.col("positive") | F.col("pool")).select("positive", "pool", "text"),
         "toxicity-sample",
     )
     counts = sample.groupBy("positive").count().collect()
@@ -211,9 +213,9 @@ def fit(
     gain = F.col("p") * F.log(lift)
     chosen = per_feature.where((F.col("p") >= least) & (lift >= 2) & (gain >= MIN_GAIN)).orderBy(gain.desc(), "feature").limit(max_features)
     number = {r["feature"]: k for k, r in enumerate(chosen.select("feature").collect())}
-    rows = map_texts(sample, "text", _rows(number), "active array<int>, value array<double>", ["positive"]).collect()
+    rows = map_texts(sample, "text", _rows(number), "active array<int>, value array<double>", ["positive", "pool"]).collect()
     positive = Sparse([(r["active"], r["value"]) for r in rows if r["positive"]], len(number))
-    unlabelled = Sparse([(r["active"], r["value"]) for r in rows if not r["positive"]], len(number))
+    unlabelled = Sparse([(r["active"], r["value"]) for r in rows if r["pool"]], len(number))
     fits = [nn_pu_fit(positive, unlabelled, prior, seed) for seed in range(classifiers)]
     return Model(number, np.array([w for w, _ in fits]), np.array([b for _, b in fits]), prior)
 
