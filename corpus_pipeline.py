@@ -31,17 +31,18 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays, once. Rows without an id all stay."""
-    classes = chosen_path.near_duplicates(docs)
-    leaders = classes.where(F.col("doc") == F.col("class_id")).select(F.col("doc").alias("doc_id")).distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of each class of near copies one row stays: that with the smallest id, null after all others.
+
+    Classes are told by texts: an id used for unrelated texts keeps a row of each.
+    """
+    return chosen_path.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of a benchmark item go."""
-    leaks = tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold at least half of a benchmark item go, whether they have an id or not."""
+    leaks = tiling.matches(docs, table(spark, sf_dir, "benchmark")).select("d").distinct()
+    keyed = docs.withColumn("__d", tiling.document_key("doc_id", "text"))
+    return keyed.join(leaks, keyed["__d"] == leaks["d"], "left_anti").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on what the stage before it kept, written in between."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
