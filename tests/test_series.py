@@ -251,3 +251,34 @@ def test_stream_does_not_depend_on_micro_batches(spark, pdf, tmp_path, cuts, per
     for key, (x, _, lab) in wins.items():
         assert np.allclose(got[key].x, x) and (np.array(got[key].labels) == lab).all()
     assert max(r.late_rows for r in out if r.building == "b0") == (1 if (cuts, per_batch) == (4, 1) else 0 if cuts != 4 else max(r.late_rows for r in out))
+
+
+def test_reprojected_labels_need_one_pass(spark, series):
+    """The same windows as from fused labels cut back, and no second shuffle of the rows."""
+    one = L.label_reprojected(series, P)
+    two = L.reproject(L.label_fused(series, P), p=P)
+    pick = lambda df: sorted((r.building, r.start, tuple(np.round(r.x, 6)), tuple(r.labels_fused)) for r in df.collect())
+    assert pick(one) == pick(two) and one.count() > 40
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 2048])
+def test_block_kernel_does_not_depend_on_its_slices(spark, at_once):
+    from wattloom.functions.arrays import block_kernel, remainder_score
+
+    rng = np.random.default_rng(3)
+    pieces = [rng.gamma(2.0, 10.0, n).tolist() for n in (48, 47, 130, 0, 300)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(pieces)], "k int, x array<double>").coalesce(1)
+    smoother = smoothing_matrix(P.window, P.wavelet_level)
+    run = block_kernel(P.window, P.stride, P.wavelet_level, P.q_low, P.q_high, score=remainder_score, backcast=P.backcast, at_once=at_once)
+    for r in df.select("k", "x", run(F.col("x")).alias("v")).select("k", "x", "v.*").collect():
+        votes, cover, prob, probs = (np.zeros(len(r.x)) for _ in range(4))
+        for at in range(0, len(r.x) - P.window + 1, P.stride):
+            x = np.array(r.x[at : at + P.window])
+            trend = smoother @ x
+            resid = np.round(x - trend, 9)
+            lo, hi = np.quantile(resid, [P.q_low, P.q_high])
+            votes[at : at + P.window] += (resid < lo) | (resid > hi)
+            cover[at : at + P.window] += 1
+            prob[at + P.backcast : at + P.window] += remainder_score(trend[None], (x - trend)[None], P.backcast)[0]
+            probs[at + P.backcast : at + P.window] += 1
+        assert r.votes == votes.tolist() and r.cover == cover.tolist() and r.probs == probs.tolist() and np.allclose(r.prob, prob)

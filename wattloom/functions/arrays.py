@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -53,36 +55,60 @@ def labeler(window: int, q_low: float, q_high: float, decimals: int = 9):
     return label
 
 
-def block_labeler(window: int, stride: int, level: int, q_low: float, q_high: float, decimals: int = 9):
-    """Series pieces -> struct(votes, cover) per position, over all windows inside each piece.
+def remainder_score(trend: np.ndarray, season: np.ndarray, backcast: int, eps: float = 1e-8) -> np.ndarray:
+    """Stand-in probability of each future step of each window: the size of its standardised remainder."""
+    z = np.abs((season[:, backcast:] - season.mean(axis=1)[:, None]) / (season.std(axis=1)[:, None] + eps))
+    return z / (1 + z)
+
+
+def block_kernel(
+    window: int, stride: int, level: int, q_low: float, q_high: float, decimals: int = 9,
+    score: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None = None, backcast: int = 0, at_once: int = 2048,
+):
+    """Series pieces -> struct(votes, cover, prob, probs) per position, over all windows inside each piece.
 
-    Pieces start at a window start. All windows of an Arrow batch go through one matrix product;
-    votes and cover are counted by position, so no window is ever a row.
+    ``votes`` and ``cover`` count the labels and windows that lie over a position; with a ``score`` of (trend, season,
+    backcast) ``prob`` sums the probabilities of the windows whose future part lies over it and ``probs`` counts
+    them. Pieces start at a window start. ``at_once`` windows go through one matrix product, so memory does not
+    grow with the Arrow batch, and no window is ever a row.
     """
     smoother = smoothing_matrix(window, level).T.copy()
 
-    @F.arrow_udf("struct<votes:array<int>,cover:array<int>>")
+    @F.arrow_udf("struct<votes:array<int>,cover:array<int>,prob:array<double>,probs:array<int>>")
     def fuse(x: pa.Array) -> pa.Array:
         flat = x.flatten().to_numpy(zero_copy_only=False)
         lengths = np.diff(x.offsets.to_numpy())
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, dtype=np.int64)
         counts = np.where(lengths >= window, (lengths - window) // stride + 1, 0)
-        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        place = (np.repeat(first, counts) + inner * stride)[:, None] + np.arange(window)[None, :]
-        votes = np.zeros(len(flat), dtype=np.int32)
-        cover = np.zeros(len(flat), dtype=np.int32)
-        if len(place):
+        starts = np.repeat(first, counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
+        votes, probs = np.zeros((2, len(flat)), dtype=np.int32)
+        prob = np.zeros(len(flat) if score else 0)
+        edge = np.zeros(len(flat) + 1, dtype=np.int32)  # cover as running sum of window starts and ends
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + window, -1)
+        cover = np.cumsum(edge[:-1], dtype=np.int32)
+        for k in range(0, len(starts), at_once):
+            place = starts[k : k + at_once, None] + np.arange(window)[None, :]
             m = flat[place]
-            resid = np.round(m - m @ smoother, decimals)
+            trend = m @ smoother
+            resid = np.round(m - trend, decimals)
             lo, hi = np.quantile(resid, [q_low, q_high], axis=1)
-            marks = (resid < lo[:, None]) | (resid > hi[:, None])
-            votes = np.bincount(place[marks], minlength=len(flat)).astype(np.int32)
-            cover = np.bincount(place.ravel(), minlength=len(flat)).astype(np.int32)
+            np.add.at(votes, place[(resid < lo[:, None]) | (resid > hi[:, None])], 1)
+            if score:
+                future = place[:, backcast:]
+                low = int(future[0, 0])
+                got = score(trend, np.nan_to_num(m - trend), backcast)
+                inner = future.ravel() - low
+                n = int(future[-1, -1]) - low + 1
+                prob[low : low + n] += np.bincount(inner, got.ravel(), n)
+                probs[low : low + n] += np.bincount(inner, minlength=n).astype(np.int32)
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(offsets, pa.array(votes)), pa.ListArray.from_arrays(offsets, pa.array(cover))],
-            names=["votes", "cover"],
-        )
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (votes, cover)]
+        if score:
+            lists += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (prob, probs)]
+        else:
+            lists += [pa.nulls(len(x), pa.list_(pa.float64())), pa.nulls(len(x), pa.list_(pa.int32()))]
+        return pa.StructArray.from_arrays(lists, names=["votes", "cover", "prob", "probs"])
 
     return fuse
 

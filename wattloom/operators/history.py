@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattloom.fixed_values import LR_STEPS
 from wattloom.functions.scalars import halving_rate
@@ -84,30 +86,37 @@ def early_stop_stepwise(
 ) -> DataFrame:
     """The rule whose best moves only on improvement: a loss at or below the best less ``min_delta``.
 
-    Each epoch depends on the decision before it, so a run's epochs are folded in order; a run is one
-    training's list of epochs. A null loss does not improve. Only epochs up to the first stop are kept.
+    Each epoch depends on the decision before it, so a run's epochs are folded in order along a sorted
+    partition: only best, wait and the run's key go from row to row, however long a run is. Ties of the epoch
+    are taken by loss. A null loss does not improve. Only epochs up to the first stop are kept.
     """
-    runs = history.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), F.col(loss).alias("l")))).alias("h"))
-    kinds = dict(history.dtypes)
-    step = (
-        "(a, x) -> CASE WHEN a.done THEN a ELSE named_struct("
-        f"'best', IF(a.best IS NULL OR x.l <= a.best - {min_delta}D, x.l, a.best),"
-        f"'wait', IF(a.best IS NULL OR x.l <= a.best - {min_delta}D, 0, a.wait + 1),"
-        f"'done', NOT (a.best IS NULL OR coalesce(x.l <= a.best - {min_delta}D, false)) AND a.wait + 1 >= {patience},"
-        "'out', concat(a.out, array(named_struct('e', x.e, 'l', x.l,"
-        f" 'best', IF(a.best IS NULL OR x.l <= a.best - {min_delta}D, x.l, a.best),"
-        f" 'improved', a.best IS NULL OR coalesce(x.l <= a.best - {min_delta}D, false),"
-        f" 'wait', IF(a.best IS NULL OR x.l <= a.best - {min_delta}D, 0, a.wait + 1))))) END"
-    )
-    e = kinds[epoch]
-    row = f"struct<e: {e}, l: double, best: double, improved: boolean, wait: int>"
-    start = f"named_struct('best', cast(null as double), 'wait', 0, 'done', false, 'out', cast(array() as array<{row}>))"
-    doubles = runs.withColumn("h", F.expr("transform(h, x -> named_struct('e', x.e, 'l', cast(x.l as double)))"))
-    out = doubles.select(*keys, F.explode(F.expr(f"aggregate(h, {start}, {step}, a -> a.out)")).alias("o"))
-    return out.select(
-        *keys, F.col("o.e").alias(epoch), F.col("o.l").alias(loss), F.col("o.best").alias("best"), F.col("o.improved").alias("improved"),
-        F.col("o.wait").alias("wait"), (F.col("o.wait") >= patience).alias("stops"),
-    )
+    n_keys = len(keys)
+    rows = history.select(*keys, epoch, F.col(loss).cast("double").alias(loss))
+    kinds = [T.StructField("best", T.DoubleType()), T.StructField("improved", T.BooleanType()), T.StructField("wait", T.IntegerType()), T.StructField("stops", T.BooleanType())]
+    schema = T.StructType([*rows.schema.fields, *kinds])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, wait, done = object(), None, 0, False
+        for batch in batches:
+            keep, out = [], ([], [], [], [])
+            names = zip(*(c.to_pylist() for c in batch.columns[:n_keys])) if n_keys else iter([()] * batch.num_rows)
+            for at, (key, value) in enumerate(zip(names, batch.column(n_keys + 1).to_pylist())):
+                if key != now:
+                    now, best, wait, done = key, None, 0, False
+                if done:
+                    continue
+                improved = best is None or (value is not None and value <= best - min_delta)
+                best, wait = (value, 0) if improved else (best, wait + 1)
+                done = not improved and wait >= patience
+                keep.append(at)
+                for column, v in zip(out, (best, improved, wait, wait >= patience)):
+                    column.append(v)
+            added = [pa.array(c, t) for c, t in zip(out, (pa.float64(), pa.bool_(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, *added], names=schema.fieldNames())
+
+    by = [F.col(c) for c in keys]
+    spread = rows.repartition(*by) if keys else rows.repartition(1)  # without keys there is one run
+    return spread.sortWithinPartitions(*by, F.col(epoch).asc_nulls_last(), F.col(loss).asc_nulls_last()).mapInArrow(fold, schema)
 
 
 def learning_rate(epoch: Column, start: float, schedule: str = "halve") -> Column:

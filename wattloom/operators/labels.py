@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.functions.arrays import block_labeler, labeler
+from wattloom.functions.arrays import block_kernel, labeler
 from wattloom.operators.clean import KEYS
 from wattloom.operators.ordered import with_halo
 from wattloom.operators.windows import decompose, make_windows
@@ -80,23 +81,34 @@ def fuse(labeled: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) ->
     return whole.withColumn("anomaly", rule(F.col("votes"), F.col("cover"), p.merge_rule))
 
 
-def label_fused(series: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
+def _kernel_points(series: DataFrame, p: Params, keys: Sequence[str], reach: int, **options) -> DataFrame:
+    """(keys, __blk, t, energy, n, votes, cover, prob, probs) of every row that a block sees, ``reach`` rows after its own ones included."""
+    back = p.window - p.stride
+    before = -(-back // p.stride) * p.stride
+    placed = with_halo(series.select(*keys, "t", "n", "energy"), "t", p.block, before=before, after=reach)
+    pieces = placed.groupBy(*keys, "__blk").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("t", "energy"))).alias("__rows"))
+    run = block_kernel(p.window, p.stride, p.wavelet_level, p.q_low, p.q_high, backcast=p.backcast, **options)
+    return pieces.withColumn("__v", run(F.col("__rows.energy")))
+
+
+def label_fused(
+    series: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS, score: Callable[..., Any] | None = None
+) -> DataFrame:
     """Series straight to fused labels: the same rows as ``fuse(label_series(series))``.
 
     A block also sees the rows before it that windows covering its own rows start at, so all votes
-    for a row are counted where the row lies: one shuffle in all, and no window leaves its task.
+    for a row are counted where the row lies: one shuffle in all, and no window leaves its task. With a
+    ``score`` (see ``block_kernel``) the same pass gives ``y_prob``, the mean probability of the overlapping
+    forecasts of a row; null where no forecast reaches.
     """
-    reach = p.window - p.stride
-    before = -(-reach // p.stride) * p.stride
-    placed = with_halo(series.select(*keys, "t", "energy"), "t", p.block, before=before, after=reach)
-    pieces = placed.groupBy(*keys, "__blk").agg(F.array_sort(F.collect_list(F.struct("t", "energy"))).alias("__rows"))
-    run = block_labeler(p.window, p.stride, p.wavelet_level, p.q_low, p.q_high)
-    counted = pieces.withColumn("__v", run(F.col("__rows.energy")))
+    counted = _kernel_points(series, p, keys, p.window - p.stride, score=score)
+    named = ["votes", "cover", *(["prob", "probs"] if score else [])]
     points = counted.select(
-        *keys, "__blk", F.explode(F.arrays_zip("__rows", F.col("__v.votes").alias("votes"), F.col("__v.cover").alias("cover"))).alias("r")
+        *keys, "__blk", F.explode(F.arrays_zip("__rows", *[F.col(f"__v.{c}").alias(c) for c in named])).alias("r")
     ).select(
         *keys, "__blk", F.col("r.__rows.t").alias("t"), F.col("r.__rows.energy").alias("energy"),
         F.col("r.votes").cast("long").alias("votes"), F.col("r.cover").cast("long").alias("cover"),
+        *([(F.col("r.prob") / F.nullif(F.col("r.probs"), F.lit(0))).alias("y_prob")] if score else []),
     )
     own = F.floor(F.col("t") / p.block) == F.col("__blk")
     return points.where(own & (F.col("cover") > 0)).drop("__blk").withColumn(
@@ -104,10 +116,40 @@ def label_fused(series: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KE
     )
 
 
-def reproject(fused: DataFrame, lengths: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Fused labels cut back into windows as ``labels_fused``; windows line up with the originals."""
-    series = fused.join(lengths.select(*keys, "n"), list(keys))
-    return make_windows(series, p, keys, {"x": "energy", "labels_fused": "anomaly"})
+def label_reprojected(series: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Windows (keys, blk, start, x, labels_fused) with the fused label of each of their steps.
+
+    The same rows as ``reproject(label_fused(series))``, but labelled once and shuffled once: a block that
+    sees two windows' reach after its own rows has all votes for every step of the windows that start in it.
+    """
+    reach = p.window - p.stride
+    if 2 * reach > p.block:
+        return reproject(label_fused(series, p, keys), p=p, keys=keys)
+    counted = _kernel_points(series, p, keys, 2 * reach)
+    marks = F.transform(F.arrays_zip(F.col("__v.votes").alias("votes"), F.col("__v.cover").alias("cover")), lambda m: rule(m["votes"], m["cover"], p.merge_rule))
+    placed = counted.select(
+        *keys, "__blk", F.col("__rows.energy").alias("__x"), marks.alias("__m"), F.col("__rows.t")[0].alias("__t0"), F.size("__rows").alias("__size"),
+    )
+    own = F.col("__blk") * p.block
+    # windows start on the stride from the first row on, which is a window start, inside the block's own rows
+    last = F.least(own + p.block - p.stride, F.col("__t0") + F.col("__size") - p.window)
+    count = F.when(last >= own, F.floor((last - own) / p.stride) + 1).otherwise(0)
+    cuts = F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: F.struct(
+        (own + k * p.stride).alias("start"),
+        F.slice("__x", (own + k * p.stride - F.col("__t0") + 1).cast("int"), F.lit(p.window)).alias("x"),
+        F.slice("__m", (own + k * p.stride - F.col("__t0") + 1).cast("int"), F.lit(p.window)).alias("labels_fused"),
+    )))
+    return placed.select(*keys, F.col("__blk").alias("blk"), F.explode(cuts).alias("w")).select(*keys, "blk", "w.*")
+
+
+def reproject(fused: DataFrame, lengths: DataFrame | None = None, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Fused labels cut back into windows as ``labels_fused``; windows line up with the originals.
+
+    ``lengths`` (keys, n) is only carried along; without it the windows have no ``n``.
+    """
+    series = fused.join(lengths.select(*keys, "n"), list(keys)) if lengths is not None else fused.withColumn("n", F.lit(None).cast("long"))
+    out = make_windows(series, p, keys, {"x": "energy", "labels_fused": "anomaly"})
+    return out if lengths is not None else out.drop("n")
 
 
 def join_back(series: DataFrame, fused: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattloom.functions import scalars as SC
+from wattloom.functions.arrays import remainder_score
 from wattloom.operators import folds as FO
 from wattloom.operators import history as H
 from wattloom.operators import labels as L
@@ -15,7 +16,7 @@ from wattloom.operators import windows as WN
 from wattloom.plans import tables as T
 from wattloom.plans.registry import query
 from wattloom.plans.series_queries import FUSED_SQL, LABELS_SQL, PARTS_SQL, SUPPLIER_SQL, WINDOWS_SQL, P, rd, supplier_series
-from wattloom.plans.sqltext import r
+from wattloom.plans.sqltext import fused_sql, labels_sql, r, trend_sql, windows_sql
 
 
 def supplier_windows(spark, sf_dir):
@@ -223,12 +224,38 @@ def with_scores(spark, sf_dir):
 SELECT grp, building, t, {r('y_prob', 4)} AS y_prob, anomaly AS y_true FROM prob JOIN fused USING (grp, building, t)""",
 )
 def scr_fuse_prob(spark, sf_dir):
+    """Mean probability of overlapping forecasts and the fused label of a step, from one pass over the windows."""
+    out = L.label_fused(supplier_series(spark, sf_dir), P, score=remainder_score).where("y_prob IS NOT NULL")
+    return out.select("grp", "building", "t", rd(F.col("y_prob"), 4).alias("y_prob"), F.col("anomaly").alias("y_true"))
+
+
+@query(
+    "scr_fuse_windows",
+    f"""WITH {FUSED_SQL},{SCORE_SQL[len(PARTS_SQL) + 1:]}
+SELECT grp, building, t, {r('y_prob', 4)} AS y_prob, anomaly AS y_true FROM prob JOIN fused USING (grp, building, t)""",
+)
+def scr_fuse_windows(spark, sf_dir):
+    """The same from a table of scored windows, as a stored forecast has them."""
     scored = with_scores(spark, sf_dir)
-    fused = L.fuse(L.label_windows(scored, P), P)
-    out = M.with_truth(M.fuse_probabilities(scored, P), fused)
+    out = M.with_truth(M.fuse_probabilities(scored, P), L.fuse(L.label_windows(scored, P), P))
     return out.select("grp", "building", "t", rd(F.col("y_prob"), 4).alias("y_prob"), "y_true")
 
 
+P_OVERLAP = P.with_(stride=P.forecast // 2)
+OVERLAP_SQL = f"{SUPPLIER_SQL},{windows_sql(P_OVERLAP)},{trend_sql(P_OVERLAP)},{labels_sql(P_OVERLAP)},{fused_sql()}"
+
+
+@query(
+    "scr_fuse_overlap",
+    f"""WITH {OVERLAP_SQL},{SCORE_SQL[len(PARTS_SQL) + 1:]}
+SELECT grp, building, t, {r('y_prob', 4)} AS y_prob, anomaly AS y_true FROM prob JOIN fused USING (grp, building, t)""",
+)
+def scr_fuse_overlap(spark, sf_dir):
+    """Forecasts that overlap by half, so most steps have the mean of two."""
+    out = L.label_fused(supplier_series(spark, sf_dir), P_OVERLAP, score=remainder_score).where("y_prob IS NOT NULL")
+    return out.select("grp", "building", "t", rd(F.col("y_prob"), 4).alias("y_prob"), F.col("anomaly").alias("y_true"))
+
+
 SCORED_SQL = "scored AS (SELECT event_type, (event_type = 'error')::INT AS y_true, value / (1 + value) AS y_prob FROM events)"
 CONF_SQL = f"""{SCORED_SQL},
 conf AS (

@@ -445,10 +445,7 @@ FROM wins w JOIN fused f ON w.grp = f.grp AND w.building = f.building AND f.t >=
 GROUP BY 1, 2, 3""",
 )
 def lab_reproject(spark, sf_dir):
-    series = supplier_series(spark, sf_dir)
-    fused = L.label_fused(series, P)
-    lengths = fused.groupBy("grp", "building").agg((F.max("t") + 1).alias("n"))
-    out = L.reproject(fused, lengths, P)
+    out = L.label_reprojected(supplier_series(spark, sf_dir), P)
     marks = F.transform("labels_fused", lambda v: v.cast("double"))
     return out.select(
         "grp", "building", "start",
