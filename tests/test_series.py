@@ -282,3 +282,34 @@ def test_block_kernel_does_not_depend_on_its_slices(spark, at_once):
             prob[at + P.backcast : at + P.window] += remainder_score(trend[None], (x - trend)[None], P.backcast)[0]
             probs[at + P.backcast : at + P.window] += 1
         assert r.votes == votes.tolist() and r.cover == cover.tolist() and r.probs == probs.tolist() and np.allclose(r.prob, prob)
+
+
+@pytest.mark.parametrize("options", [{"rate": 0.05, "local_steps": 3}, {"proximal": 0.5}])
+def test_federated_rounds_equal_plain_averaging(spark, options):
+    rng = np.random.default_rng(1)
+    clients = {}
+    for k, n in ((1, 30), (2, 80), (5, 45)):
+        x = rng.normal(size=(n, 2)) + k / 3
+        clients[k] = (x, x @ np.array([[1.0, -0.5], [0.5, 2.0]]) + k + rng.normal(size=(n, 2)) * 0.1)
+    rows = [(k, a.tolist(), b.tolist()) for k, (x, y) in clients.items() for a, b in zip(x, y)]
+    losses, params = MD.federated_rounds(spark.createDataFrame(rows, "k long, x array<double>, y array<double>"), "k", "x", "y", 4, **options)
+    w, total = np.zeros((3, 2)), sum(len(x) for x, _ in clients.values())
+    want = []
+    for _ in range(5):
+        ones = {k: (np.hstack([np.ones((len(x), 1)), x]), y) for k, (x, y) in clients.items()}
+        want.append((sum(((x @ w - y) ** 2).sum() for x, y in ones.values()) / total / 2, w))
+        new = np.zeros_like(w)
+        for x, y in ones.values():
+            a, b, v = x.T @ x / len(x), x.T @ y / len(x), w
+            if "proximal" in options:
+                v = np.linalg.solve(2 * a + 0.5 * np.eye(3), 2 * b + 0.5 * w)
+            else:
+                for _ in range(3):
+                    v = v - 0.05 * 2 * (a @ v - b)
+            new += v * len(x) / total
+        w = new
+    got = sorted((r.round, r.loss, r.clients, r.examples) for r in losses.collect())
+    assert np.allclose([g[1] for g in got], [l for l, _ in want]) and {g[2:] for g in got} == {(3, total)}
+    assert got[0][1] > got[1][1] > got[-1][1]
+    last = {(r.param, r.horizon): r.value for r in params.where("round = 4").collect()}
+    assert np.allclose([[last[i, j] for j in range(2)] for i in range(3)], want[4][1])

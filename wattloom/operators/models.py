@@ -8,8 +8,10 @@ gives all horizons and all keys (folds or devices).
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.scalars import dynamic_loss
 from wattloom.params import DEFAULT, Params
+from wattloom.session import materialize
 
 
-def cross_products(df: DataFrame, key: str, features: str, targets: str) -> DataFrame:
+def cross_products(df: DataFrame, key: str, features: str, targets: str, squares: bool = False) -> DataFrame:
     """Summed products (key, i, j, v): row i of the features (0 is the constant) with column j of
-    [features, targets]."""
+    [features, targets]. With ``squares`` row -1 holds the sums of squares of the same columns."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
@@ -38,9 +41,13 @@ def cross_products(df: DataFrame, key: str, features: str, targets: str) -> Data
             for value in np.unique(k):
                 m = k == value
                 part = left[m].T @ full[m]
+                if squares:
+                    part = np.vstack([part, (full[m] ** 2).sum(axis=0)])
                 sums[int(value)] = sums[int(value)] + part if int(value) in sums else part
         for value, m in sums.items():
             i, j = np.indices(m.shape)
+            if squares:
+                i[-1] = -1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(m.size, value, dtype=np.int64)), pa.array(i.ravel().astype(np.int32)),
                  pa.array(j.ravel().astype(np.int32)), pa.array(m.ravel())],
@@ -49,7 +56,7 @@ def cross_products(df: DataFrame, key: str, features: str, targets: str) -> Data
 
     picked = df.select(F.col(key).cast("long"), features, targets)
     return (
-        picked.mapInArrow(partial, "key long, i int, j int, v double")
+        picked.mapInArrow(summed, "key long, i int, j int, v double")
         .groupBy("key", "i", "j")
         .agg(F.sum("v").alias("v"))
     )
@@ -194,3 +201,64 @@ def federated_average(coefs: DataFrame) -> DataFrame:
         .groupBy("horizon", "param")
         .agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("value"), F.count(F.lit(1)).alias("clients"))
     )
+
+
+def federated_rounds(
+    df: DataFrame, key: str, features: str, targets: str, rounds: int,
+    rate: float = 0.1, local_steps: int = 1, proximal: float | None = None, start: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Federated averaging of a linear model over several rounds: (losses, parameters).
+
+    Each round every client starts from the averaged parameters of the round before and takes
+    ``local_steps`` gradient steps on its own mean squared error, or, with ``proximal``, goes to the minimum of that
+    error plus proximal / 2 times the squared distance from the start. Parameters are then averaged by
+    examples. A client's data enter only as summed cross products, which are computed once and written; each
+    round works on these small matrices and is written too, so a lost executor repeats one round.
+
+    ``losses`` has (round, loss, clients, examples), the weighted mean squared error of the parameters after that
+    round, round 0 being the start (zeros unless given); ``parameters`` has (round, horizon, param, value).
+    """
+    products = materialize(cross_products(df, key, features, targets, squares=True), "federated-products")
+    size = products.agg((F.max("i") + 1).alias("d"), (F.max("j") + 1).alias("w")).first()
+    d, horizons = size["d"] or 0, (size["w"] or 0) - (size["d"] or 0)
+    now = start if start is not None else (
+        df.sparkSession.range(d * horizons).select((F.col("id") % horizons).cast("int").alias("horizon"), F.floor(F.col("id") / horizons).cast("int").alias("param"), F.lit(0.0).alias("value"))
+    )
+
+    def local(steps: int, part: pd.DataFrame) -> pd.DataFrame:
+        w = np.zeros((d, horizons))
+        given = part[part["i"] == -2]
+        w[given["j"].to_numpy() // horizons, given["j"].to_numpy() % horizons] = given["v"].to_numpy()
+        own = part[part["i"] >= 0]
+        m = np.zeros((d, d + horizons))
+        m[own["i"].to_numpy(), own["j"].to_numpy()] = own["v"].to_numpy()
+        yy = part[(part["i"] == -1) & (part["j"] >= d)]["v"].sum()
+        n = m[0, 0]
+        a, b = m[:, :d] / n, m[:, d:] / n
+        error = yy / n - 2 * (w * b).sum() + (w * (a @ w)).sum()
+        if steps and proximal is not None:
+            w = np.linalg.solve(2 * a + proximal * np.eye(d), 2 * b + proximal * w)
+        elif steps:
+            for _ in range(steps):
+                w = w - rate * 2 * (a @ w - b)
+        i, j = np.indices(w.shape)
+        return pd.DataFrame({"n": int(round(n)), "error": error / horizons, "horizon": j.ravel().astype(np.int32), "param": i.ravel().astype(np.int32), "v": w.ravel()})
+
+    kinds = "n long, error double, horizon int, param int, v double"
+    clients = products.select("key").distinct()
+    losses, written = None, None
+    for number in range(rounds + 1):
+        # the averaged parameters go to every client as rows of its own group
+        sent = clients.crossJoin(now.select(F.lit(-2).alias("i"), (F.col("param") * horizons + F.col("horizon")).cast("int").alias("j"), F.col("value").alias("v")))
+        steps = local_steps if number < rounds else 0
+        done = materialize(
+            products.select("key", "i", "j", "v").unionByName(sent).groupBy("key").applyInPandas(partial(local, steps), kinds), "federated-round"
+        )
+        first = done.where("horizon = 0 AND param = 0")
+        loss = first.agg((F.sum(F.col("error") * F.col("n")) / F.sum("n")).alias("loss"), F.count(F.lit(1)).alias("clients"), F.sum("n").alias("examples"))
+        loss = loss.select(F.lit(number).alias("round"), "loss", "clients", "examples")
+        losses = loss if losses is None else losses.unionByName(loss)
+        tagged = now.select(F.lit(number).alias("round"), "horizon", "param", "value")
+        written = tagged if written is None else written.unionByName(tagged)
+        now = done.groupBy("horizon", "param").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("value"))
+    return losses, written

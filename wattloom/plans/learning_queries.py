@@ -523,6 +523,45 @@ def fed_weighted_params(spark, sf_dir):
     return MD.federated_average(local)
 
 
+FED_IN, FED_OUT, FED_RATE = 5, 3, 0.05
+FED_SQL = f"""WITH RECURSIVE {MOMENTS_SQL},
+cells AS (
+  SELECT r_regionkey + 1 AS client, building, start, pos - {P.backcast - FED_IN} + 1 AS c, sn AS v
+  FROM normed JOIN region ON r_name = grp WHERE pos BETWEEN {P.backcast - FED_IN} AND {P.backcast + FED_OUT - 1}
+  UNION ALL SELECT DISTINCT r_regionkey + 1, building, start, 0, 1.0 FROM normed JOIN region ON r_name = grp),
+prod AS (SELECT x.client, x.c AS i, y.c AS j, sum(x.v * y.v) AS v FROM cells x JOIN cells y USING (client, building, start) GROUP BY 1, 2, 3),
+size AS (SELECT client, v AS n FROM prod WHERE i = 0 AND j = 0),
+walk AS (
+  SELECT 0 AS s, client, h, i, 0.0::DOUBLE AS w FROM size, range({FED_OUT}) t(h), range({FED_IN + 1}) u(i)
+  UNION ALL
+  SELECT s + 1, client, h, i, CASE WHEN s % 2 = 1 THEN sum(w * n) OVER (PARTITION BY h, i) / sum(n) OVER (PARTITION BY h, i) ELSE w END
+  FROM (SELECT any_value(k.s) AS s, k.client, k.h, a.i, any_value(size.n) AS n,
+               any_value(o.w) - {FED_RATE} * 2 * (sum(a.v * k.w) - any_value(b.v)) / any_value(size.n) AS w
+        FROM walk k JOIN prod a ON a.client = k.client AND a.j = k.i AND a.i <= {FED_IN} JOIN walk o ON o.client = k.client AND o.h = k.h AND o.i = a.i
+        JOIN prod b ON b.client = k.client AND b.i = a.i AND b.j = k.h + {FED_IN + 1} JOIN size ON size.client = k.client
+        WHERE k.s < 8 GROUP BY k.client, k.h, a.i)),
+after AS (SELECT s // 2 AS round, client, h, i, w FROM walk WHERE s % 2 = 0),
+error AS (
+  SELECT round, p.client, sum(e) AS e FROM (
+    SELECT x.round, x.client, sum(x.w * y.w * a.v) AS e FROM after x JOIN after y ON y.round = x.round AND y.client = x.client AND y.h = x.h
+      JOIN prod a ON a.client = x.client AND a.i = x.i AND a.j = y.i GROUP BY 1, 2
+    UNION ALL SELECT x.round, x.client, -2 * sum(x.w * b.v) FROM after x JOIN prod b ON b.client = x.client AND b.i = x.i AND b.j = x.h + {FED_IN + 1} GROUP BY 1, 2
+    UNION ALL SELECT r.round, c.client, sum(c.v) FROM (SELECT DISTINCT round FROM after) r, prod c WHERE c.i = c.j AND c.i > {FED_IN} GROUP BY 1, 2) p GROUP BY 1, 2)
+SELECT round::INT AS round, {r(f'sum(e) / {FED_OUT} / sum(n)')} AS loss, count(*) AS clients, sum(n)::BIGINT AS examples
+FROM error JOIN size USING (client) GROUP BY 1"""
+
+
+@query("fed_rounds", FED_SQL)
+def fed_rounds(spark, sf_dir):
+    """Loss per round of federated averaging over four rounds, two local gradient steps each, one client per region."""
+    windows = normed_windows(spark, sf_dir).select(
+        "grp", F.slice("season_norm", P.backcast - FED_IN + 1, FED_IN).alias("x"), F.slice("season_norm", P.backcast + 1, FED_OUT).alias("y")
+    )
+    devices = T.table(spark, sf_dir, "region").select(F.col("r_name").alias("grp"), (F.col("r_regionkey") + 1).alias("device"))
+    losses, _ = MD.federated_rounds(windows.join(devices, "grp"), "device", "x", "y", rounds=4, rate=FED_RATE, local_steps=2)
+    return losses.withColumn("loss", rd(F.col("loss")))
+
+
 # ---- federated and history ------------------------------------------------------------------
 
 CLIENT_SQL = """client AS (
