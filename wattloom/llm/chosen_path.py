@@ -359,7 +359,8 @@ def near_classes(
     frontier = usable.select("sid", F.explode(F.expr(f"array({first})")).alias("node"))
     leaves = None
     for level in range(1, max_depth + 1):
-        nodes = materialize(_with_members(frontier), "path-level")
+        # written first: the rows are both counted and joined, and would be made twice
+        nodes = materialize(_with_members(materialize(frontier, "path-frontier")), "path-level")
         last = level == max_depth
         done = nodes if last else nodes.where(F.col("members") <= leaf)
         leaves = done if leaves is None else leaves.unionByName(done)
