@@ -26,6 +26,7 @@ SPLIT = (
 )
 NEVER = 1 << 60
 CACHED_WORDS = 300_000
+SLICE_BYTES = 2 << 20
 
 
 def byte_characters() -> dict[str, int]:
@@ -215,10 +216,10 @@ def _both(shared):
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, ids, decoded): token ids of every whole text and the text they decode to; null texts are empty.
+    """(doc, ids, decoded): token ids of every whole text and the text they decode to; null texts are empty. Repeated rows give repeated rows.
 
     The automaton is compiled once and shipped to the executors; its size follows from the vocabulary.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"tables": load(path).tables()})
     body = docs.selectExpr(f"`{doc_id}` as doc", f"cast(`{text}` as string) as text")
-    return map_texts(body, "text", _both(shared), "ids array<int>, decoded string", ["doc"])
+    return map_texts(body, "text", _both(shared), "ids array<int>, decoded string", ["doc"], SLICE_BYTES)

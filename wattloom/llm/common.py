@@ -43,11 +43,12 @@ def inline_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return spark.range(1).select(F.inline(literal))
 
 
-def map_texts(df: DataFrame, text: str, make: Callable, added: str, keep: list[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, text: str, make: Callable, added: str, keep: list[str] | None = None, most_bytes: int | None = None) -> DataFrame:
     """Columns computed from a text column, one Arrow batch at a time; the kept columns pass through untouched.
 
     ``make()`` runs once per task and returns a function from a list of texts (or nulls) to a dict of the
-    columns that ``added`` declares. Ids therefore never turn into floats where some are null.
+    columns that ``added`` declares. Ids therefore never turn into floats where some are null. With ``most_bytes`` a
+    batch is worked on in slices of about so many bytes, which bounds what a task holds beside the batch itself.
     """
     keep = list(df.columns if keep is None else keep)
     new = T.StructType.fromDDL(added)
@@ -56,10 +57,15 @@ def map_texts(df: DataFrame, text: str, make: Callable, added: str, keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            got = work(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            columns += [pa.array(got[name], type=kind, from_pandas=True) for name, kind in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            step = whole.num_rows or 1
+            if most_bytes is not None:
+                step = max(1, int(step * min(1.0, most_bytes / max(1, whole.nbytes))))
+            for at in range(0, max(1, whole.num_rows), step):
+                batch = whole.slice(at, step)
+                got = work(batch.column(batch.schema.get_field_index(text)).to_pylist())
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+                columns += [pa.array(got[name], type=kind, from_pandas=True) for name, kind in kinds]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in keep] + new.fields))
