@@ -97,10 +97,11 @@ def backcast_forecast(windows: DataFrame, columns: Sequence[str], p: Params = DE
     return windows.withColumns(cols)
 
 
-def pick(windows: DataFrame, grp: str, building: str, skip: int, count: int, p: Params = DEFAULT) -> DataFrame:
-    """``count`` windows of one building in time order after the first ``skip``."""
-    k = F.col("start") / p.stride
-    return windows.where((F.col("grp") == grp) & (F.col("building") == building) & (k >= skip) & (k < skip + count))
+def pick(series: DataFrame, grp: str, building: str, skip: int, count: int, p: Params = DEFAULT) -> DataFrame:
+    """``count`` windows of one building in time order after the first ``skip``; only rows of their blocks are cut into windows."""
+    first, last = skip * p.stride, (skip + count - 1) * p.stride
+    rows = series.where((F.col("grp") == grp) & (F.col("building") == building) & F.col("t").between(first - first % p.block, last + p.window - 1))
+    return make_windows(rows, p).where(F.col("start").between(first, last))
 
 
 def inventory(windows: DataFrame) -> DataFrame:

@@ -464,12 +464,13 @@ def normed_xy(spark, sf_dir):
 
 @query("fit_forecast")
 def fit_forecast(spark, sf_dir):
-    """Least squares per part and horizon; mean squared error per horizon beside seasonal-naive."""
-    xy = normed_xy(spark, sf_dir).withColumn("one", F.lit(0).cast("long"))
+    """Least squares per part and horizon on the first 70 % of each building's windows; mean squared error on the rest beside seasonal-naive."""
+    xy = FO.hold_out(normed_xy(spark, sf_dir).withColumn("one", F.lit(0).cast("long")), P.with_(val_frac=0.3))
+    train = xy.where("in_train")
     models = {
-        c: MD.predictor(MD.coefficient_matrices(MD.fit(xy, "one", f"{c}_in", f"{c}_out"))) for c in ("trend_norm", "season_norm")
+        c: MD.predictor(MD.coefficient_matrices(MD.fit(train, "one", f"{c}_in", f"{c}_out"))) for c in ("trend_norm", "season_norm")
     }
-    scored = xy.select(
+    scored = xy.where("in_val").select(
         models["trend_norm"]("one", "trend_norm_in").alias("tp"), models["season_norm"]("one", "season_norm_in").alias("sp"),
         F.col("trend_norm_out").alias("tt"), F.col("season_norm_out").alias("st"),
         MD.seasonal_naive("trend_norm", P).alias("tnaive"), MD.seasonal_naive("season_norm", P).alias("snaive"),
@@ -496,11 +497,11 @@ def fit_naive(spark, sf_dir):
 
 @query("fit_classify")
 def fit_classify(spark, sf_dir):
-    """Weighted logistic regression on the first 70 % of each building's windows; scores on the rest."""
-    labeled = L.label_windows(normed_windows(spark, sf_dir), P)
-    held = FO.hold_out(labeled, P.with_(val_frac=0.3))
-    model = MD.fit_classifier(MD.future_points(held.where("in_train"), "labels", P))
-    scored = MD.classify(model, MD.future_points(held.where("in_val"), "labels", P))
+    """Weighted logistic regression on the first 70 % of each building's windows; scores on the rest. Labels are the fused ones on both sides."""
+    fused = L.label_reprojected(supplier_series(spark, sf_dir), P).select("grp", "building", "start", "labels_fused")
+    held = FO.hold_out(normed_windows(spark, sf_dir).join(fused, ["grp", "building", "start"]), P.with_(val_frac=0.3))
+    model = MD.fit_classifier(MD.future_points(held.where("in_train"), "labels_fused", P))
+    scored = MD.classify(model, MD.future_points(held.where("in_val"), "labels_fused", P))
     fused = scored.groupBy("grp", "building", (F.col("start") + P.backcast + F.col("h")).alias("t")).agg(
         F.avg("y_prob").alias("y_prob"), F.max("label").cast("int").alias("y_true")
     )

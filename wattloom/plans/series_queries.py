@@ -326,14 +326,11 @@ SELECT grp, building, start, sum(x)::DOUBLE AS total FROM pts, one
 WHERE grp = b[1] AND building = b[2] AND start >= {2 * P.stride} AND start < {5 * P.stride} GROUP BY 1, 2, 3""",
 )
 def win_pick(spark, sf_dir):
-    """Windows 2, 3 and 4 of the first building."""
-    wins = WN.make_windows(supplier_series(spark, sf_dir), P)
-    first = wins.agg(F.min(F.struct("grp", "building")).alias("b")).select("b.grp", "b.building")
-    k = F.col("start") / P.stride
-    return (
-        wins.join(first, ["grp", "building"], "left_semi").where((k >= 2) & (k < 5))
-        .select("grp", "building", "start", array_sum(F.col("x")).alias("total"))
-    )
+    """Windows 2, 3 and 4 of the first building, cut from the rows under them alone."""
+    series = supplier_series(spark, sf_dir)
+    first = series.where(F.col("n") >= P.window).agg(F.min(F.struct("grp", "building")).alias("b")).select("b.grp", "b.building").first()
+    wins = WN.pick(series, first["grp"], first["building"], 2, 3, P)
+    return wins.select("grp", "building", "start", array_sum(F.col("x")).alias("total"))
 
 
 @query("win_inventory", f"WITH {WINDOWS_SQL} SELECT grp, count(DISTINCT building) AS buildings, count(*) AS windows FROM wins GROUP BY 1")
