@@ -251,3 +251,9 @@ def test_one_file_for_each_series(spark, tmp_path):
     assert sorted((r.file.rsplit("/", 1)[1], r.n_rows) for r in made) == [(f"s_{k}.parquet", 50) for k in range(4)]
     got = pd.read_parquet(tmp_path / "out" / "s_1.parquet")
     assert list(got.t) == list(range(1, 200, 4)) and not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("_")]
+
+
+def test_eight_digit_dates_of_any_number_type(spark):
+    for kind in ("int", "bigint", "double", "decimal(10,0)"):
+        df = spark.sql(f"SELECT 'a' AS bldg_id, CAST(20240102 AS {kind}) AS date, 1.0D AS kwh")
+        assert str(R.to_readings(df, F.lit("g"), F.lit("f"), F.lit(0)).first().ts) == "2024-01-02 00:00:00"

@@ -158,7 +158,7 @@ LOG_SHARD_PROGRESS = (
 )
 LOG_FOLD_PROGRESS = r"\[step6:(\w+)\] fold (\d+)/(\d+) ep (\d+): train=[\d.]+ val=[\d.]+ \(([^)]+)\)"
 LOG_END_MARK = "# fim:"
-# Event classes of log lines. A line needs all phrases of one choice; a choice with True ignores case.
+# Event classes of log lines. A line needs all phrases of one choice; a choice with True ignores case.
 LOG_EVENTS = {
     "training": [(False, ["[step6:", "train=", "val="])],
     "epoch_done": [(True, ["época", "completa"])],

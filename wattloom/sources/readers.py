@@ -59,7 +59,7 @@ def to_readings(
         log.warning("no measure column found in %s; every number is taken as a building", df.columns)
     # digits as a time are read as text (20240101), whatever type holds them
     digits = r.time is not None and is_number(df.schema[r.time].dataType)
-    ts = to_time(F.col(r.time).cast("string") if digits else F.col(r.time)) if r.time else F.lit(None).cast("timestamp_ntz")
+    ts = to_time(F.col(r.time).cast("long").cast("string") if digits else F.col(r.time)) if r.time else F.lit(None).cast("timestamp_ntz")
     base = {"grp": grp, "ts": ts, "file": file, "row": row, "timed": F.lit(r.time is not None)}
     head = [c.alias(k) for k, c in base.items()]
     if shape.kind == "long":
