@@ -138,6 +138,56 @@ def test_exchange_finds_the_two_halves():
     assert len(set(label[:10])) == len(set(label[10:20])) == 1 and label[0] != label[10] and list(label[20:]) == [2, 3]
 
 
+def test_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    n, k = 12, 4
+    pairs = rng.integers(0, 6, (n, n)).astype(float)
+    label = rng.integers(0, k, n)
+    table_of = lambda x, use: np.eye(k)[x][use].T @ pairs[np.ix_(use, use)] @ np.eye(k)[x][use]
+    everything = np.arange(n)
+    hot = np.eye(k)[label]
+    left, right, own = pairs.T @ hot, pairs @ hot, np.diag(pairs)
+    left[everything, label] -= own
+    right[everything, label] -= own
+    got = class_lm.gains(table_of(label, everything), left, right, own.copy(), label)
+    for w in range(n):
+        want = []
+        for g in range(k):
+            moved = label.copy()
+            moved[w] = g
+            want.append(class_lm.likelihood(table_of(moved, everything)))
+        assert np.allclose(got[w] - got[w, 0], np.array(want) - want[0])
+
+
+def test_neighbourhoods_and_sweeps_over_all_words(spark):
+    rng, texts = random.Random(5), {1: None, 2: "", 3: "q0 q0 q0"}
+    nouns, verbs = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
+    for i in range(10, 400):
+        texts[i] = " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(rng.choice([1, 12])))
+    number = {w: i for i, w in enumerate([*nouns, *verbs])} | {"": 61}
+    beside = class_lm.neighbourhoods(docs_of(spark, texts).select("text"), number, 60)
+    want = Counter()
+    for t in texts.values():
+        walk = [number.get(w, 60) for w in ["", *(t or "").split(), ""]]
+        want.update(zip(walk, walk[1:]))
+    after, before = {}, {}
+    for r in beside.collect():
+        after |= {(r["word"], b): n for b, n in zip(r["after"], r["after_n"], strict=True)}
+        before |= {(a, r["word"]): n for a, n in zip(r["before"], r["before_n"], strict=True)}
+    assert after == want and before == {p: n for p, n in want.items() if p[1] < 60}
+
+    # of each kind only five words start in a class; the others wait in that of words outside the table
+    start = np.array([*[0] * 5, *[2] * 25, *[1] * 5, *[2] * 25, 2, 3])
+    pairs = np.zeros((62, 62))
+    for p, n in want.items():
+        pairs[p] = n
+    table_of = lambda x: np.eye(4)[x].T @ pairs @ np.eye(4)[x]
+    assert (class_lm.fold(beside, start, 4) == table_of(start)).all()
+    label, table = class_lm.exchange_all(beside, start, 2, 2)
+    assert set(label[:30]) == {0} and set(label[30:60]) == {1} and list(label[60:]) == [2, 3]
+    assert (table == table_of(label)).all() and class_lm.likelihood(table) > class_lm.likelihood(table_of(start))
+
+
 def test_probabilities_add_up(spark):
     """Over all known words and one unknown word for each class, the next token's probabilities add up to one."""
     docs = docs_of(spark, {1: "a b a c", 2: "b a d", 3: ""})

@@ -1,22 +1,26 @@
 """Brown class-based bigrams.
 
-Exchange clustering moves one frequent word at a time to the class that raises the likelihood of the
-class bigrams most. Every further word that occurs ``PLACED_TIMES`` times or more joins the class that its
-neighbours speak for: first the next frequent words by neighbours among the clustered ones, then all others
-by neighbours among both. Words met less often, and words without such a neighbour, go to the class that words
-of the same ending belong to most. A text's probability is the product of class transitions and of word
-emissions from the class.
+Exchange clustering takes a word out of its class and puts it where the likelihood of the class bigrams becomes
+largest. The head of the vocabulary starts it, one word at a time. Then sweeps over the exchange table follow, which
+holds every word met ``EXCHANGED_TIMES`` times or more, up to ``PLACED_WORDS`` of them: every task moves its words by
+their whole neighbourhoods and by its own copy of the class table, and a sweep counts if the likelihood of the whole
+corpus rose. The first sweep places all words, each later one moves every second word, so that words don't chase each
+other. Every further word that occurs ``PLACED_TIMES`` times or more makes one move, to the class that its neighbours
+speak for; fewer occurrences would overfit in an exchange. Words met less often, and words without neighbours in
+the table, go to the class that words of the same ending belong to most. A text's probability is the product of
+class transitions and of word emissions from the class.
 
 All counts come from the whole training corpus, as Spark aggregations of what each task has combined.
 Tables of the most frequent words are bounded by parameters and shipped to the tasks; the counts and classes of
-all other words stay distributed and meet the texts in a join.
+all other words stay distributed and meet the texts in a join. Ties in frequency go to the smaller word, ties in
+gain to the class with the smaller number. Ids are only passed through, so null and repeated ids are rows like any other.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -34,10 +38,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # ASCII characters that str.split takes for white space and the query contract doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 END = ""
-#: Words with shipped counts; words placed first, beside which all others are placed; words that are clustered; classes besides the end's.
-KNOWN_WORDS, PLACED_WORDS, CLUSTERED_WORDS, CLASSES = 100_000, 12_000, 1_000, 48
-#: Words met less often than this go by their ending.
-PLACED_TIMES = 2
+#: Words with shipped counts; words of the exchange table; words of the head that starts it; classes besides the end's.
+KNOWN_WORDS, PLACED_WORDS, CLUSTERED_WORDS, CLASSES = 100_000, 100_000, 1_000, 48
+#: Sweeps over the exchange table; words of a task that move by one state of its class table.
+SWEEPS, BLOCK = 4, 64
+#: Words met less often than this make one move only; words met less often than that go by their ending.
+EXCHANGED_TIMES, PLACED_TIMES = 5, 2
 FLUSH = 400_000
 RUN = 100_000
 ADD = 0.1
@@ -69,59 +75,154 @@ def _coded(tokens: list[str], number: dict[str, int], other: int) -> np.ndarray:
     return np.fromiter(map(number.get, tokens, repeat(other)), np.int64, len(tokens))
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n), combined within the task as far as ``FLUSH`` words go."""
     counts: Counter = Counter()
+    rows = lambda: pa.RecordBatch.from_arrays(
+        [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
+    )
     for batch in batches:
-        for text in batch["text"]:
+        for text in batch.column(0).to_pylist():
             counts.update(tokens_of(text))
             counts[END] += 1
             if len(counts) > FLUSH:
-                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                yield rows()
                 counts = Counter()
     if counts:
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        yield rows()
+
+
+def _count_pairs(number: dict[str, int], other: int):
+    """(a, b, n): neighbouring tokens by their numbers, combined within the task as far as ``10 * FLUSH`` tokens go.
 
+    Words without a number count as ``other``, texts begin and end with END.
+    """
 
-def _count_pairs(number: dict[str, int], other: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
-    """(a, b, n): neighbouring tokens by their numbers; words without a number count as ``other``, texts begin and end with END."""
+    def rows(found):
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array((keys >> 31).astype(np.int32)), pa.array((keys & (1 << 31) - 1).astype(np.int32)), pa.array(n)], names=["a", "b", "n"]
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, int] = {}
-        shift = 1 << 20
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
-            for tokens, _ in runs_of(batch["text"]):
+            for tokens, _ in runs_of(batch.column(0).to_pylist()):
                 seq = _coded(tokens, number, other)
-                a, b = seq[:-1], seq[1:]
-                if wanted is not None:
-                    use = wanted(a, b)
-                    a, b = a[use], b[use]
-                keys, counts = np.unique(a * shift + b, return_counts=True)
-                for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
-                    total[k] = total.get(k, 0) + n
-            if len(total) > 4 * FLUSH:
-                yield _pair_rows(total, shift)
-                total = {}
-        yield _pair_rows(total, shift)
+                found.append((seq[:-1] << 31) + seq[1:])
+                held += len(seq)
+                if held > 10 * FLUSH:
+                    yield rows(found)
+                    found, held = [], 0
+        if found:
+            yield rows(found)
 
     return run
 
 
-def _pair_rows(total: dict[int, int], shift: int) -> pd.DataFrame:
-    keys = np.fromiter(total, np.int64, len(total))
-    return pd.DataFrame({"a": keys // shift, "b": keys % shift, "n": np.fromiter(total.values(), np.int64, len(total))})
+BESIDE = "word int, before array<int>, before_n array<long>, after array<int>, after_n array<long>"
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, follows, other, n) in order of the word become one row a word: what stands before it and after it."""
+
+    def rows(word, follows, other, n):
+        at = np.append(True, word[1:] != word[:-1])
+        owner, size = np.cumsum(at) - 1, int(at.sum())
+        out = [pa.array(word[at])]
+        for use in (~follows, follows):
+            lengths = np.bincount(owner[use], minlength=size)
+            out += [_ragged(lengths, pa.array(other[use])), _ragged(lengths, pa.array(n[use]))]
+        return pa.RecordBatch.from_arrays(out, names=["word", "before", "before_n", "after", "after_n"])
+
+    kept = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if kept is not None:
+            cols = [np.concatenate(both) for both in zip(kept, cols, strict=True)]
+        if len(cols[0]):
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:
+                yield rows(*(c[:cut] for c in cols))
+            kept = [c[cut:] for c in cols]
+    if kept is not None:
+        yield rows(*kept)
+
+
+def neighbourhoods(body: DataFrame, number: dict[str, int], other: int) -> DataFrame:
+    """``BESIDE`` of every numbered token. A pair is summed before it goes to its two words, so a frequent word is no hot
+    key: its row has at most one entry for each token of the table and side. What stands before ``other`` and END is left out."""
+    pairs = body.mapInArrow(_count_pairs(number, other), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sides = pairs.selectExpr("stack(2, a, true, b, n, b, false, a, n) AS (word, follows, other, n)")
+    sides = sides.where(F.col("follows") | (F.col("word") < other))
+    return materialize(sides.repartition("word").sortWithinPartitions("word").mapInArrow(_lists, BESIDE), "lm-beside")
+
+
+def _owner(lists: pa.ListArray) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def fold(beside: DataFrame, group: np.ndarray, size: int) -> np.ndarray:
+    """Bigram counts between groups of tokens, ``group`` by token number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size)
+        for batch in batches:
+            word, after, n = batch.columns
+            cell = group[word.to_numpy()[_owner(after)]] * size + group[after.flatten().to_numpy()]
+            total += np.bincount(cell, n.flatten().to_numpy(), size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
+
+    got = beside.select("word", "after", "after_n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(size * size)
+    table[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    return table.reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
+def likelihood(table: np.ndarray) -> float:
+    """What exchange raises: sum N(g,h) log N(g,h) - sum N(g) log N(g) over left and right."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def gains(table: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """(word, class): the likelihood with the word in the class, less that without the word.
+
+    ``left`` and ``right`` say how often classes stand before and after each word, pairs of the word with itself (``own``)
+    left out; ``table`` has every word in its class ``old``.
+    """
+    m = np.arange(len(old))
+    bare = np.repeat(table[None], len(old), axis=0)
+    bare[m, :, old] -= left
+    bare[m, old, :] -= right
+    bare[m, old, old] -= own
+    base = _xlogx(bare)
+    # column g gains left, row g gains right, the corner gains both and own
+    gain = (_xlogx(bare + left[:, :, None]) - base).sum(axis=1) + (_xlogx(bare + right[:, None, :]) - base).sum(axis=2)
+    corner, own = np.diagonal(bare, axis1=1, axis2=2), own[:, None]
+    gain += _xlogx(corner + left + right + own) - _xlogx(corner + left) - _xlogx(corner + right) + _xlogx(corner)
+    # totals of all other words' tokens, those beside the word included
+    rows, cols = bare.sum(axis=2) + left, bare.sum(axis=1) + right
+    r, c = right.sum(axis=1, keepdims=True) + own, left.sum(axis=1, keepdims=True) + own
+    return gain - (_xlogx(rows + r) - _xlogx(rows) + _xlogx(cols + c) - _xlogx(cols))
+
+
+def _move(table: np.ndarray, left: np.ndarray, right: np.ndarray, own: float, old: int, new: int) -> None:
+    for g, sign in ((old, -1), (new, 1)):
+        table[:, g] += sign * left
+        table[g, :] += sign * right
+        table[g, g] += sign * own
+
+
 def exchange(pairs: np.ndarray, classes: int, fixed: int, sweeps: int = 12) -> np.ndarray:
-    """Classes of words from their bigram counts (a square matrix).
+    """Classes of words from their bigram counts (a square matrix), one move at a time.
 
     The last ``fixed`` words keep classes of their own, numbered from ``classes`` on. Words start dealt
-    out by frequency; each sweep takes every word out of its class and puts it where
-    sum N(g,h) log N(g,h) - sum N(g) log N(g) over left and right becomes largest.
+    out by frequency.
     """
     n = len(pairs)
     label = np.arange(n) % classes
@@ -137,25 +238,9 @@ def exchange(pairs: np.ndarray, classes: int, fixed: int, sweeps: int = 12) -> n
             left, right = into[w].copy(), out[w].copy()
             left[old] -= own
             right[old] -= own
-            # without the word
-            table[:, old] -= left
-            table[old, :] -= right
-            table[old, old] -= own
-            rows, cols = table.sum(axis=1), table.sum(axis=0)
-            base = _xlogx(table)
-            # with the word in each class g: column g gains left, row g gains right, the corner gains both and own
-            gain = (_xlogx(table + left[:, None]) - base).sum(axis=0) + (_xlogx(table + right[None, :]) - base).sum(axis=1)
-            corner = np.diag(table)
-            gain += _xlogx(corner + left + right + own) - _xlogx(corner + left) - _xlogx(corner + right) + _xlogx(corner)
-            r, c = right.sum() + own, left.sum() + own
-            # totals of all other words' tokens, those beside the word included
-            rows, cols = rows + left, cols + right
-            gain -= _xlogx(rows + r) - _xlogx(rows) + _xlogx(cols + c) - _xlogx(cols)
-            new = int(np.argmax(gain[:classes]))
-            table[:, new] += left
-            table[new, :] += right
-            table[new, new] += own
+            new = int(gains(table, left[None], right[None], np.array([own]), np.array([old]))[0, :classes].argmax())
             if new != old:
+                _move(table, left, right, own, old, new)
                 moved += 1
                 label[w] = new
                 into[:, old] -= pairs[w, :]
@@ -167,6 +252,55 @@ def exchange(pairs: np.ndarray, classes: int, fixed: int, sweeps: int = 12) -> n
     return label
 
 
+def _sweep(label: np.ndarray, table: np.ndarray, classes: int):
+    """(word, g): each word's best class. A task moves ``BLOCK`` words by one state of its own copy of the class table."""
+    k = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = table.copy()
+        for batch in batches:
+            word, size = batch.column(0).to_numpy(), batch.num_rows
+            around, own = [], np.zeros(size)
+            for lists, n in ((batch.column(1), batch.column(2)), (batch.column(3), batch.column(4))):
+                row, near, times = _owner(lists), lists.flatten().to_numpy(), n.flatten().to_numpy()
+                itself = near == word[row]
+                own[row[itself]] = times[itself]
+                row, near, times = row[~itself], near[~itself], times[~itself]
+                around.append(np.bincount(row * k + label[near], times, size * k).reshape(size, k))
+            left, right = around
+            old = label[word].astype(np.int64)
+            new = old.copy()
+            for at in range(0, size, BLOCK):
+                cut = slice(at, at + BLOCK)
+                new[cut] = gains(mine, left[cut], right[cut], own[cut], old[cut])[:, :classes].argmax(axis=1)
+                for w in (np.flatnonzero(new[cut] != old[cut]) + at).tolist():
+                    _move(mine, left[w], right[w], own[w], old[w], new[w])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(new.astype(np.int32))], names=["word", "g"])
+
+    return run
+
+
+def exchange_all(beside: DataFrame, label: np.ndarray, classes: int, fixed: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes by token number after sweeps over all words but the last ``fixed`` tokens, and the table of class bigrams.
+
+    ``label`` says where the words start. A sweep that doesn't raise the likelihood is taken back and is the last.
+    """
+    k, words = classes + fixed, len(label) - fixed
+    table = fold(beside, label, k)
+    for sweep in range(sweeps if words else 0):
+        mine = F.col("word") < words
+        if sweep:
+            mine &= (F.col("word") + sweep) % 2 == 0
+        got = beside.where(mine).mapInArrow(_sweep(label, table, classes), "word int, g int").toPandas()
+        new = label.copy()
+        new[got["word"].to_numpy(np.int64)] = got["g"].to_numpy(np.int64)
+        after = fold(beside, new, k)
+        if likelihood(after) <= likelihood(table):
+            break
+        label, table = new, after
+    return label, table
+
+
 def ending(word: str) -> str:
     return word[-3:]
 
@@ -415,54 +549,34 @@ class Model:
 
 def fit(
     train: DataFrame, text: str = "text", known_words: int = KNOWN_WORDS, placed_words: int = PLACED_WORDS,
-    clustered_words: int = CLUSTERED_WORDS, n_classes: int = CLASSES,
+    clustered_words: int = CLUSTERED_WORDS, n_classes: int = CLASSES, exchanged_times: int = EXCHANGED_TIMES,
 ) -> Model:
     """Learn from every text of ``train``. Without any text every token is unknown."""
     spark = train.sparkSession
     body = train.select(F.col(text).cast("string").alias("text"))
     words = materialize(
-        body.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words"
+        body.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words"
     )
     size = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("end")).first()
     total, distinct = size["n"] or 0, size["v"]
     ranked = [(r["word"], r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(known_words).collect()]
     counts = dict(ranked) | ({END: size["end"]} if size["end"] else {})
-    frequent = [w for w, _ in ranked if w != END]
-    top = frequent[:clustered_words]
-    other, end = len(top), len(top) + 1
-    number = {w: k for k, w in enumerate(top)} | {END: end}
-
-    # clustering: a square of bounded size
-    rows = body.mapInPandas(_count_pairs(number, other), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = np.zeros((end + 1, end + 1))
-    got = rows.toPandas()
-    pairs[got["a"].to_numpy(np.int64), got["b"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-    label = exchange(pairs, n_classes, 2)
-    k = n_classes + 2  # the end has a class of its own, and so had the other words while clustering
+    table_words = [w for w, n in ranked if w != END and n >= exchanged_times][:placed_words]
+    other, end = len(table_words), len(table_words) + 1
+    number = {w: v for v, w in enumerate(table_words)} | {END: end}
+    beside = neighbourhoods(body, number, other)
+
+    # the head, one move at a time: a square of bounded size, all other words in a class of their own
+    head = min(clustered_words, other)
+    group = np.minimum(np.arange(other + 2), head)
+    group[end] = head + 1
+    begin = exchange(fold(beside, group, head + 2), n_classes, 2)
+    k = n_classes + 2  # the end has a class of its own, and so have the words outside the table
+    label, table = exchange_all(beside, begin[group], n_classes, 2)
     of_word = {w: int(label[v]) for w, v in number.items()}
-
-    hot = np.eye(k)[label]
-    table = hot.T @ pairs @ hot + 0.5
+    table = table + 0.5
     affinity = np.log(table * table.sum() / table.sum(axis=1)[:, None] / table.sum(axis=0)[None, :])
 
-    # words of the second rank go where their neighbours' classes speak for them
-    placed = frequent[clustered_words:placed_words]
-    if placed:
-        index = {w: k + i for i, w in enumerate(placed)}
-        context = {w: g for w, g in of_word.items()}
-        nothing = k + len(placed)
-        wide = {**context, **index}
-        beside = lambda a, b: ((a < k) & (b >= k) & (b < nothing)) | ((b < k) & (a >= k) & (a < nothing))
-        near = body.mapInPandas(_count_pairs(wide, nothing, beside), "a long, b long, n long")
-        near = near.groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()  # placed words x classes x 2 at most
-        a, b, n = (near[c].to_numpy(np.int64) for c in "abn")
-        votes = np.zeros((len(placed), k))
-        m = b >= k
-        np.add.at(votes, b[m] - k, n[m, None] * affinity[a[m], :])
-        np.add.at(votes, a[~m] - k, n[~m, None] * affinity[:, b[~m]].T)
-        best = votes[:, :n_classes].argmax(axis=1)
-        of_word |= {w: int(best[i]) for i, w in enumerate(placed)}
-
     by_ending: dict[str, Counter] = {}
     for w, g in of_word.items():
         if w != END:
