@@ -257,3 +257,15 @@ def test_eight_digit_dates_of_any_number_type(spark):
     for kind in ("int", "bigint", "double", "decimal(10,0)"):
         df = spark.sql(f"SELECT 'a' AS bldg_id, CAST(20240102 AS {kind}) AS date, 1.0D AS kwh")
         assert str(R.to_readings(df, F.lit("g"), F.lit("f"), F.lit(0)).first().ts) == "2024-01-02 00:00:00"
+
+
+def test_rows_leave_a_file_in_small_batches(spark, tmp_path, monkeypatch):
+    """No batch grows with the range of a csv file that is parsed at once, and lines keep their numbers."""
+    from wattloom.sources import tree
+
+    monkeypatch.setattr(tree, "ROWS", 10)
+    path = tmp_path / "a.csv"
+    path.write_text("energy\n" + "".join(f"{k}\n" for k in range(95)))
+    got = list(tree._csv_batches(str(path), 0, path.stat().st_size))
+    assert [(first, batch.num_rows) for first, batch in got] == [(k, min(10, 95 - k)) for k in range(0, 95, 10)]
+    assert [v for _, b in got for v in b.column(0).to_pylist()] == [str(k) for k in range(95)]

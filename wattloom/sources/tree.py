@@ -33,7 +33,7 @@ from wattloom.sources.roles import Layout, is_number, layout
 log = logging.getLogger(__name__)
 
 SPLIT = 64 << 20
-CHUNK = 8 << 20
+CHUNK = 1 << 20
 ROWS = 8192
 
 
@@ -131,7 +131,7 @@ def work_list(files: DataFrame) -> DataFrame:
 def _parquet_batches(path: str, group: int, before: int, wanted: list[str]) -> Iterator[tuple[int, pa.RecordBatch]]:
     store, inner = _open(path)
     with store.open_input_file(inner) as handle:
-        for batch in pq.ParquetFile(handle).iter_batches(ROWS, row_groups=[group], columns=wanted):
+        for batch in pq.ParquetFile(handle, buffer_size=CHUNK).iter_batches(ROWS, row_groups=[group], columns=wanted):
             yield before, batch
             before += batch.num_rows
 
@@ -159,7 +159,8 @@ def _csv_batches(path: str, start: int, length: int) -> Iterator[tuple[int, pa.R
                 data, skip = data[data.find(b"\n") + 1 :] if b"\n" in data else b"", False
             if data.strip():
                 batch = _parse_csv(data, names)
-                yield line, batch
+                for k in range(0, batch.num_rows, ROWS):
+                    yield line + k, batch.slice(k, ROWS)
                 line += batch.num_rows
 
 
