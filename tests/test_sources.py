@@ -269,3 +269,13 @@ def test_rows_leave_a_file_in_small_batches(spark, tmp_path, monkeypatch):
     got = list(tree._csv_batches(str(path), 0, path.stat().st_size))
     assert [(first, batch.num_rows) for first, batch in got] == [(k, min(10, 95 - k)) for k in range(0, 95, 10)]
     assert [v for _, b in got for v in b.column(0).to_pylist()] == [str(k) for k in range(95)]
+
+
+def test_folder_and_name_of_a_file_come_with_its_piece(spark, tmp_path):
+    """Worked out once a piece, not by expressions on every row."""
+    (tmp_path / "in" / "x y").mkdir(parents=True)
+    pd.DataFrame({"energy": [1.0, 2.0]}).to_csv(tmp_path / "in" / "x y" / "b (1).csv", index=False)
+    out = R.read_tree(spark, str(tmp_path / "in"))
+    assert {(r.grp, r.building, r.energy) for r in out.collect()} == {("x y", "b_1", 1.0), ("x y", "b_1", 2.0)}
+    plan = out.select("grp")._jdf.queryExecution().executedPlan().toString()
+    assert "substring_index" not in plan.split("MapInArrow")[0]

@@ -220,7 +220,7 @@ def _numbers(column: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 CELLS = T.StructType([
-    T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("line", T.LongType()), T.StructField("timed", T.BooleanType()),
+    T.StructField("file", T.StringType()), T.StructField("grp", T.StringType()), T.StructField("stem", T.StringType()), T.StructField("block", T.LongType()), T.StructField("line", T.LongType()), T.StructField("timed", T.BooleanType()),
     T.StructField("wall", T.TimestampNTZType()), T.StructField("time_text", T.StringType()), T.StructField("building", T.StringType()),
     T.StructField("number", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("open_schema", T.LongType()),
 ])
@@ -229,6 +229,7 @@ CELLS = T.StructType([
 def cells(pieces: DataFrame, zone: str) -> DataFrame:
     """Every cell of every piece as one row, by the layout of its own file. Only the columns in use are read.
 
+    ``grp`` and ``stem`` (folder and tidied name of the file) come with the piece, so they are not worked out for each row.
     ``building`` is null where the file's name is the building; ``open_schema`` is set for cells of text columns
     of wide files. A batch of one column leaves the task at a time, so a file may have any number of columns.
     """
@@ -252,7 +253,7 @@ def cells(pieces: DataFrame, zone: str) -> DataFrame:
                     get = lambda c: batch.column(at[c])  # noqa: B023, E731
                     wall, time_text = _times(get(r.time) if r.time else None, n, zone)
                     same = lambda v, kind: pa.repeat(pa.scalar(v, kind), n)  # noqa: B023, E731
-                    head = [same(path, pa.string()), same(block, pa.int64()), pa.array(range(first, first + n), pa.int64()), same(r.time is not None, pa.bool_()), wall, time_text]
+                    head = [*[same(row[c], pa.string()) for c in ("path", "grp", "stem")], same(block, pa.int64()), pa.array(range(first, first + n), pa.int64()), same(r.time is not None, pa.bool_()), wall, time_text]
                     for c in values:
                         number, number_text = _numbers(get(c))
                         if shape.kind == "long":
@@ -262,7 +263,7 @@ def cells(pieces: DataFrame, zone: str) -> DataFrame:
                         open_ = same(schema if c in text else None, pa.int64())
                         yield pa.RecordBatch.from_arrays([*head, building, number, number_text, open_], names=names)
 
-    return pieces.select("path", "kind", "start", "length", "before", "schema").mapInArrow(read, CELLS)
+    return pieces.select("path", "grp", "stem", "kind", "start", "length", "before", "schema").mapInArrow(read, CELLS)
 
 
 def read_tree(spark: SparkSession, root: str, source: str = "real", resolution: str = "Hourly") -> DataFrame:
@@ -284,11 +285,12 @@ def read_tree(spark: SparkSession, root: str, source: str = "real", resolution:
     if not seen["pieces"]:
         raise FileNotFoundError(f"no readable parquet or csv file below {root}")
     tasks = min(seen["pieces"], max(spark.sparkContext.defaultParallelism, seen["bytes"] // SPLIT))
-    found = cells(work.where("error IS NULL").repartition(tasks), spark.conf.get("spark.sql.session.timeZone"))
+    pieces = work.where("error IS NULL").withColumns({"grp": group_of(F.col("path"), root), "stem": safe_name(file_stem(F.col("path")))})
+    found = cells(pieces.repartition(tasks), spark.conf.get("spark.sql.session.timeZone"))
     number = F.coalesce(null_if_nan(F.col("number")), to_number(F.col("text")))
-    named = safe_name(F.coalesce("building", file_stem(F.col("file"))))
+    named = F.when(F.col("building").isNull(), F.col("stem")).otherwise(safe_name(F.col("building")))
     out = found.select(
-        group_of(F.col("file"), root).alias("grp"), F.coalesce("wall", to_time(F.col("time_text"))).alias("ts"), "file",
+        "grp", F.coalesce("wall", to_time(F.col("time_text"))).alias("ts"), "file",
         F.struct("block", "line").alias("row"), "timed", named.alias("building"), number.alias("energy"),
         F.lit(source).alias("source"), F.lit(resolution).alias("resolution"), "open_schema", F.col("building").alias("__column"),
     )
