@@ -43,12 +43,12 @@ def index_series(df: DataFrame, keys: Sequence[str] = KEYS, p: Params = DEFAULT,
     valid = F.col("energy").isNotNull() if trim else None
     bucket = time_bucket("ts", p.order_span_seconds)
     if "place" not in df.columns:
-        return with_index(df, keys, [F.col("ts").asc_nulls_last()], bucket, valid=valid)
+        return with_index(df, keys, [F.col("ts")], bucket, valid=valid)
     fields = dict(df.select("place.row").dtypes)["row"]
     line = F.expr("place.row.line") if fields.startswith("struct") else F.col("place.row").cast("long")
     block = F.expr("place.row.block") if fields.startswith("struct") else F.lit(0)
     slices = F.struct(bucket.alias("t"), F.col("place.file").alias("f"), block.cast("long").alias("b"), F.floor(line / ROWS_PER_SLICE).alias("l"))
-    return with_index(df, keys, [F.col("ts").asc_nulls_last(), F.col("place")], slices, valid=valid).drop("place")
+    return with_index(df, keys, [F.col("ts"), F.col("place")], slices, valid=valid).drop("place")
 
 
 def min_length(df: DataFrame, rows: int) -> DataFrame:
