@@ -313,3 +313,23 @@ def test_federated_rounds_equal_plain_averaging(spark, options):
     assert got[0][1] > got[1][1] > got[-1][1]
     last = {(r.param, r.horizon): r.value for r in params.where("round = 4").collect()}
     assert np.allclose([[last[i, j] for j in range(2)] for i in range(3)], want[4][1])
+
+
+def test_array_functions_give_the_same_in_slices(monkeypatch):
+    """A batch is worked on in slices of AT_ONCE windows; the last slice may be short."""
+    from wattloom.functions import arrays as A
+
+    rows = np.random.default_rng(5).normal(size=(11, 96))
+    x = pa.array(rows.tolist(), pa.list_(pa.float64()))
+
+    def outputs():
+        parts = A.decomposer(96, 5).func(x)
+        return [parts, A.labeler(96, 0.01, 0.99).func(x, parts.field("trend")), A.standardizer(96).func(x)]
+
+    def flat(struct):
+        return [v for k in range(struct.type.num_fields) for v in np.ravel(struct.field(k).to_pylist())]
+
+    whole = outputs()
+    monkeypatch.setattr(A, "AT_ONCE", 4)
+    for a, b in zip(whole, outputs()):
+        assert len(a) == 11 and np.allclose(flat(a), flat(b), rtol=0, atol=1e-9)

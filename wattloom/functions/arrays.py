@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from wattloom.functions.wavelet import smoothing_matrix
 
 
+#: Windows that go through one matrix product, so that temporary arrays do not grow with the Arrow batch.
+AT_ONCE = 2048
+
+
 def _as_matrix(col, width: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -29,8 +33,12 @@ def decomposer(window: int, level: int):
     @F.arrow_udf("struct<trend:array<double>,season:array<double>>")
     def decompose(x: pa.Array) -> pa.Array:
         m = _as_matrix(x, window)
-        trend = m @ smoother
-        season = np.nan_to_num(m - trend)
+        trend, season = np.empty(m.shape), np.empty(m.shape)
+        for k in range(0, len(m), AT_ONCE):
+            part = slice(k, k + AT_ONCE)
+            np.matmul(m[part], smoother, out=trend[part])
+            np.subtract(m[part], trend[part], out=season[part])
+            np.nan_to_num(season[part], copy=False)
         return pa.StructArray.from_arrays([_as_lists(trend), _as_lists(season)], names=["trend", "season"])
 
     return decompose
@@ -41,14 +49,15 @@ def labeler(window: int, q_low: float, q_high: float, decimals: int = 9):
 
     @F.arrow_udf("struct<labels:array<tinyint>,lo:double,hi:double>")
     def label(x: pa.Array, trend: pa.Array) -> pa.Array:
-        resid = np.round(_as_matrix(x, window) - _as_matrix(trend, window), decimals)
-        if len(resid):
-            lo, hi = np.quantile(resid, [q_low, q_high], axis=1)
-        else:
-            lo = hi = np.empty(0)
-        marks = (resid < lo[:, None]) | (resid > hi[:, None])
+        value, smooth = _as_matrix(x, window), _as_matrix(trend, window)
+        marks, (lo, hi) = np.empty(value.shape, dtype=np.int8), np.empty((2, len(value)))
+        for k in range(0, len(value), AT_ONCE):
+            part = slice(k, k + AT_ONCE)
+            resid = np.round(value[part] - smooth[part], decimals)
+            lo[part], hi[part] = np.quantile(resid, [q_low, q_high], axis=1)
+            marks[part] = (resid < lo[part, None]) | (resid > hi[part, None])
         return pa.StructArray.from_arrays(
-            [_as_lists(marks.astype(np.int8), pa.int8()), pa.array(lo), pa.array(hi)],
+            [_as_lists(marks, pa.int8()), pa.array(lo), pa.array(hi)],
             names=["labels", "lo", "hi"],
         )
 
@@ -63,7 +72,7 @@ def remainder_score(trend: np.ndarray, season: np.ndarray, backcast: int, eps: f
 
 def block_kernel(
     window: int, stride: int, level: int, q_low: float, q_high: float, decimals: int = 9,
-    score: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None = None, backcast: int = 0, at_once: int = 2048,
+    score: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None = None, backcast: int = 0, at_once: int = AT_ONCE,
 ):
     """Series pieces -> struct(votes, cover, prob, probs) per position, over all windows inside each piece.
 
@@ -119,8 +128,12 @@ def standardizer(window: int, eps: float = 1e-8):
     @F.arrow_udf("struct<z:array<double>,mean:double,std:double>")
     def standardize(a: pa.Array) -> pa.Array:
         m = _as_matrix(a, window)
-        mean, std = m.mean(axis=1), m.std(axis=1)
-        z = (m - mean[:, None]) / (std[:, None] + eps)
+        z, (mean, std) = np.empty(m.shape), np.empty((2, len(m)))
+        for k in range(0, len(m), AT_ONCE):
+            part = slice(k, k + AT_ONCE)
+            mean[part], std[part] = m[part].mean(axis=1), m[part].std(axis=1)
+            np.subtract(m[part], mean[part, None], out=z[part])
+            z[part] /= std[part, None] + eps
         return pa.StructArray.from_arrays([_as_lists(z), pa.array(mean), pa.array(std)], names=["z", "mean", "std"])
 
     return standardize

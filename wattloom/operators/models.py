@@ -18,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.functions.arrays import AT_ONCE
 from wattloom.functions.scalars import dynamic_loss
 from wattloom.params import DEFAULT, Params
 from wattloom.session import materialize
@@ -36,14 +37,16 @@ def cross_products(df: DataFrame, key: str, features: str, targets: str, squares
             k = batch.column(0).to_numpy(zero_copy_only=False)
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
             y = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-            left = np.hstack([np.ones((rows, 1)), x])
-            full = np.hstack([left, y])
-            for value in np.unique(k):
-                m = k == value
-                part = left[m].T @ full[m]
-                if squares:
-                    part = np.vstack([part, (full[m] ** 2).sum(axis=0)])
-                sums[int(value)] = sums[int(value)] + part if int(value) in sums else part
+            for at in range(0, rows, AT_ONCE):
+                own = slice(at, at + AT_ONCE)
+                left = np.hstack([np.ones((len(k[own]), 1)), x[own]])
+                full = np.hstack([left, y[own]])
+                for value in np.unique(k[own]):
+                    m = k[own] == value
+                    part = left[m].T @ full[m]
+                    if squares:
+                        part = np.vstack([part, (full[m] ** 2).sum(axis=0)])
+                    sums[int(value)] = sums[int(value)] + part if int(value) in sums else part
         for value, m in sums.items():
             i, j = np.indices(m.shape)
             if squares:
@@ -101,10 +104,12 @@ def predictor(matrices: dict[int, np.ndarray]):
         k = key.to_numpy(zero_copy_only=False)
         rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
         out = np.full((len(k), horizons), np.nan)
-        for value, m in matrices.items():
-            hit = k == value
-            if hit.any():
-                out[hit] = m[0] + rows[hit] @ m[1:]
+        for at in range(0, len(k), AT_ONCE):
+            own = slice(at, at + AT_ONCE)
+            for value, m in matrices.items():
+                hit = k[own] == value
+                if hit.any():
+                    out[own][hit] = m[0] + rows[own][hit] @ m[1:]
         offsets = pa.array(np.arange(0, out.size + 1, horizons, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
