@@ -333,3 +333,19 @@ def test_array_functions_give_the_same_in_slices(monkeypatch):
     monkeypatch.setattr(A, "AT_ONCE", 4)
     for a, b in zip(whole, outputs()):
         assert len(a) == 11 and np.allclose(flat(a), flat(b), rtol=0, atol=1e-9)
+
+
+def test_classifier_is_fitted_on_written_points(spark, monkeypatch):
+    """Counting, fitting and scoring do not cut and label the windows again."""
+    import __spark_entry__ as entry
+
+    class Seen(Exception):
+        pass
+
+    def stop(points, *_):
+        raise Seen(points._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(MD, "fit_classifier", stop)
+    with pytest.raises(Seen) as seen:
+        entry.queries()["fit_classify"](spark, entry.SMOKE_DIR)
+    assert "ArrowEvalPython" not in str(seen.value)

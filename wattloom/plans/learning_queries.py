@@ -17,6 +17,7 @@ from wattloom.plans import tables as T
 from wattloom.plans.registry import query
 from wattloom.plans.series_queries import FUSED_SQL, LABELS_SQL, PARTS_SQL, SUPPLIER_SQL, WINDOWS_SQL, P, rd, supplier_series
 from wattloom.plans.sqltext import fused_sql, labels_sql, r, trend_sql, windows_sql
+from wattloom.session import materialize
 
 
 def supplier_windows(spark, sf_dir):
@@ -500,8 +501,10 @@ def fit_classify(spark, sf_dir):
     """Weighted logistic regression on the first 70 % of each building's windows; scores on the rest. Labels are the fused ones on both sides."""
     fused = L.label_reprojected(supplier_series(spark, sf_dir), P).select("grp", "building", "start", "labels_fused")
     held = FO.hold_out(normed_windows(spark, sf_dir).join(fused, ["grp", "building", "start"]), P.with_(val_frac=0.3))
-    model = MD.fit_classifier(MD.future_points(held.where("in_train"), "labels_fused", P))
-    scored = MD.classify(model, MD.future_points(held.where("in_val"), "labels_fused", P))
+    # windows are cut and labelled once; counting, fitting and scoring read the written points
+    points = materialize(MD.future_points(held, "labels_fused", P, ("grp", "building", "in_train", "in_val")), "points")
+    model = MD.fit_classifier(points.where("in_train"))
+    scored = MD.classify(model, points.where("in_val"))
     fused = scored.groupBy("grp", "building", (F.col("start") + P.backcast + F.col("h")).alias("t")).agg(
         F.avg("y_prob").alias("y_prob"), F.max("label").cast("int").alias("y_true")
     )
