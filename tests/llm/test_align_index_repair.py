@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import docs_of, empty_docs, odd_docs
 from pyspark.sql import functions as F
@@ -115,6 +117,33 @@ def test_alignment_of_odd_and_empty_tables(spark):
     assert alignment.cross_alignment(empty_docs(spark), A, B).collect() == []
 
 
+def test_a_block_is_aligned_in_slices_of_bounded_memory():
+    with open(A, encoding="utf-8") as f, open(B, "rb") as g:
+        kit = alignment.Tokenizers(f.read(), g.read())
+    rng = random.Random(8)
+    parts = [kit.encode([" ".join(rng.choice(["the", "unaligned", "Straße", "counter-measures", "tokens", "日本"]) for _ in range(1500))])[0] for _ in range(5)]
+
+    def block(docs: int, **options):
+        made = alignment._Block(kit, 500, **options)
+        for k in range(docs):
+            ids = [] if k % 7 == 3 else [parts[k % 5]]
+            made.add(k, [x for x, _, _ in ids], [y for _, y, _ in ids], 10_000)
+        return made
+
+    small, whole = block(12, tokens=1).row(), block(12, tokens=1 << 30).row()
+    for row in (small, whole):  # the order of a text's links is free
+        index = np.frombuffer(pa.decompress(row.pop("links"), 2 * row["n_links"].sum(), codec=alignment.CODEC), np.uint16)
+        row["of"] = [np.sort(x).tolist() for x in np.split(index, np.cumsum(row["n_links"]))]
+    assert all(list(small[c]) == list(whole[c]) for c in whole)
+    assert block(0).row()["docs"] == [] and block(4, tokens=1).row()["n_links"][3] == 0
+    large = block(180)
+    tracemalloc.start()
+    links = int(large.row()["n_links"].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links > 400_000 and peak < 40 * links  # all at once: over 100 bytes a link
+
+
 # --- hash index ------------------------------------------------------------------------------------------------------
 
 

@@ -32,6 +32,8 @@ WORK = 1 << 16
 BLOCK_BYTES = 2 << 20
 SEGMENT = 1 << 16
 CHUNK = 1 << 18
+SLICE = 1 << 16
+ROWS = 256
 CODEC = "zstd"
 
 
@@ -146,10 +148,10 @@ _BORDER = re.compile("[A-Za-z] [A-Za-z]")
 
 
 class _Block:
-    """Texts that are aligned together and share one request for pair counts."""
+    """Texts that share one request for pair counts; about ``tokens`` tokens of A are aligned together."""
 
-    def __init__(self, kit: Tokenizers, work: int):
-        self.kit, self.work = kit, work
+    def __init__(self, kit: Tokenizers, work: int, tokens: int = SLICE):
+        self.kit, self.work, self.tokens = kit, work, tokens
         self.docs, self.ids, self.bytes = [], [], 0
 
     def add(self, doc, ids_a: list[np.ndarray], ids_b: list[np.ndarray], size: int) -> None:
@@ -160,18 +162,29 @@ class _Block:
     def row(self) -> dict:
         kit, n_docs = self.kit, len(self.docs)
         n_a, n_b = (np.array([len(x[k]) for x in self.ids], np.int64) for k in (0, 1))
-        ids_a, ids_b = (np.concatenate([_NONE, *(x[k] for x in self.ids)]) for k in (0, 1))
-        i, j, cut_a, cut_b = align(np.cumsum(kit.len_a[ids_a]), np.cumsum(kit.len_b[ids_b]), self.work)
-        doc_of = np.repeat(np.arange(n_docs), n_a)
-        order = np.argsort(doc_of[i], kind="stable")  # a piece emits its overlaps by A, then by B
-        i, j = i[order], j[order]
-        codes, index = np.unique(ids_a[i].astype(np.int64) * kit.size_b + ids_b[j], return_inverse=True)
-        kind = np.uint16 if len(codes) <= 1 << 16 else np.uint32
+        n_links, n_groups = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
+        digests, seen, kinds, times = [], [], [], []
+        begins = np.searchsorted(np.cumsum(n_a), np.arange(0, n_a.sum(), self.tokens), "right")
+        cuts = np.unique(np.concatenate([[0], begins, [n_docs]])).tolist()
+        for first, last in zip(cuts[:-1], cuts[1:]):  # tokens of A and B both end where a text ends, so texts align apart
+            own, of = slice(first, last), np.repeat(np.arange(last - first), n_a[first:last])
+            ids_a, ids_b = (np.concatenate([x[k] for x in self.ids[own]]) for k in (0, 1))
+            i, j, cut_a, cut_b = align(np.cumsum(kit.len_a[ids_a]), np.cumsum(kit.len_b[ids_b]), self.work)
+            order = np.argsort(of[i], kind="stable")  # a piece emits its overlaps by A, then by B
+            i, j = i[order], j[order]
+            n_links[own], n_groups[own] = (np.bincount(of[x], minlength=last - first) for x in (i, cut_a - 1))
+            digests += self._digests(ids_a, ids_b, (n_a + n_b)[own], cut_a, cut_b)
+            found, index, n = np.unique(ids_a[i].astype(np.int64) * kit.size_b + ids_b[j], return_inverse=True, return_counts=True)
+            seen.append(found)
+            kinds.append(index.astype(np.uint32))
+            times.append(n)
+        codes, at = np.unique(np.concatenate([_NONE.astype(np.int64), *seen]), return_inverse=True)
+        kind, ends = np.uint16 if len(codes) <= 1 << 16 else np.uint32, np.cumsum([len(x) for x in seen])
+        links = b"".join(at[end - len(x) : end].astype(kind)[index].tobytes() for x, index, end in zip(seen, kinds, ends))
         return {
-            "docs": self.docs, "n_a": n_a, "n_b": n_b, "n_links": np.bincount(doc_of[i], minlength=n_docs),
-            "n_groups": np.bincount(doc_of[cut_a - 1], minlength=n_docs), "groups_sha256": self._digests(ids_a, ids_b, n_a + n_b, cut_a, cut_b),
-            "codes": codes, "times": np.bincount(index, minlength=len(codes)),
-            "links": pa.compress(index.astype(kind).tobytes(), codec=CODEC, asbytes=True),
+            "docs": self.docs, "n_a": n_a, "n_b": n_b, "n_links": n_links, "n_groups": n_groups, "groups_sha256": digests, "codes": codes,
+            "times": np.bincount(at, np.concatenate([_NONE, *times]), len(codes)).astype(np.int64),
+            "links": pa.compress(links, codec=CODEC, asbytes=True),
         }
 
     def _digests(self, ids_a, ids_b, lengths, cut_a, cut_b) -> list[str]:
@@ -221,12 +234,14 @@ def aligned_blocks(docs: DataFrame, shared, doc_id: str, text: str, block_bytes:
 
         def chunks(batch):
             held, size = [], 0
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((doc, kit.segments(value, segment) if value else []))
-                size += len(value or "")
-                if size >= CHUNK:
-                    yield held
-                    held, size = [], 0
+            for first in range(0, batch.num_rows, ROWS):
+                few = batch.slice(first, ROWS)
+                for doc, value in zip(few.column(0).to_pylist(), few.column(1).to_pylist()):
+                    held.append((doc, kit.segments(value, segment) if value else []))
+                    size += len(value or "")
+                    if size >= CHUNK:
+                        yield held
+                        held, size = [], 0
             yield held
 
         for batch in batches:
