@@ -8,6 +8,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from helpers import docs_of, empty_docs, odd_docs
 from wattloom.llm import class_lm, compression_quality, toxicity
@@ -236,3 +238,42 @@ def test_rare_words_are_placed_by_their_neighbours(spark):
         w = ["", *(texts | new)[r["doc"]].split(), ""]
         want = sum(model.transition[of(a), of(b)] - model.room[of(b)] + math.log10(n[b] + 0.1) for a, b in zip(w, w[1:]))
         assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
+def test_runs_hold_the_words_of_the_contract():
+    rng = random.Random(12)
+    bits = ["a", "B", "É", "ß", "İ", "K", "日", "🙂", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "\0", "\x7f", " ", "\t", "\n", "\x0b", "\x0c", "\r", " "]
+    texts = [None, "", " ", "\n \n"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    want = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [""] for t in texts]
+    for array in (pa.array(texts), pa.array(["cut off", *texts])[1:]):
+        (words, seq, ends), = class_lm.runs_of(array)
+        tokens = [words[k].as_py() for k in seq.tolist()]
+        assert tokens == ["", *(w for t in want for w in t)]
+        assert ends.tolist() == np.cumsum([len(t) for t in want]).tolist()
+    assert list(class_lm.runs_of(pa.array([], pa.string()))) == []
+
+
+def test_rows_of_a_key_stay_together_over_batches():
+    keys = [None] * 3 + sorted("aabbbbbccd" * 3)
+    whole = pa.record_batch({"n": list(range(len(keys))), "word": pa.array(keys, pa.string())})
+    for size in (1, 2, 5, 100):
+        got = list(class_lm._whole_keys((whole.slice(k, size) for k in range(0, len(keys), size)), "word"))
+        assert pa.Table.from_batches(got).to_pydict() == whole.to_pydict()
+        of = [set(b.column("word").to_pylist()) - {None} for b in got]
+        assert sum(map(len, of)) == len(set.union(*of)) == 4
+
+
+def test_neighbourhoods_move_packed_pairs(spark):
+    """Few rows leave a task, each with many pairs, and any number of parts gives the same."""
+    texts = [" ".join(random.Random(k).choices([f"w{x}" for x in range(30)], k=40)) for k in range(50)]
+    number = {f"w{x}": x for x in range(25)} | {"": 26}
+    batch = pa.record_batch({"text": texts})
+    rows = list(class_lm._count_pairs(number, 25, 4)(iter([batch])))
+    assert sum(b.num_rows for b in rows) == 4 and sum(pc.sum(b["n"].flatten()).as_py() for b in rows) == 50 * 41
+    body = docs_of(spark, list(enumerate(texts))).select("text").repartition(3)
+
+    def found(parts):
+        beside = class_lm.neighbourhoods(body, number, 25, parts).collect()
+        return sorted((r["word"], *(sorted(zip(r[c], r[c + "_n"])) for c in ("before", "after"))) for r in beside)
+
+    assert found(1) == found(4) == found(1000) and len(found(4)) == 27

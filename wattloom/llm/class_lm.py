@@ -18,25 +18,21 @@ gain to the class with the smaller number. Ids are only passed through, so null
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattloom.llm.common import held_out, map_texts
+from wattloom.llm.common import held_out
 from wattloom.session import materialize
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-# ASCII characters that str.split takes for white space and the query contract doesn't.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
 END = ""
 #: Words with shipped counts; words of the exchange table; words of the head that starts it; classes besides the end's.
 KNOWN_WORDS, PLACED_WORDS, CLUSTERED_WORDS, CLASSES = 100_000, 100_000, 1_000, 48
@@ -45,70 +41,92 @@ SWEEPS, BLOCK = 4, 64
 #: Words met less often than this make one move only; words met less often than that go by their ending.
 EXCHANGED_TIMES, PLACED_TIMES = 5, 2
 FLUSH = 400_000
-RUN = 100_000
+#: Bytes of text that are worked on at once; tokens for each part in which pairs are summed.
+RUN, PART = 4 << 20, 500_000
 ADD = 0.1
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """Words of the lower-cased text. ``str.split`` knows more white space, which stands in few ASCII texts."""
-    text = text or ""
-    if text.isascii():
-        return WORD.findall(text.lower()) if any(c in text for c in SEPARATORS) else text.lower().split()
-    return WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+def runs_of(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Texts in a row, each closed by END, with END before the first: the distinct tokens, the run as places among them, and
+    where the texts' ends stand. A run has about ``RUN`` bytes. Arrow's ASCII functions know the contract's white space and
+    lower-case A-Z, and leave every other character alone."""
+    step = max(1, int(len(texts) * min(1.0, RUN / max(1, texts.nbytes))))
+    for first in range(0, len(texts), step):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(first, step), END)))
+        coded = lists.flatten().dictionary_encode()
+        words, place = coded.dictionary, coded.indices.to_numpy()
+        end = pc.index(words, END).as_py()  # white space at a text's border leaves an empty string
+        if end < 0:
+            words, end = pa.concat_arrays([words, pa.array([END], words.type)]), len(words)
+        use = place != end
+        owner, place = _owner(lists)[use], place[use]
+        ends = np.cumsum(np.bincount(owner, minlength=len(lists)) + 1)
+        seq = np.full(ends[-1] + 1, end, np.int64)
+        seq[1 + np.arange(len(place)) + owner] = place
+        yield words, seq, ends
 
 
-def runs_of(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[int]]]:
-    """Texts in a row, each closed by END, with END before the first; and where their ends stand. A run has about ``RUN`` tokens."""
-    tokens, ends = [END], []
-    for text in texts:
-        tokens += tokens_of(text)
-        ends.append(len(tokens))
-        tokens.append(END)
-        if len(tokens) > RUN:
-            yield tokens, ends
-            tokens, ends = [END], []
-    if ends:
-        yield tokens, ends
+def _codes(number: dict[str, int], other: int):
+    """A function from an array of words to their numbers, ``other`` where a word has none."""
+    known, value = pa.array(list(number), pa.string()), np.append(np.fromiter(number.values(), np.int64, len(number)), other)
 
+    def of(words: pa.Array) -> np.ndarray:
+        return value[pc.index_in(words, value_set=known).fill_null(len(known)).to_numpy()]
 
-def _coded(tokens: list[str], number: dict[str, int], other: int) -> np.ndarray:
-    return np.fromiter(map(number.get, tokens, repeat(other)), np.int64, len(tokens))
+    return of
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n), combined within the task as far as ``FLUSH`` words go."""
-    counts: Counter = Counter()
-    rows = lambda: pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-    )
+    found, held = [], 0
+
+    def joined():
+        coded = pa.concat_arrays([w for w, _ in found]).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), np.concatenate([n for _, n in found]), len(coded.dictionary))
+        return coded.dictionary, n.astype(np.int64)
+
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens_of(text))
-            counts[END] += 1
-            if len(counts) > FLUSH:
-                yield rows()
-                counts = Counter()
-    if counts:
-        yield rows()
+        for words, seq, _ in runs_of(batch.column(0)):
+            found.append((words, np.bincount(seq[1:], minlength=len(words))))
+            held += len(words)
+            if held > 2 * FLUSH:
+                found = [joined()]
+                held = len(found[0][0])
+                if held > FLUSH:
+                    yield pa.RecordBatch.from_arrays([found[0][0], pa.array(found[0][1])], names=["word", "n"])
+                    found, held = [], 0
+    if found:
+        yield pa.RecordBatch.from_arrays([(last := joined())[0], pa.array(last[1])], names=["word", "n"])
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([f[1] for f in found]), len(keys)).astype(np.int64)
 
 
-def _count_pairs(number: dict[str, int], other: int):
-    """(a, b, n): neighbouring tokens by their numbers, combined within the task as far as ``10 * FLUSH`` tokens go.
+PAIRS = "part int, pairs array<long>, n array<long>"
+
+
+def _count_pairs(number: dict[str, int], other: int, parts: int):
+    """Neighbouring tokens a << 31 | b by their numbers, combined within the task as far as ``10 * FLUSH`` tokens go, dealt by pair.
 
     Words without a number count as ``other``, texts begin and end with END.
     """
 
     def rows(found):
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        pairs, n = np.unique(np.concatenate(found), return_counts=True)
+        part = ((pairs >> 31) * 7919 + (pairs & (1 << 31) - 1)) % parts
+        order, size = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
+        at = np.flatnonzero(size)
         return pa.RecordBatch.from_arrays(
-            [pa.array((keys >> 31).astype(np.int32)), pa.array((keys & (1 << 31) - 1).astype(np.int32)), pa.array(n)], names=["a", "b", "n"]
+            [pa.array(at, pa.int32()), _ragged(size[at], pa.array(pairs[order])), _ragged(size[at], pa.array(n[order]))], names=["part", "pairs", "n"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
+        found, held, codes = [], 0, _codes(number, other)
         for batch in batches:
-            for tokens, _ in runs_of(batch.column(0).to_pylist()):
-                seq = _coded(tokens, number, other)
+            for words, seq, _ in runs_of(batch.column(0)):
+                seq = codes(words)[seq]
                 found.append((seq[:-1] << 31) + seq[1:])
                 held += len(seq)
                 if held > 10 * FLUSH:
@@ -123,39 +141,63 @@ def _count_pairs(number: dict[str, int], other: int):
 BESIDE = "word int, before array<int>, before_n array<long>, after array<int>, after_n array<long>"
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, follows, other, n) in order of the word become one row a word: what stands before it and after it."""
+def _sides(other: int):
+    """Rows of ``PAIRS`` in order of the part: a part is summed, then its pairs go to both their words, in rows ``BESIDE``
+    that hold what ``4 * FLUSH`` pairs say of a word."""
 
-    def rows(word, follows, other, n):
+    def rows(found):
+        pairs, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = pairs >> 31, pairs & (1 << 31) - 1
+        has = b < other
+        word, follows = np.concatenate([b[has], a]), np.repeat([False, True], [has.sum(), len(a)])
+        order = np.argsort(word, kind="stable")
+        word, follows = word[order], follows[order]
+        near, n = np.concatenate([a[has], b])[order].astype(np.int32), np.concatenate([n[has], n])[order]
         at = np.append(True, word[1:] != word[:-1])
         owner, size = np.cumsum(at) - 1, int(at.sum())
-        out = [pa.array(word[at])]
+        out = [pa.array(word[at], pa.int32())]
         for use in (~follows, follows):
             lengths = np.bincount(owner[use], minlength=size)
-            out += [_ragged(lengths, pa.array(other[use])), _ragged(lengths, pa.array(n[use]))]
+            out += [_ragged(lengths, pa.array(near[use])), _ragged(lengths, pa.array(n[use]))]
         return pa.RecordBatch.from_arrays(out, names=["word", "before", "before_n", "after", "after_n"])
 
-    kept = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if kept is not None:
-            cols = [np.concatenate(both) for both in zip(kept, cols, strict=True)]
-        if len(cols[0]):
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut:
-                yield rows(*(c[:cut] for c in cols))
-            kept = [c[cut:] for c in cols]
-    if kept is not None:
-        yield rows(*kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in _whole_keys(batches, "part"):
+            part, lists, n = batch.columns
+            begins = np.flatnonzero(np.append(True, np.diff(part.to_numpy()) != 0)).tolist()
+            for first, last in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                one = slice(first, last)
+                found.append(_summed([(lists[one].flatten().to_numpy(), n[one].flatten().to_numpy())]))
+                held += len(found[-1][0])
+                if held > 4 * FLUSH:
+                    yield rows(found)
+                    found, held = [], 0
+        if found:
+            yield rows(found)
+
+    return run
 
 
-def neighbourhoods(body: DataFrame, number: dict[str, int], other: int) -> DataFrame:
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``BESIDE`` in order of the word become one row a word."""
+    for batch in _whole_keys(batches, "word"):
+        word = batch.column(0).to_numpy()
+        at = np.append(True, word[1:] != word[:-1])
+        owner, size = np.cumsum(at) - 1, int(at.sum())
+        out = [pa.array(word[at])]
+        for lists in batch.columns[1:]:
+            out.append(_ragged(np.bincount(owner[_owner(lists)], minlength=size), lists.flatten()))
+        yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+
+def neighbourhoods(body: DataFrame, number: dict[str, int], other: int, parts: int = 8) -> DataFrame:
     """``BESIDE`` of every numbered token. A pair is summed before it goes to its two words, so a frequent word is no hot
-    key: its row has at most one entry for each token of the table and side. What stands before ``other`` and END is left out."""
-    pairs = body.mapInArrow(_count_pairs(number, other), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    sides = pairs.selectExpr("stack(2, a, true, b, n, b, false, a, n) AS (word, follows, other, n)")
-    sides = sides.where(F.col("follows") | (F.col("word") < other))
-    return materialize(sides.repartition("word").sortWithinPartitions("word").mapInArrow(_lists, BESIDE), "lm-beside")
+    key: its row has at most one entry for each token of the table and side. What stands before ``other`` and END is left out.
+    Pairs are summed in ``parts`` parts, each held by a task at a time."""
+    pairs = body.mapInArrow(_count_pairs(number, other, parts), PAIRS).repartition("part").sortWithinPartitions("part")
+    sides = pairs.mapInArrow(_sides(other), BESIDE).repartition("word").sortWithinPartitions("word")
+    return materialize(sides.mapInArrow(_lists, BESIDE), "lm-beside")
 
 
 def _owner(lists: pa.ListArray) -> np.ndarray:
@@ -316,6 +358,23 @@ class Classes:
         return self.of_ending.get(ending(word), self.rest) if got is None else got
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches in order of the key, cut anew so that all rows of a key lie in one; rows without a key may part."""
+    kept = None
+    for batch in batches:
+        if kept is not None:
+            batch = pa.concat_batches([kept, batch])
+        col = batch.column(batch.schema.get_field_index(key))
+        cut = batch.num_rows
+        if cut and col[-1].is_valid:
+            cut -= pc.sum(pc.equal(col, col[-1])).as_py()
+        if cut:
+            yield batch.slice(0, cut)
+        kept = batch.slice(cut)
+    if kept is not None and kept.num_rows:
+        yield kept
+
+
 def _ragged(lengths: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), values)
 
@@ -342,23 +401,21 @@ def _steps(of_word: dict[str, int], k: int):
             per(~known, words.take(pa.array(slots[~known] - 2 * k))), per(~known, pa.array(counts[~known])),
         ], names=["part", "word", "n", "slots", "slot_n", "after", "after_n"])
 
-    def joined(found):
-        keys, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([f[1] for f in found]), len(keys)).astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(k * k, np.int64)
         number: dict[str, int] = {}
+        codes = _codes(of_word, -1)
         times, found, held = np.zeros(0, np.int64), [], 0
         for batch in batches:
-            for tokens, _ in runs_of(batch.column(0).to_pylist()):
-                seq = _coded(tokens, of_word, -1)
-                opened = np.flatnonzero(seq < 0)
-                ids = np.fromiter((number.setdefault(tokens[at], len(number)) for at in opened.tolist()), np.int64, len(opened))
+            for words, seq, _ in runs_of(batch.column(0)):
+                code = codes(words)
+                new = np.flatnonzero(code < 0)
+                code[new] = [-1 - number.setdefault(w, len(number)) for w in words.take(pa.array(new)).to_pylist()]
+                seq = code[seq]
+                ids = -1 - seq[seq < 0]
                 more = np.bincount(ids, minlength=len(number))
                 more[: len(times)] += times
                 times = more
-                seq[opened] = -1 - ids
                 a, b = seq[:-1], seq[1:]
                 both = (a >= 0) & (b >= 0)
                 table += np.bincount(a[both] * k + b[both], minlength=k * k)
@@ -369,13 +426,13 @@ def _steps(of_word: dict[str, int], k: int):
                 found.append(np.unique(keys, return_counts=True))
                 held += len(found[-1][0])
                 if held > 4 * FLUSH or len(number) > FLUSH:
-                    found = [joined(found)]
+                    found = [_summed(found)]
                     held = len(found[0][0])
                     if held > 2 * FLUSH or len(number) > FLUSH:
                         yield rows(number, *found[0], times, -1)
                         number, times, found, held = {}, np.zeros(0, np.int64), [], 0
         if number:
-            yield rows(number, *joined(found), times, -1)
+            yield rows(number, *_summed(found), times, -1)
         at = np.flatnonzero(table)
         none = np.zeros(1, np.int64)
         yield pa.RecordBatch.from_arrays([
@@ -394,18 +451,21 @@ PLACED, FOLLOWS = -1, -2
 def _settle(classes: Classes, speaks: np.ndarray, k: int):
     """Classes of words from what stands beside them (step ``PLACED``), and transitions that follow from them.
 
+    Rows come in order of the word, so what tasks have counted of a word is added up here.
     Rows with a step of 0 or more are transitions g * k + h, added up within the task. A row with ``FOLLOWS`` says
     how often the word follows words of class g outside the table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
-        for batch in batches:
+        for batch in _whole_keys(batches, "word"):
             col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
-            owner = lambda lists: np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            word, n, slot_lists, after_lists = col("word"), col("n").to_numpy(), col("slots"), col("after")
+            slot_lists, after_lists = col("slots"), col("after")
             slots, slot_n = slot_lists.flatten().to_numpy(), col("slot_n").flatten().to_numpy()
-            row, is_table = owner(slot_lists), np.asarray(word.is_null())
+            coded = col("word").dictionary_encode("encode")
+            word, of = coded.dictionary, coded.indices.to_numpy()
+            n, is_table = np.bincount(of, col("n").to_numpy(), len(word)).astype(np.int64), np.asarray(word.is_null())
+            row = of[_owner(slot_lists)]
             of_table = is_table[row]
             total += np.bincount(slots[of_table], slot_n[of_table], k * k).astype(np.int64)
             row, slots, slot_n = row[~of_table], slots[~of_table], slot_n[~of_table]
@@ -420,7 +480,7 @@ def _settle(classes: Classes, speaks: np.ndarray, k: int):
             after = after_lists.flatten()
             yield pa.RecordBatch.from_arrays([
                 pa.concat_arrays([word.take(pa.array(use)), after]), pa.concat_arrays([pa.array(n[use]), col("after_n").flatten()]),
-                pa.array(np.append(g[use], g[owner(after_lists)]), pa.int32()),
+                pa.array(np.append(g[use], g[of[_owner(after_lists)]]), pa.int32()),
                 pa.array(np.repeat([PLACED, FOLLOWS], [len(use), len(after)]), pa.int32()),
             ], names=["word", "n", "g", "step"])
         at = np.flatnonzero(total)
@@ -454,59 +514,63 @@ def _bend(transition: np.ndarray, room: np.ndarray, k: int, keep: list[str]):
     return run
 
 
+SCORED = (
+    "n_tokens long, n_known long, path double, sure double, words array<string>, times array<long>, "
+    "guess array<int>, left array<int>, right array<int>"
+)
+
+
 def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, room: np.ndarray):
     """Per text: what needs no join, the words whose counts and classes are not shipped, with how often they stand in it,
     and the steps at them: classes before and after, or -1 - the word's place in the list."""
 
-    def make():
-        number = {w: k for k, w in enumerate(counts)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = len(counts)
+        codes = _codes({w: v for v, w in enumerate(counts)}, other)
         end_log, end_known = float(np.log10(counts.get(END, 0) + ADD)), int(END in counts)
-        logs = np.log10(np.fromiter(counts.values(), float, len(counts)) + ADD)
-        class_of = np.fromiter(map(classes.of, counts), np.int64, len(counts))
+        logs = np.log10(np.fromiter(counts.values(), float, other) + ADD)
+        class_of = np.fromiter(map(classes.of, counts), np.int64, other)
         # the last entries stand for words without a number
         logs, class_of = np.append(logs, 0.0), np.append(class_of, classes.rest)
-
-        def work(texts):
-            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "path", "sure", "words", "times", "guess", "left", "right")}
-            for tokens, ends in runs_of(texts):
-                code = _coded(tokens, number, -1)
-                seq, count_logs = class_of[code], logs[code]
-                ends_of = np.array(ends)
-                starts = np.append(0, ends_of[:-1])
+        for batch in batches:
+            at_row = 0
+            for words, seq, ends in runs_of(batch.column(1)):
+                docs, size = batch.column(0).slice(at_row, len(ends)), len(ends)
+                at_row += size
+                code = codes(words)
+                starts = np.append(0, ends[:-1])
                 # the end token is counted apart, since it may have no number
-                closing = np.zeros(len(tokens), bool)
-                closing[ends_of] = closing[0] = True
+                closing = np.zeros(len(seq), bool)
+                closing[ends] = closing[0] = True
+                known = code[seq]
+                count_logs = logs[known]
                 count_logs[closing] = 0.0
-                is_open = (code < 0) & ~closing
-                opened = np.flatnonzero(is_open)
-                seq[closing] = classes.of(END)
+                is_open = (known == other) & ~closing
+                around = class_of[known]
+                around[closing] = classes.of(END)
                 bent = is_open[:-1] | is_open[1:]
-                steps = np.where(bent, 0.0, transition[seq[:-1], seq[1:]] - room[seq[1:]])
-                n_open = np.searchsorted(opened, ends_of) - np.searchsorted(opened, starts)
-                n_words = ends_of - starts - 1
-                out["n_tokens"] += (n_words + 1).tolist()
-                out["n_known"] += (n_words - n_open + end_known).tolist()
-                out["path"] += np.add.reduceat(steps, starts).tolist()
-                out["sure"] += (np.add.reduceat(count_logs, starts) + end_log).tolist()
-                cuts = np.cumsum(n_open)
-                for first, last in zip((cuts - n_open).tolist(), cuts.tolist(), strict=True):
-                    open_words = Counter(tokens[at] for at in opened[first:last].tolist()) if last > first else {}
-                    out["words"].append(list(open_words))
-                    out["times"].append(list(open_words.values()))
-                    out["guess"].append([classes.of(w) for w in open_words])
-                    if last > first:
-                        place = {w: -1 - i for i, w in enumerate(open_words)}
-                        at = opened[first:last]
-                        seq[at] = [place[tokens[x]] for x in at.tolist()]
+                steps = np.where(bent, 0.0, transition[around[:-1], around[1:]] - room[around[1:]])
+                # distinct open words of each text, and where each open token's word stands among them
+                opened = np.flatnonzero(is_open)
+                keys, place, times = np.unique(
+                    (np.searchsorted(ends, opened) << 32) + seq[opened], return_inverse=True, return_counts=True
+                )
+                text, word = keys >> 32, keys & (1 << 32) - 1
+                n_words, n_distinct = ends - starts - 1, np.bincount(text, minlength=size)
+                around[opened] = -1 - (place - (np.cumsum(n_distinct) - n_distinct)[text[place]])
+                at_open = np.unique(word)
+                guess = np.zeros(len(words), np.int32)
+                guess[at_open] = [classes.of(w) for w in words.take(pa.array(at_open)).to_pylist()]
                 at_bent = np.flatnonzero(bent)
-                parts = np.searchsorted(at_bent, starts[1:])
-                out["left"] += np.split(seq[at_bent], parts)
-                out["right"] += np.split(seq[at_bent + 1], parts)
-            return out
-
-        return work
+                n_bent = np.diff(np.searchsorted(at_bent, np.append(starts, len(bent))))
+                yield pa.RecordBatch.from_arrays([
+                    docs, pa.array(n_words + 1), pa.array(n_words - np.bincount(text[place], minlength=size) + end_known),
+                    pa.array(np.add.reduceat(steps, starts)), pa.array(np.add.reduceat(count_logs, starts) + end_log),
+                    _ragged(n_distinct, words.take(pa.array(word))), _ragged(n_distinct, pa.array(times)), _ragged(n_distinct, pa.array(guess[word])),
+                    *(_ragged(n_bent, pa.array(around[at_bent + after], pa.int32())) for after in (0, 1)),
+                ], names=["doc", *(c.split()[0] for c in SCORED.split(", "))])
 
-    return make
+    return run
 
 
 class Model:
@@ -519,12 +583,9 @@ class Model:
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc, n_tokens, n_known, base_score, score): one row per row of ``docs``; null texts are one end token."""
         body = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-        added = (
-            "n_tokens long, n_known long, path double, sure double, words array<string>, times array<long>,"
-            "guess array<int>, left array<int>, right array<int>"
-        )
         k = len(self.room)
-        parts = map_texts(body, "text", _score(self.classes, self.counts, self.transition, self.room), added, ["doc"])
+        schema = T.StructType([body.schema["doc"], *T.StructType.fromDDL(SCORED)])
+        parts = body.mapInArrow(_score(self.classes, self.counts, self.transition, self.room), schema)
         parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "lm-parts")
         open_words = parts.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("i", "w"))
         open_words = open_words.select("row", "i", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
@@ -564,7 +625,7 @@ def fit(
     table_words = [w for w, n in ranked if w != END and n >= exchanged_times][:placed_words]
     other, end = len(table_words), len(table_words) + 1
     number = {w: v for v, w in enumerate(table_words)} | {END: end}
-    beside = neighbourhoods(body, number, other)
+    beside = neighbourhoods(body, number, other, total // PART + 1)
 
     # the head, one move at a time: a square of bounded size, all other words in a class of their own
     head = min(clustered_words, other)
@@ -586,10 +647,7 @@ def fit(
 
     # all other words by their neighbours too, keyed by word; class transitions come along
     speaks = np.concatenate([affinity, affinity.T])[:, :n_classes]
-    lists = ("slots", "slot_n", "after", "after_n")
-    beside = body.mapInArrow(_steps(of_word, k), STEPS).groupBy("word", "part").agg(
-        F.sum("n").alias("n"), *(F.flatten(F.collect_list(c)).alias(c) for c in lists)
-    )
+    beside = body.mapInArrow(_steps(of_word, k), STEPS).repartition("word", "part").sortWithinPartitions("word")
     settled = materialize(beside.mapInArrow(_settle(classes, speaks, k), SETTLED), "lm-settled")
     open_words = settled.where(F.col("step") == PLACED).select("word", "n", "g")
     follows = settled.where(F.col("step") == FOLLOWS).groupBy("word", F.col("g").alias("a")).agg(F.sum("n").alias("n"))
