@@ -189,6 +189,43 @@ def test_neighbourhoods_and_sweeps_over_all_words(spark):
     assert (table == table_of(label)).all() and class_lm.likelihood(table) > class_lm.likelihood(table_of(start))
 
 
+def test_pairs_travel_packed(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(150)]
+    texts = [None, "", "w0 w0 other"] + [" ".join(rng.choices([*words, "other"], k=rng.choice([3, 40]))) for _ in range(200)]
+    number = {w: i for i, w in enumerate(words)} | {"": 151}
+    want = Counter()
+    for t in texts:
+        walk = [number.get(w, 150) for w in ["", *(t or "").split(), ""]]
+        want.update(zip(walk, walk[1:]))
+    keys = np.array([3, 1, 7], np.int32)
+    rows, = class_lm._count_pairs(number, 150, keys)(iter([pa.record_batch([pa.array(texts, pa.string())], names=["text"])]))
+    assert rows.num_rows == 3 < len(want)  # a row for each key, not for each pair
+    pairs, n = class_lm._unpacked(rows.column(1), np.int64), class_lm._unpacked(rows.column(2), np.int32)
+    assert Counter({(p >> 31, p & (1 << 31) - 1): c for p, c in zip(pairs.tolist(), n.tolist(), strict=True)}) == want
+
+    # however many lots the words are dealt in, each word has one row, and its whole neighbourhood
+    body = docs_of(spark, enumerate(texts)).select("text").repartition(3)
+    for tokens in (0, 3 * class_lm.LOT, 10**12):
+        got = class_lm.neighbourhoods(body, number, 150, tokens).collect()
+        assert len(got) == len({r["word"] for r in got})
+        after = {(r["word"], b): n for r in got for b, n in zip(r["after"], r["after_n"], strict=True)}
+        before = {(a, r["word"]): n for r in got for a, n in zip(r["before"], r["before_n"], strict=True)}
+        assert after == want and before == {p: n for p, n in want.items() if p[1] < 150}
+
+
+def test_endings_of_many_words_and_shipped_words_outside_the_table(spark):
+    classes = class_lm.Classes({}, {"ing": 1, "ab": 2, "öß!": 3}, 5)
+    words = ["sing", "ing", "ab", "cab", "xöß!", "", "𝒳ing"]
+    assert classes.by_ending(pa.array(words)).tolist() == [classes.of(w) for w in words]
+    assert classes.by_ending(pa.array([], pa.string())).tolist() == []
+    # shipped words are marked as they are settled; counts of all others meet the texts in a join
+    docs = docs_of(spark, [(i, "a b c a b d e " + "f g " * (i % 2)) for i in range(20)])
+    model = class_lm.fit(docs, known_words=5, placed_words=2, clustered_words=2, n_classes=2)
+    shipped = {r["word"]: r["shipped"] for r in model.words.collect()}
+    assert {w for w, x in shipped.items() if x} == set(model.counts) and len(shipped) == 8 and None not in shipped.values()
+
+
 def test_probabilities_add_up(spark):
     """Over all known words and one unknown word for each class, the next token's probabilities add up to one."""
     docs = docs_of(spark, {1: "a b a c", 2: "b a d", 3: ""})

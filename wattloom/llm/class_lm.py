@@ -41,6 +41,8 @@ SWEEPS, BLOCK = 4, 64
 #: Words met less often than this make one move only; words met less often than that go by their ending.
 EXCHANGED_TIMES, PLACED_TIMES = 5, 2
 FLUSH = 400_000
+#: Words that travel together; tokens of the corpus for each lot of words, at least.
+GROUP, LOT = 64, 150_000
 #: Bytes of text that are worked on at once.
 RUN = 4 << 20
 ADD = 0.1
@@ -104,16 +106,26 @@ def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([f[1] for f in found]), len(keys)).astype(np.int64)
 
 
-def _count_pairs(number: dict[str, int], other: int):
-    """(a, b, n): neighbouring tokens by their numbers, combined within the task as far as ``10 * FLUSH`` tokens go.
+def _count_pairs(number: dict[str, int], other: int, keys: np.ndarray):
+    """(key, pair, n): neighbouring tokens by their numbers, a << 31 | b, combined within the task as far as ``10 * FLUSH``
+    tokens go. The pairs of a row are those that fall to its key.
 
     Words without a number count as ``other``, texts begin and end with END.
     """
 
     def rows(found):
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        whole = np.concatenate(found)
+        found.clear()
+        whole.sort()
+        at = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
+        pairs, n = whole[at], np.diff(np.append(at, len(whole))).astype(np.int32)
+        del whole, at
+        # a plain mix of both numbers, so that no key has all pairs of a frequent word
+        part = ((pairs >> 31) * 40_503 + (pairs & (1 << 31) - 1) * 2_654_435_761 >> 9) % len(keys)
+        order = np.argsort(part.astype(np.uint16) if len(keys) < 1 << 16 else part, kind="stable")
+        size = np.bincount(part, minlength=len(keys))
         return pa.RecordBatch.from_arrays(
-            [pa.array((keys >> 31).astype(np.int32)), pa.array((keys & (1 << 31) - 1).astype(np.int32)), pa.array(n)], names=["a", "b", "n"]
+            [pa.array(keys), _packed(size, pairs[order]), _packed(size, n[order])], names=["key", "pair", "n"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,42 +144,92 @@ def _count_pairs(number: dict[str, int], other: int):
     return run
 
 
+def _packed(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Numbers in a row become one binary value for each length; ``_unpacked`` joins them again."""
+    ends = np.cumsum(lengths).tolist()
+    return pa.array([values[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _sides(lot: np.ndarray, group: np.ndarray, first: np.ndarray, other: int):
+    """(lot, key, word, near, n): the pairs of a task, added up, go to both of their words; ``near`` is twice the other word's
+    number, plus 1 if it follows. Words travel in groups; ``first`` is a group's first word, its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, most = [], 0, 10 * FLUSH
+        for batch in batches:
+            pairs, n = _unpacked(batch.column(1), np.int64), _unpacked(batch.column(2), np.int32)
+            found.append((pairs, n))
+            held += len(pairs)
+            if held > most:
+                found = [_summed(found)]
+                held = len(found[0][0])
+                most = max(most, 2 * held)
+        if held:
+            pairs, n = _summed(found)
+            found.clear()
+            a, b = (pairs >> 31).astype(np.int32), (pairs & (1 << 31) - 1).astype(np.int32)
+            use = b < other
+            word, near, n = np.append(a, b[use]), np.append(2 * b + 1, 2 * a[use]), np.append(n, n[use])
+            del pairs, a, b, use
+            owner = group[word]
+            order = np.argsort(owner.astype(np.uint16) if len(first) < 1 << 16 else owner, kind="stable")
+            size = np.bincount(owner, minlength=len(first))
+            met = np.flatnonzero(size)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(lot[first[met]]), pa.array(first[met]), _packed(size[met], word[order]),
+                _packed(size[met], near[order]), _packed(size[met], n[order]),
+            ], names=["lot", "key", "word", "near", "n"])
+
+    return run
+
+
 BESIDE = "word int, before array<int>, before_n array<long>, after array<int>, after_n array<long>"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, follows, other, n) in order of the word become one row a word: what stands before it and after it."""
-
-    def rows(word, follows, other, n):
+    """Rows of ``_sides`` in order of the key become one row a word, in order: what stands before it and after it."""
+    for batch in _whole_keys(batches, "key"):
+        word, near, n = (_unpacked(batch.column(c), kind) for c, kind in ((2, np.int32), (3, np.int32), (4, np.int64)))
+        order = np.argsort((word.astype(np.int64) << 32) + near)
+        word, near, n = word[order], near[order], n[order]
         at = np.append(True, word[1:] != word[:-1])
-        owner, size = np.cumsum(at) - 1, int(at.sum())
+        owner, size, follows = np.cumsum(at) - 1, int(at.sum()), near % 2 == 1
         out = [pa.array(word[at])]
         for use in (~follows, follows):
             lengths = np.bincount(owner[use], minlength=size)
-            out += [_ragged(lengths, pa.array(other[use])), _ragged(lengths, pa.array(n[use]))]
-        return pa.RecordBatch.from_arrays(out, names=["word", "before", "before_n", "after", "after_n"])
-
-    kept = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if kept is not None:
-            cols = [np.concatenate(both) for both in zip(kept, cols, strict=True)]
-        if len(cols[0]):
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut:
-                yield rows(*(c[:cut] for c in cols))
-            kept = [c[cut:] for c in cols]
-    if kept is not None:
-        yield rows(*kept)
+            out += [_ragged(lengths, pa.array(near[use] >> 1)), _ragged(lengths, pa.array(n[use]))]
+        yield pa.RecordBatch.from_arrays(out, names=["word", "before", "before_n", "after", "after_n"])
 
 
-def neighbourhoods(body: DataFrame, number: dict[str, int], other: int) -> DataFrame:
+def neighbourhoods(body: DataFrame, number: dict[str, int], other: int, tokens: int = 0) -> DataFrame:
     """``BESIDE`` of every numbered token. A pair is summed before it goes to its two words, so a frequent word is no hot
-    key: its row has at most one entry for each token of the table and side. What stands before ``other`` and END is left out."""
-    pairs = body.mapInArrow(_count_pairs(number, other), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    sides = pairs.selectExpr("stack(2, a, true, b, n, b, false, a, n) AS (word, follows, other, n)")
-    sides = sides.where(F.col("follows") | (F.col("word") < other))
-    return materialize(sides.repartition("word").sortWithinPartitions("word").mapInArrow(_lists, BESIDE), "lm-beside")
+    key: its row has at most one entry for each token of the table and side. What stands before ``other`` and END is left out.
+
+    Pairs travel packed: those of a task that go the same way share a row. Words are dealt to tasks by Spark's hash, in as
+    many lots as there are shuffle partitions, or fewer where a lot would have less than ``LOT`` of the corpus' ``tokens``.
+    """
+    spark, size = body.sparkSession, other + 2
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = max(1, min(most, tokens // LOT))
+    dealt = spark.range(max(size, 64 * most)).select("id", F.hash(F.col("id").cast("int")).alias("hash")).toPandas()
+    dealt = dealt.sort_values("id")["hash"].to_numpy(np.int64)
+    # numbers that Spark deals to different partitions
+    keys, ways = (np.unique(dealt % n, return_index=True)[1].astype(np.int32) for n in (most, lots))
+    lot = dealt[:size] % most * lots // most
+    order = np.lexsort((np.arange(size), lot))
+    place = np.arange(size) - np.searchsorted(lot[order], lot[order])
+    begins = np.append(True, (np.diff(lot[order]) != 0) | (place[1:] % GROUP == 0))
+    group = np.zeros(size, np.int64)
+    group[order] = np.cumsum(begins) - 1
+    first = order[begins].astype(np.int32)
+    pairs = body.mapInArrow(_count_pairs(number, other, keys), "key int, pair binary, n binary").repartition("key")
+    sides = pairs.mapInArrow(_sides(ways[lot % len(ways)], group, first, other), "lot int, key int, word binary, near binary, n binary")
+    sides = sides.repartition(lots, "lot").sortWithinPartitions("key")
+    return materialize(sides.mapInArrow(_lists, BESIDE), "lm-beside")
 
 
 def _owner(lists: pa.ListArray) -> np.ndarray:
@@ -212,9 +274,18 @@ def gains(table: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarra
     bare[m, :, old] -= left
     bare[m, old, :] -= right
     bare[m, old, old] -= own
-    base = _xlogx(bare)
+    # logarithms only of cells that change: row and column of the old class, then where a class stands beside the word
+    base = np.repeat(_xlogx(table)[None], len(old), axis=0)
+    base[m, :, old], base[m, old, :] = _xlogx(bare[m, :, old]), _xlogx(bare[m, old, :])
     # column g gains left, row g gains right, the corner gains both and own
-    gain = (_xlogx(bare + left[:, :, None]) - base).sum(axis=1) + (_xlogx(bare + right[:, None, :]) - base).sum(axis=2)
+    more = np.zeros_like(base)
+    w, h = np.nonzero(left)
+    more[w, h, :] = _xlogx(bare[w, h, :] + left[w, h, None]) - base[w, h, :]
+    gain = more.sum(axis=1)
+    more[:] = 0
+    w, h = np.nonzero(right)
+    more[w, :, h] = _xlogx(bare[w, :, h] + right[w, h, None]) - base[w, :, h]
+    gain = gain + more.sum(axis=2)
     corner, own = np.diagonal(bare, axis1=1, axis2=2), own[:, None]
     gain += _xlogx(corner + left + right + own) - _xlogx(corner + left) - _xlogx(corner + right) + _xlogx(corner)
     # totals of all other words' tokens, those beside the word included
@@ -327,6 +398,12 @@ class Classes:
         got = self.of_word.get(word)
         return self.of_ending.get(ending(word), self.rest) if got is None else got
 
+    def by_ending(self, words: pa.Array) -> np.ndarray:
+        """The same for many words, none of which has a table entry."""
+        ends = pc.utf8_slice_codeunits(words, -3).dictionary_encode()
+        g = np.array([self.of_ending.get(e, self.rest) for e in ends.dictionary.to_pylist()], np.int64)
+        return g[ends.indices.to_numpy()]
+
 
 def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """Batches in order of the key, cut anew so that all rows of a key lie in one; rows without a key may part."""
@@ -414,20 +491,22 @@ def _steps(of_word: dict[str, int], k: int):
     return run
 
 
-SETTLED = "word string, n long, g int, step int"
+SETTLED = "word string, n long, g int, step int, shipped boolean"
 PLACED, FOLLOWS = -1, -2
 
 
-def _settle(classes: Classes, speaks: np.ndarray, k: int):
+def _settle(classes: Classes, speaks: np.ndarray, k: int, shipped: list[str]):
     """Classes of words from what stands beside them (step ``PLACED``), and transitions that follow from them.
 
     Rows come in order of the word, so what tasks have counted of a word is added up here.
     Rows with a step of 0 or more are transitions g * k + h, added up within the task. A row with ``FOLLOWS`` says
-    how often the word follows words of class g outside the table.
+    how often the word follows words of class g outside the table. ``shipped`` marks words whose counts are shipped though
+    they are outside the table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
+        known = pa.array(shipped, pa.string())
         for batch in _whole_keys(batches, "word"):
             col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
             slot_lists, after_lists = col("slots"), col("after")
@@ -441,47 +520,62 @@ def _settle(classes: Classes, speaks: np.ndarray, k: int):
             row, slots, slot_n = row[~of_table], slots[~of_table], slot_n[~of_table]
             beside = np.bincount(row * (2 * k) + slots, slot_n, len(n) * 2 * k).reshape(len(n), 2 * k)
             g = (beside @ speaks).argmax(axis=1)
-            for at in np.flatnonzero(~is_table & ((n < PLACED_TIMES) | ~beside.any(axis=1))).tolist():
-                g[at] = classes.of(word[at].as_py())
+            at = np.flatnonzero(~is_table & ((n < PLACED_TIMES) | ~beside.any(axis=1)))
+            g[at] = classes.by_ending(word.take(pa.array(at)))
             before = slots < k
             steps = np.where(before, slots * k + g[row], g[row] * k + slots - k)
             total += np.bincount(steps, slot_n, k * k).astype(np.int64)
             use = np.flatnonzero(~is_table)
             after = after_lists.flatten()
+            settled = pa.concat_arrays([word.take(pa.array(use)), after])
             yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([word.take(pa.array(use)), after]), pa.concat_arrays([pa.array(n[use]), col("after_n").flatten()]),
+                settled, pa.concat_arrays([pa.array(n[use]), col("after_n").flatten()]),
                 pa.array(np.append(g[use], g[of[_owner(after_lists)]]), pa.int32()),
-                pa.array(np.repeat([PLACED, FOLLOWS], [len(use), len(after)]), pa.int32()),
-            ], names=["word", "n", "g", "step"])
+                pa.array(np.repeat([PLACED, FOLLOWS], [len(use), len(after)]), pa.int32()), pc.is_in(settled, value_set=known),
+            ], names=["word", "n", "g", "step", "shipped"])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([
-            pa.nulls(len(at), pa.string()), pa.array(total[at]), pa.nulls(len(at), pa.int32()), pa.array(at, pa.int32()),
-        ], names=["word", "n", "g", "step"])
+            pa.nulls(len(at), pa.string()), pa.array(total[at]), pa.nulls(len(at), pa.int32()), pa.array(at, pa.int32()), pa.nulls(len(at), pa.bool_()),
+        ], names=["word", "n", "g", "step", "shipped"])
 
     return run
 
 
-def _bend(transition: np.ndarray, room: np.ndarray, k: int, keep: list[str]):
-    """Adds ``bent``: steps at words whose classes came by the join, or by their ending (``guess``) where none came."""
+BODY = ["n_tokens", "n_known", "path", "sure", "guess", "left", "right"]
+
+
+def _bend(transition: np.ndarray, room: np.ndarray, k: int, doc: T.StructField):
+    """Texts in order of their row, each beside its words that the join found: (doc, n_tokens, n_known, counts, path).
+
+    Steps at such words take the classes that came by the join, or by their ending (``guess``) where none came.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
-            size = lambda lists: np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            flat = lambda name: col(name).flatten().to_numpy().astype(np.int64)  # noqa: E731, B023
-            g = flat("guess")
-            begins = np.cumsum(size(col("guess"))) - size(col("guess"))
-            met = flat("met")
-            g[np.repeat(begins, size(col("met"))) + met // k] = met % k
-            row = np.repeat(np.arange(batch.num_rows), size(col("left")))
+        for batch in _whole_keys(batches, "row"):
+            is_text = batch.column(batch.schema.get_field_index("body")).is_valid()
+            texts, found = batch.filter(is_text), batch.filter(pc.invert(is_text))
+            body = dict(zip(["doc", *BODY], texts.column(texts.schema.get_field_index("body")).flatten(), strict=True))
+            plain = lambda part, name: part.column(part.schema.get_field_index(name)).to_numpy()
+            flat = lambda name: body[name].flatten().to_numpy().astype(np.int64)  # noqa: E731, B023
+            size = texts.num_rows
+            owner = np.searchsorted(plain(texts, "row"), plain(found, "row"))
+            g, sizes = flat("guess"), body["guess"].value_lengths().to_numpy().astype(np.int64)
+            begins = np.cumsum(sizes) - sizes
+            met = plain(found, "met")
+            g[begins[owner] + met // k] = met % k
+            row = np.repeat(np.arange(size), body["left"].value_lengths().to_numpy())
             a, b = flat("left"), flat("right")
             for x in (a, b):
                 at = np.flatnonzero(x < 0)
                 x[at] = g[begins[row[at]] - 1 - x[at]]
-            bent = np.bincount(row, transition[a, b] - room[b], batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(col(c) for c in keep), pa.array(bent, pa.float64())], names=[*keep, "bent"])
+            path = body["path"].to_numpy() + np.bincount(row, transition[a, b] - room[b], size)
+            counts = body["sure"].to_numpy() + np.bincount(owner, plain(found, "more"), size)
+            known = body["n_known"].to_numpy() + np.bincount(owner, plain(found, "times"), size).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [body["doc"], body["n_tokens"], *map(pa.array, (known, counts, path))], names=["doc", "n_tokens", "n_known", "counts", "path"]
+            )
 
-    return run
+    return run, T.StructType([doc, *T.StructType.fromDDL("n_tokens long, n_known long, counts double, path double")])
 
 
 SCORED = (
@@ -491,8 +585,8 @@ SCORED = (
 
 
 def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, room: np.ndarray):
-    """Per text: what needs no join, the words whose counts and classes are not shipped, with how often they stand in it,
-    and the steps at them: classes before and after, or -1 - the word's place in the list."""
+    """Per text: what needs no join (``sure`` takes words without a shipped count for unseen), the words whose counts and
+    classes are not shipped, with how often they stand in it, and the steps at them: classes before and after, or -1 - the word's place in the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = len(counts)
@@ -501,7 +595,7 @@ def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, roo
         logs = np.log10(np.fromiter(counts.values(), float, other) + ADD)
         class_of = np.fromiter(map(classes.of, counts), np.int64, other)
         # the last entries stand for words without a number
-        logs, class_of = np.append(logs, 0.0), np.append(class_of, classes.rest)
+        logs, class_of = np.append(logs, np.log10(ADD)), np.append(class_of, classes.rest)
         for batch in batches:
             at_row = 0
             for words, seq, ends in runs_of(batch.column(1)):
@@ -530,7 +624,7 @@ def _score(classes: Classes, counts: dict[str, int], transition: np.ndarray, roo
                 around[opened] = -1 - (place - (np.cumsum(n_distinct) - n_distinct)[text[place]])
                 at_open = np.unique(word)
                 guess = np.zeros(len(words), np.int32)
-                guess[at_open] = [classes.of(w) for w in words.take(pa.array(at_open)).to_pylist()]
+                guess[at_open] = classes.by_ending(words.take(pa.array(at_open)))
                 at_bent = np.flatnonzero(bent)
                 n_bent = np.diff(np.searchsorted(at_bent, np.append(starts, len(bent))))
                 yield pa.RecordBatch.from_arrays([
@@ -560,21 +654,15 @@ class Model:
         open_words = parts.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("i", "w"))
         open_words = open_words.select("row", "i", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
         rare = self.words.where(~F.col("shipped")).select("word", "n", "g")
-        met = open_words.join(rare, "word", "left").groupBy("row").agg(
-            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("more"),
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-            F.collect_list(F.col("i").cast("long") * k + F.col("g")).alias("met"),
-        )
-        both = parts.drop("words", "times").join(met, "row", "left")
-        keep = ["doc", "n_tokens", "n_known", "path", "sure", "more", "more_known"]
-        both = both.mapInArrow(
-            _bend(self.transition, self.room, k, keep), T.StructType([*(both.schema[c] for c in keep), T.StructField("bent", T.DoubleType())])
-        )
-        counts = F.col("sure") + F.coalesce("more", F.lit(0.0))
+        seen = F.col("times") * (F.log10(F.col("n") + F.lit(ADD)) - F.lit(float(np.log10(ADD))))
+        found = open_words.join(rare, "word").select("row", (F.col("i").cast("long") * k + F.col("g")).alias("met"), "times", seen.alias("more"))
+        # texts and what was found for them meet in order of the row
+        both = parts.select("row", F.struct("doc", *BODY).alias("body")).unionByName(found, allowMissingColumns=True)
+        both = both.repartition("row").sortWithinPartitions("row").mapInArrow(*_bend(self.transition, self.room, k, body.schema["doc"]))
         log_all = float(np.log10(self.total + ADD * (self.distinct + 1)))
         return both.select(
-            "doc", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-            (counts - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), (counts + F.col("path") + F.col("bent")).alias("score"),
+            "doc", "n_tokens", "n_known", (F.col("counts") - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
+            (F.col("counts") + F.col("path")).alias("score"),
         )
 
 
@@ -595,7 +683,7 @@ def fit(
     table_words = [w for w, n in ranked if w != END and n >= exchanged_times][:placed_words]
     other, end = len(table_words), len(table_words) + 1
     number = {w: v for v, w in enumerate(table_words)} | {END: end}
-    beside = neighbourhoods(body, number, other)
+    beside = neighbourhoods(body, number, other, total)
 
     # the head, one move at a time: a square of bounded size, all other words in a class of their own
     head = min(clustered_words, other)
@@ -618,8 +706,9 @@ def fit(
     # all other words by their neighbours too, keyed by word; class transitions come along
     speaks = np.concatenate([affinity, affinity.T])[:, :n_classes]
     beside = body.mapInArrow(_steps(of_word, k), STEPS).repartition("word", "part").sortWithinPartitions("word")
-    settled = materialize(beside.mapInArrow(_settle(classes, speaks, k), SETTLED), "lm-settled")
-    open_words = settled.where(F.col("step") == PLACED).select("word", "n", "g")
+    shipped = [w for w in counts if w not in of_word]
+    settled = materialize(beside.mapInArrow(_settle(classes, speaks, k, shipped), SETTLED), "lm-settled")
+    open_words = settled.where(F.col("step") == PLACED).select("word", "n", "g", "shipped")
     follows = settled.where(F.col("step") == FOLLOWS).groupBy("word", F.col("g").alias("a")).agg(F.sum("n").alias("n"))
     follows = follows.join(open_words.select("word", "g"), "word").select((F.col("a") * k + F.col("g")).alias("step"), "n")
     steps = settled.where(F.col("step") >= 0).select("step", "n").unionByName(follows)
@@ -632,16 +721,14 @@ def fit(
     transition = np.log10((table + strength * prior) / (table.sum(axis=1, keepdims=True) + strength))
 
     # emission: (c(w) + ADD) / (C(g) + ADD (V(g) + 1)), so each class keeps room for one unknown word
-    shipped = spark.createDataFrame(pd.DataFrame({"word": list(counts), "shipped": True}), "word string, shipped boolean")
     in_table = {w: counts[w] for w in of_word if w in counts}
-    in_table = pd.DataFrame({"word": list(in_table), "n": list(in_table.values()), "g": [of_word[w] for w in in_table]})
-    words = spark.createDataFrame(in_table, "word string, n long, g int").unionByName(open_words)
-    words = words.join(shipped, "word", "left").withColumn("shipped", F.coalesce("shipped", F.lit(False)))
+    in_table = pd.DataFrame({"word": list(in_table), "n": list(in_table.values()), "g": [of_word[w] for w in in_table], "shipped": True})
+    words = spark.createDataFrame(in_table, "word string, n long, g int, shipped boolean").unionByName(open_words)
     per_class = words.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
     room = np.full(k, np.log10(ADD))
     for r in per_class.collect():
         room[r["g"]] = np.log10(r["n"] + ADD * (r["v"] + 1))
-    of_word = of_word | {r["word"]: r["g"] for r in open_words.join(shipped, "word", "left_semi").select("word", "g").collect()}
+    of_word = of_word | {r["word"]: r["g"] for r in open_words.where("shipped").select("word", "g").collect()}
     return Model(Classes(of_word, of_ending, n_classes), counts, words, transition, room, total, distinct)
 
 
