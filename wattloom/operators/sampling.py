@@ -80,10 +80,10 @@ def equalize(df: DataFrame, source: str, keys: Sequence[str], seed: int) -> Data
     smallest, largest = sizes[0] or 0, sizes[1] or 0
     digits = next(d for d in range(1, 16) if largest <= 10_000 * 16**d)
     order = seeded_order(*[F.col(c) for c in keys], seed=seed)
-    hashed = df.withColumn("__h", order)
-    slice_no = F.conv(F.substring("__h", 1, digits), 16, 10).cast("long")
-    ranked = with_index(hashed, [source], [F.col("__h"), *[F.col(c) for c in keys]], slice_no)
-    return ranked.where(F.col("t") < smallest).drop("t", "n", "__h")
+    hashed = df.withColumn("__order", order)
+    slice_no = F.conv(F.substring("__order", 1, digits), 16, 10).cast("long")
+    ranked = with_index(hashed, [source], [F.col("__order"), *[F.col(c) for c in keys]], slice_no)
+    return ranked.where(F.col("t") < smallest).drop("t", "n", "__order")
 
 
 def pos_weight(windows: DataFrame, labels: str, backcast: int, by: Sequence[str] = ()) -> DataFrame:
