@@ -87,6 +87,54 @@ def test_fusion_paths_agree(series, pdf, rule):
             assert got[key] == (v, c, int(v > 0 if rule == "any" else v / c > 0.5))
 
 
+def test_fusion_of_any_windows(spark):
+    """Windows of several lengths, in any order, twice, with gaps, over many cells and of null keys."""
+    p = P.with_(merge_rule="majority")
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for key in (("g", "b0"), ("g", None), (None, "b0"), ("h", "b0")):
+        starts = rng.choice(np.arange(0, 900), 40, replace=False).tolist()
+        for start in [*starts, starts[0]]:
+            x = [None if v < 0.02 else start + i for i, v in enumerate(rng.random(int(rng.integers(0, 150))).tolist())]
+            if start == starts[0]:
+                x = [1.5] * 150  # twice, so both are alike
+            labels = [int(v < 0.6) for v in rng.random(len(x))]
+            rows.append((*key, int(start // p.block), start, [None if v is None else float(v) for v in x], labels))
+            for i, (v, m) in enumerate(zip(rows[-1][4], labels)):
+                votes, cover, first = want.get((*key, start + i), (0, 0, (10**9, None)))
+                want[(*key, start + i)] = (votes + m, cover + 1, (start, v) if start < first[0] else first)
+    rng.shuffle(rows)
+    made = spark.createDataFrame(rows, "grp string, building string, blk long, start long, x array<double>, labels array<tinyint>")
+    out = L.fuse(made, p)
+    assert out.dtypes == [("grp", "string"), ("building", "string"), ("t", "bigint"), ("energy", "double"), ("votes", "bigint"), ("cover", "bigint"), ("anomaly", "int")]
+    got = out.collect()
+    assert len(got) == len(want)
+    assert {(r.grp, r.building, r.t): (r.votes, r.cover, r.energy, r.anomaly) for r in got} == {
+        k: (v, c, first[1], int(v / c > 0.5)) for k, (v, c, first) in want.items()
+    }
+
+
+def test_fusion_shuffles_windows_not_steps(series):
+    """lab_fuse_majority: no step is a row before all its votes are counted, and a window goes through Python once."""
+    fused = L.fuse(L.label_series(series, P), P.with_(merge_rule="majority")).select("grp", "building", "t", "anomaly")
+    plan = fused._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    above = plan[: plan.index("posexplode")]
+    assert "Exchange" not in above and "Aggregate" not in above
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ArrowEvalPython") == 2
+
+
+def test_labels_of_one_pass_are_those_of_two(series):
+    one = L.label_series(series, P)
+    two = L.label_windows(WN.decompose(WN.make_windows(series, P), P), P)
+    assert one.dtypes == two.dtypes
+    got, want = ({(r.building, r.start): r for r in df.collect()} for df in (one, two))
+    assert got.keys() == want.keys()
+    for key, r in got.items():
+        w = want[key]
+        assert (r.n, r.blk, r.labels, r.x) == (w.n, w.blk, w.labels, w.x)
+        assert np.allclose([*r.trend, *r.season, r.q_lo, r.q_hi], [*w.trend, *w.season, w.q_lo, w.q_hi], rtol=0, atol=1e-9)
+
+
 def test_majority_within_any(series):
     rows = L.label_fused(series, P).collect()
     assert all(r.votes > 0 for r in rows if r.votes / r.cover > 0.5)

@@ -44,26 +44,107 @@ def decomposer(window: int, level: int):
     return decompose
 
 
+def _marked(value: np.ndarray, smooth: Callable[[slice], np.ndarray], q_low: float, q_high: float, decimals: int):
+    """struct(labels, lo, hi) of windows; ``smooth`` gives the trend of a slice of them."""
+    marks, (lo, hi) = np.empty(value.shape, dtype=np.int8), np.empty((2, len(value)))
+    for k in range(0, len(value), AT_ONCE):
+        part = slice(k, k + AT_ONCE)
+        resid = np.round(value[part] - smooth(part), decimals)
+        lo[part], hi[part] = np.quantile(resid, [q_low, q_high], axis=1)
+        marks[part] = (resid < lo[part, None]) | (resid > hi[part, None])
+    return pa.StructArray.from_arrays(
+        [_as_lists(marks, pa.int8()), pa.array(lo), pa.array(hi)],
+        names=["labels", "lo", "hi"],
+    )
+
+
 def labeler(window: int, q_low: float, q_high: float, decimals: int = 9):
     """(x, trend) -> struct(labels, lo, hi): residual outside its own two quantiles."""
 
     @F.arrow_udf("struct<labels:array<tinyint>,lo:double,hi:double>")
     def label(x: pa.Array, trend: pa.Array) -> pa.Array:
-        value, smooth = _as_matrix(x, window), _as_matrix(trend, window)
-        marks, (lo, hi) = np.empty(value.shape, dtype=np.int8), np.empty((2, len(value)))
-        for k in range(0, len(value), AT_ONCE):
-            part = slice(k, k + AT_ONCE)
-            resid = np.round(value[part] - smooth[part], decimals)
-            lo[part], hi[part] = np.quantile(resid, [q_low, q_high], axis=1)
-            marks[part] = (resid < lo[part, None]) | (resid > hi[part, None])
-        return pa.StructArray.from_arrays(
-            [_as_lists(marks, pa.int8()), pa.array(lo), pa.array(hi)],
-            names=["labels", "lo", "hi"],
-        )
+        smooth = _as_matrix(trend, window)
+        return _marked(_as_matrix(x, window), lambda part: smooth[part], q_low, q_high, decimals)
+
+    return label
+
+
+def decomposing_labeler(window: int, level: int, q_low: float, q_high: float, decimals: int = 9):
+    """x -> struct(labels, lo, hi): decomposer and labeler in one pass, so no trend travels between two."""
+    smoother = smoothing_matrix(window, level).T.copy()
+
+    @F.arrow_udf("struct<labels:array<tinyint>,lo:double,hi:double>")
+    def label(x: pa.Array) -> pa.Array:
+        value = _as_matrix(x, window)
+        return _marked(value, lambda part: value[part] @ smoother, q_low, q_high, decimals)
 
     return label
 
 
+def ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``length[i]`` whole numbers from ``first[i]`` on, one range after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - length), length)
+
+
+def _in_cells(cell: pa.Array, windows: pa.Array, name: str, block: int):
+    """Windows of many cells on one axis, a cell after the other: (values, index of a window's first value, row, its first step, begin, end inside the cell)."""
+    flat = windows.flatten()
+    lists = flat.field(name)
+    length = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(windows)), np.diff(windows.offsets.to_numpy()))
+    own = row * block
+    step = own + flat.field("start").to_numpy() - cell.to_numpy()[row] * block
+    begin, end = np.clip(step, own, own + block), np.clip(step + length, own, own + block)
+    return lists.flatten(), np.cumsum(length) - length, row, step, begin, end
+
+
+def cell_votes(block: int):
+    """(cell, windows) -> struct(pos, votes, cover) of the steps of a cell that windows struct(start, labels) lie over.
+
+    A cell has ``block`` steps; of a window that reaches out of it the part inside counts.
+    """
+
+    @F.arrow_udf("struct<pos:array<int>,votes:array<int>,cover:array<int>>")
+    def count(cell: pa.Array, windows: pa.Array) -> pa.Array:
+        values, first, row, step, begin, end = _in_cells(cell, windows, "labels", block)
+        steps = len(cell) * block
+        edge = np.zeros(steps + 1, dtype=np.int32)  # cover as running sum of begins and ends
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, end, -1)
+        cover = np.cumsum(edge[:-1], dtype=np.int32)
+        marks = values.cast(pa.int32()).fill_null(0).to_numpy()
+        marked = np.flatnonzero(marks)
+        of = np.searchsorted(first, marked, side="right") - 1
+        place = step[of] + marked - first[of]
+        inside = (place >= begin[of]) & (place < end[of])
+        votes = np.zeros(steps, dtype=np.int32)
+        np.add.at(votes, place[inside], marks[marked[inside]])
+        covered = np.flatnonzero(cover)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(covered // block, minlength=len(cell)))]).astype(np.int32))
+        lists = [(covered % block).astype(np.int32), votes[covered], cover[covered]]
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(v)) for v in lists], names=["pos", "votes", "cover"])
+
+    return count
+
+
+def cell_values(block: int, element: str):
+    """(cell, windows) -> values of the covered steps of a cell, each from its window struct(start, x) that starts first."""
+
+    @F.arrow_udf(f"array<{element}>")
+    def pick(cell: pa.Array, windows: pa.Array) -> pa.Array:
+        values, first, row, step, begin, end = _in_cells(cell, windows, "x", block)
+        order = np.lexsort((step, row))
+        reached = np.maximum.accumulate(end[order])  # up to here earlier windows lie over the axis
+        begins = np.maximum(begin[order], np.concatenate([[0], reached[:-1]]) if len(order) else reached)
+        length = np.maximum(end[order] - begins, 0)
+        per_cell = np.bincount(row[order], length, len(cell)).astype(np.int64)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(per_cell)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, values.take(pa.array(ranges(first[order] + begins - step[order], length))))
+
+    return pick
+
+
 def remainder_score(trend: np.ndarray, season: np.ndarray, backcast: int, eps: float = 1e-8) -> np.ndarray:
     """Stand-in probability of each future step of each window: the size of its standardised remainder."""
     z = np.abs((season[:, backcast:] - season.mean(axis=1)[:, None]) / (season.std(axis=1)[:, None] + eps))

@@ -8,17 +8,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.functions.arrays import block_kernel, labeler
+from wattloom.functions.arrays import block_kernel, cell_values, cell_votes, decomposing_labeler, labeler
 from wattloom.operators.clean import KEYS
-from wattloom.operators.ordered import with_halo
+from wattloom.operators.ordered import gather_blocks
 from wattloom.operators.windows import decompose, make_windows
 from wattloom.params import DEFAULT, Params
 
 
-def label_windows(windows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Add ``labels`` and the residual quantiles ``q_lo`` / ``q_hi`` of the window itself."""
-    run = labeler(p.window, p.q_low, p.q_high)
-    return windows.withColumn("__l", run("x", "trend")).select(
+def _with_labels(windows: DataFrame, found: Column) -> DataFrame:
+    return windows.withColumn("__l", found).select(
         *windows.columns,
         F.col("__l.labels").alias("labels"),
         F.col("__l.lo").alias("q_lo"),
@@ -26,9 +24,19 @@ def label_windows(windows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
+def label_windows(windows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Add ``labels`` and the residual quantiles ``q_lo`` / ``q_hi`` of the window itself."""
+    return _with_labels(windows, labeler(p.window, p.q_low, p.q_high)("x", "trend"))
+
+
 def label_series(series: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Windows -> trend -> labels. Training and scoring both call this, so labels agree."""
-    return label_windows(decompose(make_windows(series, p, keys), p), p)
+    """Windows -> trend -> labels. Training and scoring both call this, so labels agree.
+
+    The same rows as ``label_windows(decompose(make_windows(series)))``; labels are found in the pass that
+    decomposes a window, so its trend does not travel to Python a second time.
+    """
+    run = decomposing_labeler(p.window, p.wavelet_level, p.q_low, p.q_high)
+    return _with_labels(decompose(make_windows(series, p, keys), p), run("x"))
 
 
 def band(labeled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -58,37 +66,37 @@ def rule(votes: Column, cover: Column, merge_rule: str) -> Column:
 def fuse(labeled: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per covered time step: energy, votes, cover and the fused ``anomaly``.
 
-    Overlapping windows are first reduced inside their block, where they already lie together;
-    only one row per (block, t) is shuffled, and at most two blocks meet at one t.
+    Windows go whole to each cell of ``p.block`` steps that they lie over, and all steps of a cell are counted at once
+    from their arrays; a step becomes a row only when it is done. The energy is that of the window that starts first.
     """
-    points = labeled.select(
-        *keys, "blk", "start", F.posexplode(F.arrays_zip("x", "labels")).alias("pos", "v")
-    ).select(
-        *keys, "blk", "start", (F.col("start") + F.col("pos")).alias("t"),
-        F.col("v.x").alias("x"), F.col("v.labels").cast("long").alias("label"),
+    def cell(t: Column) -> Column:
+        return F.floor(t / p.block).cast("long")
+
+    touched = F.sequence(cell(F.col("start")), cell(F.col("start") + F.size("labels") - 1))
+    gathered = labeled.select(*keys, "start", "x", "labels", F.explode(touched).alias("__cell")).groupBy(*keys, "__cell").agg(
+        F.collect_list(F.struct("start", "labels")).alias("__labels"), F.collect_list(F.struct("start", "x")).alias("__x"),
     )
-    in_block = points.groupBy(*keys, "blk", "t").agg(
-        F.sum("label").alias("votes"),
-        F.count(F.lit(1)).alias("cover"),
-        F.min_by("x", "start").alias("energy"),
-        F.min("start").alias("first"),
+    element = labeled.schema["x"].dataType.elementType.simpleString()
+    counted = gathered.select(
+        *keys, "__cell", cell_votes(p.block)("__cell", "__labels").alias("__v"), cell_values(p.block, element)("__cell", "__x").alias("__e"),
     )
-    whole = in_block.groupBy(*keys, "t").agg(
-        F.min_by("energy", "first").alias("energy"),
-        F.sum("votes").alias("votes"),
-        F.sum("cover").alias("cover"),
+    whole = counted.select("*", F.posexplode("__v.pos").alias("__i", "__pos")).select(
+        *keys, (F.col("__cell") * p.block + F.col("__pos")).alias("t"),
+        F.get("__e", "__i").alias("energy"),
+        F.get("__v.votes", "__i").cast("long").alias("votes"),
+        F.get("__v.cover", "__i").cast("long").alias("cover"),
     )
     return whole.withColumn("anomaly", rule(F.col("votes"), F.col("cover"), p.merge_rule))
 
 
 def _kernel_points(series: DataFrame, p: Params, keys: Sequence[str], reach: int, **options) -> DataFrame:
-    """(keys, __blk, t, energy, n, votes, cover, prob, probs) of every row that a block sees, ``reach`` rows after its own ones included."""
+    """(keys, __blk, __t, __energy, __v) of every block: steps and energies it sees, ``reach`` rows after its own ones included, and
+    what ``block_kernel`` counts over them."""
     back = p.window - p.stride
     before = -(-back // p.stride) * p.stride
-    placed = with_halo(series.select(*keys, "t", "n", "energy"), "t", p.block, before=before, after=reach)
-    pieces = placed.groupBy(*keys, "__blk").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("t", "energy"))).alias("__rows"))
+    pieces = gather_blocks(series.select(*keys, "t", "energy"), keys, "t", p.block, ["t", "energy"], before=before, after=reach)
     run = block_kernel(p.window, p.stride, p.wavelet_level, p.q_low, p.q_high, backcast=p.backcast, **options)
-    return pieces.withColumn("__v", run(F.col("__rows.energy")))
+    return pieces.withColumn("__v", run("__energy"))
 
 
 def label_fused(
@@ -102,13 +110,10 @@ def label_fused(
     forecasts of a row; null where no forecast reaches.
     """
     counted = _kernel_points(series, p, keys, p.window - p.stride, score=score)
-    named = ["votes", "cover", *(["prob", "probs"] if score else [])]
-    points = counted.select(
-        *keys, "__blk", F.explode(F.arrays_zip("__rows", *[F.col(f"__v.{c}").alias(c) for c in named])).alias("r")
-    ).select(
-        *keys, "__blk", F.col("r.__rows.t").alias("t"), F.col("r.__rows.energy").alias("energy"),
-        F.col("r.votes").cast("long").alias("votes"), F.col("r.cover").cast("long").alias("cover"),
-        *([(F.col("r.prob") / F.nullif(F.col("r.probs"), F.lit(0))).alias("y_prob")] if score else []),
+    points = counted.select("*", F.posexplode("__t").alias("__i", "t")).select(
+        *keys, "__blk", "t", F.get("__energy", "__i").alias("energy"),
+        F.get("__v.votes", "__i").cast("long").alias("votes"), F.get("__v.cover", "__i").cast("long").alias("cover"),
+        *([(F.get("__v.prob", "__i") / F.nullif(F.get("__v.probs", "__i"), F.lit(0))).alias("y_prob")] if score else []),
     )
     own = F.floor(F.col("t") / p.block) == F.col("__blk")
     return points.where(own & (F.col("cover") > 0)).drop("__blk").withColumn(
@@ -128,7 +133,7 @@ def label_reprojected(series: DataFrame, p: Params = DEFAULT, keys: Sequence[str
     counted = _kernel_points(series, p, keys, 2 * reach)
     marks = F.transform(F.arrays_zip(F.col("__v.votes").alias("votes"), F.col("__v.cover").alias("cover")), lambda m: rule(m["votes"], m["cover"], p.merge_rule))
     placed = counted.select(
-        *keys, "__blk", F.col("__rows.energy").alias("__x"), marks.alias("__m"), F.col("__rows.t")[0].alias("__t0"), F.size("__rows").alias("__size"),
+        *keys, "__blk", F.col("__energy").alias("__x"), marks.alias("__m"), F.col("__t")[0].alias("__t0"), F.size("__t").alias("__size"),
     )
     own = F.col("__blk") * p.block
     # windows start on the stride from the first row on, which is a window start, inside the block's own rows

@@ -18,7 +18,7 @@ from wattloom.functions.arrays import decomposer, future, past, standardizer
 from wattloom.functions.scalars import window_count
 from wattloom.functions.wavelet import smooth
 from wattloom.operators.clean import KEYS
-from wattloom.operators.ordered import with_halo
+from wattloom.operators.ordered import gather_blocks, with_halo
 from wattloom.params import DEFAULT, Params
 
 
@@ -32,32 +32,16 @@ def make_windows(
     """
     columns = columns or {"x": "energy"}
     width, stride, block = p.window, p.stride, p.block
-    placed = with_halo(
-        df.select(*keys, "t", "n", *[F.col(c).alias(f"__{a}") for a, c in columns.items()]),
-        "t", block, after=width - stride,
+    gathered = gather_blocks(
+        df.select(*keys, "t", "n", *[F.col(c).alias(a) for a, c in columns.items()]),
+        keys, "t", block, list(columns), after=width - stride, per_key=["n"],
     )
-    gathered = placed.groupBy(*keys, "__blk").agg(
-        F.first("n").alias("n"),
-        F.array_sort(F.collect_list(F.struct("t", *[f"__{a}" for a in columns]))).alias("__rows"),
-    )
-    count = window_count(F.size("__rows"), width, stride)
-    cuts = F.when(
-        count > 0,
-        F.transform(
-            F.sequence(F.lit(0).cast("long"), count - 1),
-            lambda k: F.struct(
-                (F.col("__blk") * block + k * stride).alias("start"),
-                *[
-                    F.slice(F.col(f"__c_{a}"), (k * stride + 1).cast("int"), F.lit(width)).alias(a)
-                    for a in columns
-                ],
-            ),
-        ),
-    )
-    return (
-        gathered.select(*keys, "n", "__blk", "__rows", *[F.col(f"__rows.__{a}").alias(f"__c_{a}") for a in columns])
-        .select(*keys, "n", F.col("__blk").alias("blk"), F.explode(cuts).alias("__w"))
-        .select(*keys, "n", "blk", "__w.*")
+    count = window_count(F.size(f"__{next(iter(columns))}"), width, stride)
+    cuts = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))
+    return gathered.withColumn("__k", F.explode(cuts)).select(
+        *keys, "n", F.col("__blk").alias("blk"),
+        (F.col("__blk") * block + F.col("__k") * stride).alias("start"),
+        *[F.slice(f"__{a}", (F.col("__k") * stride + 1).cast("int"), F.lit(width)).alias(a) for a in columns],
     )
 
 
