@@ -81,7 +81,7 @@ def decomposing_labeler(window: int, level: int, q_low: float, q_high: float, de
     return label
 
 
-def ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """``length[i]`` whole numbers from ``first[i]`` on, one range after the other."""
     ends = np.cumsum(length)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - length), length)
@@ -140,7 +140,7 @@ def cell_values(block: int, element: str):
         length = np.maximum(end[order] - begins, 0)
         per_cell = np.bincount(row[order], length, len(cell)).astype(np.int64)
         offsets = pa.array(np.concatenate([[0], np.cumsum(per_cell)]).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, values.take(pa.array(ranges(first[order] + begins - step[order], length))))
+        return pa.ListArray.from_arrays(offsets, values.take(pa.array(_ranges(first[order] + begins - step[order], length))))
 
     return pick
 

@@ -73,12 +73,13 @@ def fuse(labeled: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) ->
         return F.floor(t / p.block).cast("long")
 
     touched = F.sequence(cell(F.col("start")), cell(F.col("start") + F.size("labels") - 1))
-    gathered = labeled.select(*keys, "start", "x", "labels", F.explode(touched).alias("__cell")).groupBy(*keys, "__cell").agg(
+    at = [*keys, "__cell"]
+    gathered = labeled.select(*keys, "start", "x", "labels", F.explode(touched).alias("__cell")).groupBy(F.hash(*at).alias("__h"), *at).agg(
         F.collect_list(F.struct("start", "labels")).alias("__labels"), F.collect_list(F.struct("start", "x")).alias("__x"),
     )
     element = labeled.schema["x"].dataType.elementType.simpleString()
     counted = gathered.select(
-        *keys, "__cell", cell_votes(p.block)("__cell", "__labels").alias("__v"), cell_values(p.block, element)("__cell", "__x").alias("__e"),
+        *at, cell_votes(p.block)("__cell", "__labels").alias("__v"), cell_values(p.block, element)("__cell", "__x").alias("__e"),
     )
     whole = counted.select("*", F.posexplode("__v.pos").alias("__i", "__pos")).select(
         *keys, (F.col("__cell") * p.block + F.col("__pos")).alias("t"),
